@@ -8,7 +8,8 @@ the first category in keyword-table order, and all zero is ``unknown``.
 
 The whole-word test uses one tokenisation per row instead of one regex per
 keyword: every keyword is made of word characters only, so ``\\bkw\\b``
-holds exactly when ``kw`` is one of the maximal word runs of the text.
+holds exactly when ``kw`` is one of the maximal word runs of the text, and the
+number of such keywords of a category is the size of an array intersection.
 """
 
 from __future__ import annotations
@@ -48,19 +49,23 @@ def category_from_scores() -> Column:
     return _pick({cat: F.col(f"_cat_{cat}") for cat in R.CATEGORY_KEYWORDS}, F.col("_cat_src"))
 
 
+def _kw_array(kws: list[str]) -> Column:
+    return F.array(*[F.lit(k) for k in kws])
+
+
 def _scores(text: Column, words: Column, src: Column) -> dict[str, Column]:
+    """Per category: occurrences summed over its keywords (one ``replace`` per
+    keyword inside ``aggregate``), +2 per keyword that is one of the words
+    (``array_intersect``: keywords are distinct), +3 per keyword inside the
+    source. Small expression trees keep planning and code generation cheap."""
     scores = {}
+    tl = F.length(text)
     for cat, kws in R.CATEGORY_KEYWORDS.items():
-        terms = [
-            occurrences(text, kw)
-            + F.when(F.array_contains(words, kw), R.WORD_BONUS).otherwise(0)
-            + F.when(F.instr(src, kw) > 0, R.SOURCE_BONUS).otherwise(0)
-            for kw in kws
-        ]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        scores[cat] = total
+        arr = _kw_array(kws)
+        occ = F.aggregate(arr, F.lit(0), lambda acc, k: acc + F.floor((tl - F.length(F.replace(text, k, F.lit("")))) / F.length(k)).cast("int"))
+        whole = F.size(F.array_intersect(words, arr)) * R.WORD_BONUS
+        in_src = F.size(F.filter(arr, lambda k: F.instr(src, k) > 0)) * R.SOURCE_BONUS
+        scores[cat] = occ + whole + in_src
     return scores
 
 
