@@ -75,15 +75,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def materialize(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> dict[str, str]:
-    """Write (once) the scored events of the log lines of ``sf_dir``; return
-    the table paths ``{"events": ..., "analysis": ...}``."""
+def materialize(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS, force: bool = False) -> dict[str, str]:
+    """Write (once, or again with ``force``) the parsed and scored lines of
+    ``sf_dir``; return the table path ``{"scored": ...}``."""
     from logweave.plans.ingest import parse_raw_lines, score_events
     from logweave.sources.loglines import event_log_lines
 
     root = _root(spark, sf_dir, ref_ts)
     paths = {"scored": f"{root}/scored"}
-    if not _published(spark, root):
+    if force or not _published(spark, root):
         lines = spread(event_log_lines(spark, sf_dir))
         # every line is kept with its ``valid`` flag (parse stats, rejects);
         # the analysis columns only mean something on valid rows
@@ -99,7 +99,7 @@ def materialize(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> dict[str,
             scored.write.mode("overwrite").partitionBy("event_date").parquet(tmp)
         finally:
             spark.conf.set("spark.sql.codegen.wholeStage", prev)
-        if not _published(spark, root):
+        if force or not _published(spark, root):
             if _exists(spark, paths["scored"]):
                 _rename(spark, paths["scored"], f"{tmp}.old")
             _rename(spark, tmp, paths["scored"])
