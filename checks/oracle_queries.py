@@ -137,3 +137,84 @@ reg("processing_time_stats", f"""SELECT metric_type, count(metric_value) AS n, r
   min(metric_value) AS min_value, max(metric_value) AS max_value,
   list_sort(list(metric_value))[count(metric_value) // 2 + 1] AS median_value FROM {METRICS} x GROUP BY metric_type""", base=False)
 reg("category_severity", "SELECT category, severity_score, count(*) AS n FROM scored GROUP BY category, severity_score")
+
+# ------------------------------------------------------------ alerts
+from logweave.plans.catalog import ALERT_RULES, CHANNELS  # noqa: E402
+
+
+def _rules_sql() -> str:
+    def arr(xs):
+        return "[" + ", ".join(q(x) for x in xs) + "]::VARCHAR[]"
+    rows = ", ".join(f"({q(n)}, {str(e).upper()}, {lo}, {hi}, {arr(c)}, {arr(s)}, {arr(ch)}, {t})"
+                     for n, e, lo, hi, c, s, ch, t in ALERT_RULES)
+    return (f"(SELECT * FROM (VALUES {rows}) r(rule_name, enabled, min_severity, max_severity, categories, sources, "
+            "channels, throttle_minutes))")
+
+
+MATCHES = f"""(SELECT j.*, r.rule_name, r.channels, r.throttle_minutes FROM {joined_cols()} j JOIN {_rules_sql()} r
+  ON r.enabled AND r.min_severity <= coalesce(j.severity_score, 5) AND coalesce(j.severity_score, 5) <= r.max_severity
+  AND (len(r.categories) = 0 OR list_contains(r.categories, j.category))
+  AND (len(r.sources) = 0 OR list_contains(r.sources, j.source)))"""
+reg("rule_match", f"SELECT id, rule_name FROM {MATCHES} m")
+reg("rule_match_semi", f"SELECT id, category FROM {joined_cols()} j WHERE id IN (SELECT id FROM {MATCHES} m)")
+_CH = "(SELECT * FROM (VALUES " + ", ".join(f"({q(c)}, {str(e).upper()})" for c, e in CHANNELS) + ") c(channel, enabled))"
+reg("channel_fanout", f"""SELECT id, rule_name, channel FROM (SELECT id, rule_name, unnest(channels) AS channel FROM {MATCHES} m) x
+WHERE channel IN (SELECT channel FROM {_CH} c WHERE enabled)""")
+_LABEL = "CASE WHEN s <= 2 THEN 'Low' WHEN s <= 4 THEN 'Medium' WHEN s <= 6 THEN 'High' WHEN s <= 8 THEN 'Critical' ELSE 'Very Critical' END"
+reg("alert_text", f"""SELECT id, 'Security Alert: ' || label || ' - ' || upper(category) AS subject,
+  concat_ws(chr(10), 'Security Event Detected', '', 'Timestamp: ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || ' UTC',
+    'Source: ' || source, 'Category: ' || upper(category), 'Message: ' || message,
+    CASE WHEN severity_score IS NOT NULL THEN concat_ws(chr(10), '', 'AI Analysis:',
+      'Severity Score: ' || CAST(severity_score AS VARCHAR) || '/10 (' || label || ')', 'Explanation: ' || explanation, '',
+      'Recommendations:', array_to_string(list_transform(recommendations, lambda r, i: CAST(i AS VARCHAR) || '. ' || r), chr(10))) END,
+    '', 'Event ID: ' || id, 'Generated by real-time monitoring') AS body
+FROM (SELECT *, {_LABEL.replace('s <=', 'coalesce(severity_score, 5) <=')} AS label FROM {MATCHES} m WHERE rule_name = 'kernel_watch') x""")
+
+# ------------------------------------------------------------ detections
+
+
+def sliding(src: str, key: str, ts: str, window_s: int) -> str:
+    """count of same-key rows with time in (t - window, t] (self join oracle)."""
+    return f"""(SELECT a.*, (SELECT count(*) FROM {src} b WHERE b.{key} = a.{key}
+      AND b.{ts} > a.{ts} - INTERVAL {window_s} SECOND AND b.{ts} <= a.{ts}) AS cnt FROM {src} a)"""
+
+
+FAILED = """(SELECT *, regexp_extract(message, 'for (\\S+) from', 1) AS account FROM scored WHERE starts_with(message, 'Failed password'))"""
+reg("failed_login_window", f"SELECT id, account, cnt AS attempts_in_window, cnt > 1 AS rate_limited FROM {sliding(FAILED, 'account', chr(34) + 'timestamp' + chr(34), 300)} x")
+reg("rapid_fire", f"SELECT id, client, cnt AS requests_5m, cnt > 50 AS rapid_fire FROM {sliding(ACCESS, 'client', 'ts', 300)} x", base=False)
+ERRS = f"(SELECT *, 0 AS k, severity_score >= 9 AS crit FROM {joined_cols()} j WHERE category IN ('kernel', 'security'))"
+reg("error_spike", f"""SELECT id, errors_5m, errors_5m > 20 AS spike, coalesce(critical_5m, 0) AS critical_5m,
+  coalesce(critical_5m, 0) > 3 AS critical_spike FROM (
+  SELECT a.id, (SELECT count(*) FROM {ERRS} b WHERE b."timestamp" > a."timestamp" - INTERVAL 300 SECOND AND b."timestamp" <= a."timestamp") AS errors_5m,
+    CASE WHEN a.crit THEN (SELECT count(*) FROM {ERRS} b WHERE b.crit AND b."timestamp" > a."timestamp" - INTERVAL 300 SECOND
+      AND b."timestamp" <= a."timestamp") END AS critical_5m
+  FROM {ERRS} a) x""")
+reg("error_patterns", """SELECT category || ':' || left(message, 50) AS pattern, count(*) AS occurrences, count(*) >= 5 AS frequent
+FROM scored GROUP BY 1 HAVING count(*) >= 3""")
+
+_ERR_TYPES = ["DatabaseError", "ConnectionError", "TimeoutError", "OSError", "ValueError", "RuntimeError", "DatabaseError", "PermissionError"]
+_ERR_MSGS = ["database connection lost", "websocket client disconnected", "analysis engine timeout", "network unreachable",
+             "config value missing", "none of the handlers answered", "critical database failure", "file permission denied"]
+ERRREC = f"""(SELECT event_id AS id, user_id, ([{', '.join(q(x) for x in _ERR_TYPES)}])[event_id % 8 + 1] AS error_type,
+  ([{', '.join(q(x) for x in _ERR_MSGS)}])[event_id % 8 + 1] AS message, ts FROM events WHERE event_type = 'error')"""
+_C = "lower(message)"
+CLASSIFIED = f"""(SELECT *, CASE
+    WHEN error_class = 'system_error' OR contains({_C}, 'critical') OR contains({_C}, 'fatal') THEN 'critical'
+    WHEN error_class IN ('database_error', 'configuration_error') OR contains({_C}, 'security') OR contains({_C}, 'breach') THEN 'high'
+    WHEN error_class IN ('parsing_error', 'analysis_error') OR contains({_C}, 'warning') THEN 'medium'
+    WHEN error_class IN ('websocket_error', 'network_error') THEN 'low' ELSE 'medium' END AS error_severity,
+  CASE error_class WHEN 'parsing_error' THEN 'fallback' WHEN 'validation_error' THEN 'quarantine' WHEN 'database_error' THEN 'retry'
+    WHEN 'websocket_error' THEN 'retry' WHEN 'analysis_error' THEN 'skip' WHEN 'system_error' THEN 'escalate' ELSE 'retry' END AS recovery_action
+FROM (SELECT *, CASE WHEN error_type = 'ValidationError' THEN 'validation_error' WHEN error_type = 'ProcessingError' THEN 'parsing_error'
+    WHEN error_type = 'BroadcastError' THEN 'websocket_error'
+    WHEN contains({_C}, 'database') OR contains({_C}, 'sql') THEN 'database_error'
+    WHEN contains({_C}, 'websocket') OR contains({_C}, 'connection') THEN 'websocket_error'
+    WHEN contains({_C}, 'analysis') OR contains({_C}, 'ai') THEN 'analysis_error'
+    WHEN contains({_C}, 'network') OR contains({_C}, 'timeout') THEN 'network_error'
+    WHEN contains({_C}, 'config') OR contains({_C}, 'setting') THEN 'configuration_error' ELSE 'system_error' END AS error_class
+  FROM {ERRREC} e) c)"""
+reg("error_classify", f"SELECT id, error_class, error_severity, recovery_action FROM {CLASSIFIED} x", base=False)
+reg("dominant_error", f"""SELECT day, error_class AS dominant_class, n AS dominant_class_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, error_class ASC) AS r FROM (
+    SELECT CAST(ts AS DATE) AS day, error_class, count(*) AS n FROM {CLASSIFIED} x GROUP BY 1, 2) a) b WHERE r = 1""", base=False)
+reg("error_stats", gsets(CLASSIFIED, ["error_severity", "error_class"]), base=False)

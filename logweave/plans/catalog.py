@@ -343,3 +343,101 @@ def q_processing_time_stats(spark, sf):
 def q_category_severity(spark, sf):
     """Flagship (entry): events per (category, severity) after parse + score."""
     return _scored(spark, sf).groupBy("category", "severity_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ alerts (J-*)
+from logweave.operators import alerts as A  # noqa: E402
+from logweave.operators import detect as D  # noqa: E402
+
+# configuration: alert rules and channels (small tables, broadcast by size)
+ALERT_RULES = [
+    ("high_severity", True, 7, 10, [], [], ["email", "slack"], 10),
+    ("auth_watch", True, 5, 10, ["auth"], [], ["email"], 5),
+    ("kernel_watch", True, 1, 10, ["kernel"], [], ["webhook", "pager"], 0),
+    ("sshd_host0", True, 1, 10, [], ["host0:sshd[1000]", "host0:sshd[1007]"], ["webhook"], 15),
+    ("disabled_all", False, 1, 10, [], [], ["email"], 0),
+]
+CHANNELS = [("email", True), ("webhook", True), ("slack", False)]
+
+
+def _matches(spark, sf):
+    return A.match_rules(_joined(spark, sf), A.rules_table(spark, ALERT_RULES))
+
+
+@query
+def q_rule_match(spark, sf):
+    """J-07: (event, rule) pairs of enabled matching rules."""
+    return _matches(spark, sf).select("id", "rule_name")
+
+
+@query
+def q_rule_match_semi(spark, sf):
+    """J-11: events any enabled rule matches."""
+    return A.events_with_any_rule(_joined(spark, sf), A.rules_table(spark, ALERT_RULES)).select("id", "category")
+
+
+@query
+def q_channel_fanout(spark, sf):
+    """J-09: matches x existing enabled channels."""
+    return A.channel_fanout(_matches(spark, sf), A.channels_table(spark, CHANNELS)).select("id", "rule_name", "channel")
+
+
+@query
+def q_alert_text(spark, sf):
+    """F-13/F-14: subject and body of each kernel_watch alert."""
+    m = _matches(spark, sf).where(F.col("rule_name") == "kernel_watch")
+    return A.alert_text(m).select("id", "subject", "body")
+
+
+# ------------------------------------------------------------ detections
+def _failed_logins(spark, sf):
+    ev = _ev(spark, sf)
+    return ev.where(F.col("message").startswith("Failed password")).withColumn(
+        "account", F.regexp_extract("message", r"for (\S+) from", 1))
+
+
+@query
+def q_failed_login_window(spark, sf):
+    """W-06/T-09: failed logins of an account in the last 300 s."""
+    return D.failed_login_bursts(_failed_logins(spark, sf), "account", max_attempts=1).select(
+        "id", "account", "attempts_in_window", "rate_limited")
+
+
+@query
+def q_rapid_fire(spark, sf):
+    """W-07: per client, requests in the last 5 minutes."""
+    return D.rapid_fire(relabel.access_log(spark, sf), "client").select("id", "client", "requests_5m", "rapid_fire")
+
+
+@query
+def q_error_spike(spark, sf):
+    """W-08/T-10: errors (kernel/security events) in the last 300 s."""
+    err = _joined(spark, sf).where(F.col("category").isin("kernel", "security"))
+    out = D.error_spikes(err, critical=F.col("severity_score") >= 9)
+    return out.select("id", "errors_5m", "spike", "critical_5m", "critical_spike")
+
+
+@query
+def q_error_patterns(spark, sf):
+    """A-22: recurring (category, message prefix) patterns."""
+    return D.error_patterns(_ev(spark, sf))
+
+
+@query
+def q_dominant_error(spark, sf):
+    """A-23: most frequent error class per day."""
+    e = D.classify_errors(relabel.error_records(spark, sf)).withColumn("day", F.to_date("ts"))
+    return D.dominant_by(e, ["day"], "error_class", "dominant_class")
+
+
+@query
+def q_error_classify(spark, sf):
+    """F-24/F-25: class, severity and recovery action of each error record."""
+    return D.classify_errors(relabel.error_records(spark, sf)).select(
+        "id", "error_class", "error_severity", "recovery_action")
+
+
+@query
+def q_error_stats(spark, sf):
+    """A-21: error records by severity and by class in one pass."""
+    return S.grouping_sets_counts(D.classify_errors(relabel.error_records(spark, sf)), ["error_severity", "error_class"])
