@@ -218,3 +218,37 @@ reg("dominant_error", f"""SELECT day, error_class AS dominant_class, n AS domina
   SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, error_class ASC) AS r FROM (
     SELECT CAST(ts AS DATE) AS day, error_class, count(*) AS n FROM {CLASSIFIED} x GROUP BY 1, 2) a) b WHERE r = 1""", base=False)
 reg("error_stats", gsets(CLASSIFIED, ["error_severity", "error_class"]), base=False)
+
+# ------------------------------------------------------------ text
+from logweave.functions.sanitize import SANITIZE_PASSES, SUSPICIOUS_PATTERNS  # noqa: E402
+
+
+def _sanitize_sql(x: str) -> str:
+    for pat, fl in SANITIZE_PASSES:
+        x = f"regexp_replace({x}, {q(pat)}, '', 'g{fl}')"
+    x = f"regexp_replace({x}, '\\r\\n|\\r', chr(10), 'g')"
+    return (f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: "
+            f"regexp_replace(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), '[ \\t]+', ' ', 'g')), lambda l: l <> ''), chr(10))")
+
+
+reg("sanitize_text", f"SELECT doc_id, length(s) AS sanitized_chars, md5(s) AS sanitized_md5 FROM (SELECT doc_id, {_sanitize_sql('text')} AS s FROM documents) d", base=False)
+_REASON = """CASE WHEN text IS NULL OR text = '' THEN 'Log content must be a non-empty string'
+  WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 10 THEN 'Log content too short to be meaningful'
+  WHEN length(text) > 1000000 THEN 'Log content exceeds maximum size limit (1MB)'
+  WHEN contains(text, chr(0)) THEN 'Log content contains null bytes'
+  WHEN length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > length(text) * 0.1
+    THEN 'Log content contains excessive control characters' END"""
+reg("validate_text", f"SELECT conv_id, turn, reason IS NULL AS is_valid, reason FROM (SELECT conv_id, turn, {_REASON} AS reason FROM conversations) c", base=False)
+
+
+def _re2(p: str) -> str:
+    """Python (?i) prefix -> RE2 inline flag (same syntax)."""
+    return p
+
+
+_SUS = " OR ".join(f"regexp_matches(html, {q(_re2(p))})" for p in SUSPICIOUS_PATTERNS)
+reg("entry_verdict", f"""SELECT verdict, count(*) AS n FROM (SELECT CASE
+  WHEN html IS NULL OR html = '' OR length(html) > 1048576 THEN 'invalid'
+  WHEN list_bool_or(list_transform(string_split(html, chr(10)), lambda l: length(l) > 32768))
+    OR regexp_matches(html, '[^\\x20-\\x7E\\t\\n\\r]') THEN 'requires_sanitization'
+  WHEN {_SUS} THEN 'suspicious' ELSE 'valid' END AS verdict FROM pages) p GROUP BY verdict""", base=False)

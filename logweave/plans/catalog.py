@@ -441,3 +441,28 @@ def q_error_classify(spark, sf):
 def q_error_stats(spark, sf):
     """A-21: error records by severity and by class in one pass."""
     return S.grouping_sets_counts(D.classify_errors(relabel.error_records(spark, sf)), ["error_severity", "error_class"])
+
+
+# ------------------------------------------------------------ text (F-15..F-20)
+from logweave.functions import sanitize as T  # noqa: E402
+
+
+@query
+def q_sanitize_text(spark, sf):
+    """F-15 on whole documents: sanitised length and digest per document."""
+    d = read_table(spark, sf, "documents").select("doc_id", T.sanitize_log_text(F.col("text")).alias("_s"))
+    return d.select("doc_id", F.length("_s").alias("sanitized_chars"), F.md5("_s").alias("sanitized_md5"))
+
+
+@query
+def q_validate_text(spark, sf):
+    """F-18 on every conversation turn."""
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", T.validate_log_text(F.col("text")).alias("_v"))
+    return c.select("conv_id", "turn", F.col("_v.is_valid").alias("is_valid"), F.col("_v.reason").alias("reason"))
+
+
+@query
+def q_entry_verdict(spark, sf):
+    """F-20 on raw web pages, counted per verdict."""
+    p = read_table(spark, sf, "pages").select(T.entry_verdict(F.col("html")).alias("verdict"))
+    return p.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
