@@ -252,3 +252,28 @@ reg("entry_verdict", f"""SELECT verdict, count(*) AS n FROM (SELECT CASE
   WHEN list_bool_or(list_transform(string_split(html, chr(10)), lambda l: length(l) > 32768))
     OR regexp_matches(html, '[^\\x20-\\x7E\\t\\n\\r]') THEN 'requires_sanitization'
   WHEN {_SUS} THEN 'suspicious' ELSE 'valid' END AS verdict FROM pages) p GROUP BY verdict""", base=False)
+
+# ------------------------------------------------------------ health, retention
+COMP = """(SELECT event_id AS id, 'c' || CAST(user_id % 6 AS VARCHAR) AS component, value AS latency, ts FROM events)"""
+LAST10 = f"""(SELECT *, CAST(n - r AS DOUBLE) AS x FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, id DESC) AS r,
+  least(count(*) OVER (PARTITION BY component), 10) AS n FROM {COMP} c) a WHERE r <= 10)"""
+reg("trend_slope", f"""SELECT component, samples, round(slope, 6) AS slope, CASE WHEN samples < 2 OR slope IS NULL THEN 'stable'
+  WHEN slope > 0.1 THEN 'increasing' WHEN slope < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend
+FROM (SELECT component, regr_slope(latency, x) AS slope, count(*) AS samples FROM {LAST10} l GROUP BY component) g""", base=False)
+reg("trend_half", f"""SELECT component, samples, round(first_avg, 6) AS first_avg, round(second_avg, 6) AS second_avg,
+  CASE WHEN samples < 2 OR first_avg = 0 THEN 'stable' WHEN (second_avg - first_avg) / first_avg > 0.05 THEN 'increasing'
+  WHEN (second_avg - first_avg) / first_avg < -0.05 THEN 'decreasing' ELSE 'stable' END AS trend
+FROM (SELECT component, avg(CASE WHEN x < floor(n / 2) THEN latency END) AS first_avg,
+  avg(CASE WHEN x >= floor(n / 2) THEN latency END) AS second_avg, count(*) AS samples FROM {LAST10} l GROUP BY component) g""", base=False)
+reg("component_rate", f"""SELECT component, date_trunc('minute', ts) AS minute, count(*) AS events, round(count(*) / 60.0, 6) AS rate_per_s,
+  round(avg(latency), 6) AS avg_latency FROM {COMP} c GROUP BY 1, 2""", base=False)
+_R = "TIMESTAMP '2024-02-15 00:00:00'"
+reg("retention_counts", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count_if(NOT coalesce({c} < {_R} - INTERVAL {d} DAY, false)) AS kept, "
+    f"count_if(coalesce({c} < {_R} - INTERVAL {d} DAY, false)) AS deleted FROM {src} x"
+    for n, src, c, d in [("processing_metrics", METRICS, '"timestamp"', 30), ("notification_history", NOTIF, "sent_at", 90),
+                         ("events", "scored", '"timestamp"', 365)]))
+reg("upsert_latest", """SELECT analysis_id, event_id, CASE WHEN event_id IN (SELECT id FROM scored WHERE category = 'kernel')
+  THEN analyzed_at + INTERVAL 1 DAY ELSE analyzed_at END AS analyzed_at FROM analysis""")
+reg("report_keep30", """SELECT report_date FROM (SELECT DISTINCT event_date AS report_date FROM scored) r
+WHERE report_date NOT IN (SELECT DISTINCT event_date FROM scored ORDER BY 1 DESC LIMIT 30)""")

@@ -466,3 +466,59 @@ def q_entry_verdict(spark, sf):
     """F-20 on raw web pages, counted per verdict."""
     p = read_table(spark, sf, "pages").select(T.entry_verdict(F.col("html")).alias("verdict"))
     return p.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ health, retention
+from logweave.operators import health as H  # noqa: E402
+from logweave.operators.windows import beyond_n  # noqa: E402
+
+
+@query
+def q_trend_slope(spark, sf):
+    """W-02: latency trend of each component over its last 10 samples."""
+    return H.trend_slope(relabel.component_samples(spark, sf), "component", "ts", "latency", 10)
+
+
+@query
+def q_trend_half(spark, sf):
+    """W-03: newer-half vs older-half mean of the last 10 samples."""
+    return H.trend_half(relabel.component_samples(spark, sf), "component", "ts", "latency", 10)
+
+
+@query
+def q_component_rate(spark, sf):
+    """W-05/T-11: per component and minute, events, rate and mean latency."""
+    return H.per_minute(relabel.component_samples(spark, sf), "component", "ts", "latency")
+
+
+@query
+def q_retention_counts(spark, sf):
+    """U-06: kept / deleted rows at 2024-02-15 for metrics (30 d),
+    notifications (90 d) and events (365 d)."""
+    ref = dt.datetime(2024, 2, 15)
+    parts = []
+    for name, df, ts, days in [("processing_metrics", relabel.processing_metrics(spark, sf), "timestamp", 30),
+                               ("notification_history", relabel.notification_history(spark, sf), "sent_at", 90),
+                               ("events", _ev(spark, sf), "timestamp", 365)]:
+        keep, drop = H.retention_split(df, ts, days, ref)
+        parts.append(keep.agg(F.count(F.lit(1)).alias("kept")).crossJoin(drop.agg(F.count(F.lit(1)).alias("deleted")))
+                     .select(F.lit(name).alias("table_name"), "kept", "deleted"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def q_upsert_latest(spark, sf):
+    """J-12/U-05: re-analysis of the kernel events a day later, upserted by
+    event id (newest analysis wins)."""
+    an = _an(spark, sf)
+    kernel_ids = _ev(spark, sf).where(F.col("category") == "kernel").select(F.col("id").alias("event_id"))
+    redo = an.join(kernel_ids, "event_id", "left_semi").withColumn("analyzed_at", F.col("analyzed_at") + F.expr("INTERVAL 1 DAYS"))
+    return H.upsert_latest(an, redo, "event_id", "analyzed_at").select("analysis_id", "event_id", "analyzed_at")
+
+
+@query
+def q_report_keep30(spark, sf):
+    """W-12: daily reports beyond the newest 30 (the delete list)."""
+    reports = _ev(spark, sf).select(F.col("event_date").alias("report_date")).distinct().withColumn(
+        "id", F.col("report_date").cast("string"))
+    return beyond_n(reports, 30, [F.col("report_date").desc()]).select("report_date")
