@@ -277,3 +277,11 @@ reg("upsert_latest", """SELECT analysis_id, event_id, CASE WHEN event_id IN (SEL
   THEN analyzed_at + INTERVAL 1 DAY ELSE analyzed_at END AS analyzed_at FROM analysis""")
 reg("report_keep30", """SELECT report_date FROM (SELECT DISTINCT event_date AS report_date FROM scored) r
 WHERE report_date NOT IN (SELECT DISTINCT event_date FROM scored ORDER BY 1 DESC LIMIT 30)""")
+
+# ------------------------------------------------------------ streaming
+reg("stream_parse", "SELECT category, severity_score, count(*) AS n FROM scored GROUP BY category, severity_score")
+reg("stream_spike", """SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS errors, count(*) > 20 AS spike
+FROM (SELECT date_trunc('minute', "timestamp") - to_minutes(k) AS window_start, "timestamp" FROM scored, range(0, 5) r(k)
+      WHERE category IN ('kernel', 'security')) w
+WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM scored WHERE category IN ('kernel', 'security'))
+GROUP BY window_start""")

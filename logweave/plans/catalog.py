@@ -522,3 +522,20 @@ def q_report_keep30(spark, sf):
     reports = _ev(spark, sf).select(F.col("event_date").alias("report_date")).distinct().withColumn(
         "id", F.col("report_date").cast("string"))
     return beyond_n(reports, 30, [F.col("report_date").desc()]).select("report_date")
+
+
+# ------------------------------------------------------------ streaming (T-*)
+from logweave.streaming import stream as ST  # noqa: E402
+
+
+@query
+def q_stream_parse(spark, sf):
+    """T-01..T-04: the ingest as a streaming query (availableNow), counted
+    per (category, severity) from its sink."""
+    return ST.stream_scored(spark, sf).groupBy("category", "severity_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_stream_spike(spark, sf):
+    """T-10: sliding-window error counts with a 10-minute watermark."""
+    return ST.stream_error_spikes(spark, sf)
