@@ -285,3 +285,7 @@ FROM (SELECT date_trunc('minute', "timestamp") - to_minutes(k) AS window_start,
       WHERE category IN ('kernel', 'security')) w
 WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM scored WHERE category IN ('kernel', 'security'))
 GROUP BY window_start""")
+reg("document_lines", """SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line_no, sum(length(line)) AS chars FROM (
+  SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') AS line
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)) AS parts FROM documents) d) x
+WHERE line <> '' GROUP BY doc_id""", base=False)

@@ -539,3 +539,14 @@ def q_stream_parse(spark, sf):
 def q_stream_spike(spark, sf):
     """T-10: sliding-window error counts with a 10-minute watermark."""
     return ST.stream_error_spikes(spark, sf)
+
+
+@query
+def q_document_lines(spark, sf):
+    """P-01 on whole documents taken as raw logs: numbered, stripped,
+    non-empty lines; per document the kept lines and the last line number."""
+    from logweave.functions.parse import split_lines
+
+    lines = split_lines(read_table(spark, sf, "documents"), content="text", id_col="doc_id")
+    return lines.groupBy(F.col("raw_log_id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line_no"), F.sum(F.length("line")).alias("chars"))
