@@ -289,3 +289,33 @@ reg("document_lines", """SELECT doc_id, count(*) AS n_lines, max(line_no) AS las
   SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') AS line
   FROM (SELECT doc_id, string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)) AS parts FROM documents) d) x
 WHERE line <> '' GROUP BY doc_id""", base=False)
+
+# ------------------------------------------------------------ throttle (recursive CTE)
+ORACLE["alert_throttle"] = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+tm AS (SELECT id, rule_name, "timestamp", throttle_minutes, rule_name || '|' || id AS match_id,
+        rule_name || ':' || source || ':' || category AS tkey FROM {MATCHES} x),
+tg AS (SELECT * FROM tm WHERE throttle_minutes > 0),
+tnx AS (SELECT a.match_id, (SELECT b.match_id FROM tg b WHERE b.tkey = a.tkey
+         AND b."timestamp" >= a."timestamp" + to_minutes(a.throttle_minutes) ORDER BY b."timestamp", b.match_id LIMIT 1) AS nxt FROM tg a),
+troots AS (SELECT match_id FROM (SELECT match_id, row_number() OVER (PARTITION BY tkey ORDER BY "timestamp", match_id) AS r FROM tg) WHERE r = 1),
+tchain(match_id) AS (SELECT match_id FROM troots UNION ALL SELECT n.nxt FROM tchain c JOIN tnx n ON n.match_id = c.match_id WHERE n.nxt IS NOT NULL)
+SELECT id, rule_name FROM tm WHERE throttle_minutes <= 0 OR match_id IN (SELECT match_id FROM tchain)"""
+
+# ------------------------------------------------------------ format detection
+from logweave.operators.formats import DELIMITERS, TIMESTAMP_KINDS  # noqa: E402
+
+SAMPLE = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY line_no) AS r FROM lines) x WHERE r <= 50)"""
+_KCOLS = ", ".join(f"CAST(sum(len(regexp_extract_all(line, {q(rx)}))) AS BIGINT) AS {k}" for k, rx in TIMESTAMP_KINDS)
+_BEST = "greatest(" + ", ".join(k for k, _ in TIMESTAMP_KINDS) + ")"
+_BESTNAME = "CASE " + " ".join(f"WHEN {k} = {_BEST} THEN '{k}'" for k, _ in TIMESTAMP_KINDS) + " END"
+reg("detect_timestamp", f"""SELECT source_name, sample_lines, CASE WHEN {_BEST} > 0 THEN {_BESTNAME} END AS best_pattern, {_BEST} AS matches,
+  CASE WHEN {_BEST} > sample_lines * 0.8 THEN 'high' WHEN {_BEST} > sample_lines * 0.5 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT source_name, count(*) AS sample_lines, {_KCOLS} FROM {SAMPLE} s GROUP BY source_name) g""")
+_DN = {d: f"d{i}" for i, d in enumerate(DELIMITERS)}
+_DCOLS = ", ".join(f"CAST(sum(length(line) - length(replace(line, {q(d) if d != chr(9) else 'chr(9)'}, ''))) AS BIGINT) AS {_DN[d]}" for d in DELIMITERS)
+_NB = [d for d in DELIMITERS if d != " "]
+_TOP = "greatest(" + ", ".join(_DN[d] for d in _NB) + ")"
+_PRIM = "CASE " + " ".join(f"WHEN {_DN[d]} = {_TOP} THEN {q(d) if d != chr(9) else 'chr(9)'}" for d in _NB) + " END"
+reg("detect_delimiter", f"""SELECT source_name, sample_lines, {_PRIM} AS primary_delimiter, {_TOP} AS primary_count,
+  {_TOP} > sample_lines * 2 AS structured, {_DN[' ']} AS blank_count
+FROM (SELECT source_name, count(*) AS sample_lines, {_DCOLS} FROM {SAMPLE} s GROUP BY source_name) g""")

@@ -550,3 +550,34 @@ def q_document_lines(spark, sf):
     lines = split_lines(read_table(spark, sf, "documents"), content="text", id_col="doc_id")
     return lines.groupBy(F.col("raw_log_id").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line_no"), F.sum(F.length("line")).alias("chars"))
+
+
+# ------------------------------------------------------------ throttle (T-05)
+from logweave.operators.throttle import throttle  # noqa: E402
+
+
+@query
+def q_alert_throttle(spark, sf):
+    """T-05: alerts actually sent: per (rule, source, category) at most one
+    every ``throttle_minutes`` of the rule (0 never throttles)."""
+    m = _matches(spark, sf).select(
+        "id", "rule_name", "timestamp", "throttle_minutes",
+        F.concat_ws("|", "rule_name", "id").alias("match_id"),
+        F.concat_ws(":", "rule_name", "source", "category").alias("tkey"))
+    return throttle(m, "tkey", "timestamp", "match_id", "throttle_minutes").select("id", "rule_name")
+
+
+# ------------------------------------------------------------ format detection (D-*)
+from logweave.operators import formats as FD  # noqa: E402
+
+
+@query
+def q_detect_timestamp(spark, sf):
+    """D-01: timestamp kind of each source from its first 50 lines."""
+    return FD.detect_timestamp(event_log_lines(spark, sf))
+
+
+@query
+def q_detect_delimiter(spark, sf):
+    """D-03: primary delimiter of each source from its first 50 lines."""
+    return FD.detect_delimiter(event_log_lines(spark, sf))
