@@ -319,3 +319,11 @@ _PRIM = "CASE " + " ".join(f"WHEN {_DN[d]} = {_TOP} THEN {q(d) if d != chr(9) el
 reg("detect_delimiter", f"""SELECT source_name, sample_lines, {_PRIM} AS primary_delimiter, {_TOP} AS primary_count,
   {_TOP} > sample_lines * 2 AS structured, {_DN[' ']} AS blank_count
 FROM (SELECT source_name, count(*) AS sample_lines, {_DCOLS} FROM {SAMPLE} s GROUP BY source_name) g""")
+
+# ------------------------------------------------------------ queue order
+reg("queue_batches", """SELECT entry_id, source_name, priority, queue_rank, CAST(floor((queue_rank - 1) / 100) AS BIGINT) AS batch_no FROM (
+  SELECT *, row_number() OVER (ORDER BY priority, "timestamp", entry_id) AS queue_rank FROM (
+    SELECT source_name, ts AS "timestamp",
+      CASE WHEN user_id % 10 + 1 >= 8 THEN 1 WHEN user_id % 10 + 1 >= 6 THEN 2 WHEN user_id % 10 + 1 >= 4 THEN 3
+           WHEN user_id % 10 + 1 >= 2 THEN 4 ELSE 5 END AS priority,
+      source_name || '_' || strftime(ts, '%Y%m%d_%H%M%S_%f') || '_' || CAST(line_no AS VARCHAR) AS entry_id FROM lines) e) r""")

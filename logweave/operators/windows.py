@@ -37,3 +37,31 @@ def beyond_n(df: DataFrame, n: int, order: list[Column], keys: list[str] | None
     the top ``n`` on the given unique ``id`` column."""
     keep = top_n(df, n, order, keys, salt_by=["id"]).select("id")
     return df.join(keep, "id", "left_anti")
+
+
+def row_number_at_scale(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
+                        partitions: int | None = None) -> DataFrame:
+    """Exact ``row_number() over (partition by keys order by order)`` without
+    one task per key (or one task overall when ``keys`` is empty).
+
+    Rows are range-partitioned on (keys, order), so a hot key is split over
+    several partitions in order; per (partition, key) counts give each chunk
+    its offset (a running sum over partitions, a small table), and the row
+    number is the chunk-local rank plus that offset. ``order`` must be a total
+    order (end it with a unique column).
+    """
+    from pyspark.sql import Window
+
+    from logweave.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # materialised once: the range bounds come from a sample, and counts and
+    # local ranks must see the same partition of every row
+    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
+    out = local.join(offsets, ["_pid", *keys], "inner")
+    return out.withColumn(name, (F.col("_lrn") + F.col("_off")).cast("long")).drop("_pid", "_lrn", "_off")

@@ -450,21 +450,21 @@ from logweave.functions import sanitize as T  # noqa: E402
 @query
 def q_sanitize_text(spark, sf):
     """F-15 on whole documents: sanitised length and digest per document."""
-    d = read_table(spark, sf, "documents").select("doc_id", T.sanitize_log_text(F.col("text")).alias("_s"))
+    d = store.spread(read_table(spark, sf, "documents")).select("doc_id", T.sanitize_log_text(F.col("text")).alias("_s"))
     return d.select("doc_id", F.length("_s").alias("sanitized_chars"), F.md5("_s").alias("sanitized_md5"))
 
 
 @query
 def q_validate_text(spark, sf):
     """F-18 on every conversation turn."""
-    c = read_table(spark, sf, "conversations").select("conv_id", "turn", T.validate_log_text(F.col("text")).alias("_v"))
+    c = store.spread(read_table(spark, sf, "conversations")).select("conv_id", "turn", T.validate_log_text(F.col("text")).alias("_v"))
     return c.select("conv_id", "turn", F.col("_v.is_valid").alias("is_valid"), F.col("_v.reason").alias("reason"))
 
 
 @query
 def q_entry_verdict(spark, sf):
     """F-20 on raw web pages, counted per verdict."""
-    p = read_table(spark, sf, "pages").select(T.entry_verdict(F.col("html")).alias("verdict"))
+    p = store.spread(read_table(spark, sf, "pages")).select(T.entry_verdict(F.col("html")).alias("verdict"))
     return p.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -547,7 +547,7 @@ def q_document_lines(spark, sf):
     non-empty lines; per document the kept lines and the last line number."""
     from logweave.functions.parse import split_lines
 
-    lines = split_lines(read_table(spark, sf, "documents"), content="text", id_col="doc_id")
+    lines = split_lines(store.spread(read_table(spark, sf, "documents")), content="text", id_col="doc_id")
     return lines.groupBy(F.col("raw_log_id").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line_no"), F.sum(F.length("line")).alias("chars"))
 
@@ -581,3 +581,34 @@ def q_detect_timestamp(spark, sf):
 def q_detect_delimiter(spark, sf):
     """D-03: primary delimiter of each source from its first 50 lines."""
     return FD.detect_delimiter(event_log_lines(spark, sf))
+
+
+# ------------------------------------------------------------ queue order (W-09/W-10)
+from logweave.operators.windows import row_number_at_scale  # noqa: E402
+
+# FIXED VALUES: configured priority (1..10) -> queue priority (1 = critical .. 5 = bulk)
+PRIORITY_STEPS = [(8, 1), (6, 2), (4, 3), (2, 4)]
+PRIORITY_BULK = 5
+BATCH_SIZE = 100
+
+
+def queue_priority(config_priority):
+    """F-26."""
+    expr = None
+    for lo, p in PRIORITY_STEPS:
+        expr = F.when(config_priority >= lo, F.lit(p)) if expr is None else expr.when(config_priority >= lo, F.lit(p))
+    return expr.otherwise(F.lit(PRIORITY_BULK))
+
+
+@query
+def q_queue_batches(spark, sf):
+    """F-26/F-27/W-09/W-10: entries in queue order (priority, then time,
+    then id) over all sources, their rank and batch number of 100. Stand-in:
+    the configured priority of a line's source is user_id % 10 + 1."""
+    lines = event_log_lines(spark, sf)
+    e = lines.select(
+        "source_name", F.col("ts").alias("timestamp"), queue_priority(F.col("user_id") % 10 + 1).alias("priority"),
+        F.concat_ws("_", "source_name", F.date_format("ts", "yyyyMMdd_HHmmss_SSSSSS"), F.col("line_no").cast("string")).alias("entry_id"))
+    ranked = row_number_at_scale(e, [], ["priority", "timestamp", "entry_id"], "queue_rank")
+    return ranked.select("entry_id", "source_name", "priority", "queue_rank",
+                         F.floor((F.col("queue_rank") - 1) / BATCH_SIZE).cast("long").alias("batch_no"))

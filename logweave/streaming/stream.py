@@ -36,6 +36,9 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
 
 
 def stream_lines(events: DataFrame) -> DataFrame:
+    """Rendered lines of a micro-batch, spread round-robin over the cores (a
+    file arrives as few splits; the parse is the CPU-heavy step)."""
+    events = events.repartition(events.sparkSession.sparkContext.defaultParallelism)
     return events.select(
         "event_id", "user_id", "ts",
         F.concat(F.lit("rl_"), (F.col("event_id") % N_RAW_LOGS).cast("string")).alias("raw_log_id"),
