@@ -327,3 +327,22 @@ reg("queue_batches", """SELECT entry_id, source_name, priority, queue_rank, CAST
       CASE WHEN user_id % 10 + 1 >= 8 THEN 1 WHEN user_id % 10 + 1 >= 6 THEN 2 WHEN user_id % 10 + 1 >= 4 THEN 3
            WHEN user_id % 10 + 1 >= 2 THEN 4 ELSE 5 END AS priority,
       source_name || '_' || strftime(ts, '%Y%m%d_%H%M%S_%f') || '_' || CAST(line_no AS VARCHAR) AS entry_id FROM lines) e) r""")
+
+# ------------------------------------------------------------ log files
+from checks.oracle import CATEGORIZED, PARSED  # noqa: E402
+
+DOC_LINES = """(SELECT doc_id, doc_id % 8 AS bucket, idx, line FROM (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS idx FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) a) b)"""
+reg("file_admission", "SELECT DISTINCT CAST(doc_id % 8 AS INTEGER) AS bucket, TRUE AS is_valid, CAST(NULL AS VARCHAR) AS reason FROM documents", base=False)
+reg("file_inventory", f"""SELECT CAST(s.bucket AS INTEGER) AS bucket, s.size_bytes, c.line_count, p.preview FROM
+  (SELECT doc_id % 8 AS bucket, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1) s
+  JOIN (SELECT bucket, count(*) AS line_count FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1) c ON s.bucket = c.bucket
+  JOIN (SELECT bucket, string_agg(line, ' | ' ORDER BY doc_id, idx) AS preview FROM (
+          SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, idx) AS k FROM {DOC_LINES} d
+          WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '') x WHERE k <= 3 GROUP BY 1) p ON s.bucket = p.bucket""", base=False)
+_DLINES = f"""dlines AS (SELECT NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, NULL::VARCHAR AS event_type, NULL::DOUBLE AS value,
+  NULL::TIMESTAMP AS ts, CAST(bucket AS VARCHAR) AS raw_log_id, idx AS line_no, NULL::VARCHAR AS source_name, NULL::TIMESTAMP AS ingested_at,
+  regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line, bucket FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '')"""
+reg("file_ingest", "WITH " + _DLINES + "," + PARSED.replace("FROM lines l", "FROM dlines l") + """
+SELECT CAST(raw_log_id AS INTEGER) AS bucket, pattern, valid, count(*) AS n FROM p2 GROUP BY 1, 2, 3""", base=False)

@@ -612,3 +612,35 @@ def q_queue_batches(spark, sf):
     ranked = row_number_at_scale(e, [], ["priority", "timestamp", "entry_id"], "queue_rank")
     return ranked.select("entry_id", "source_name", "priority", "queue_rank",
                          F.floor((F.col("queue_rank") - 1) / BATCH_SIZE).cast("long").alias("batch_no"))
+
+
+# ------------------------------------------------------------ log files (S-01, S-04..S-06)
+from logweave.sources import files as FS  # noqa: E402
+
+
+def _files(spark, sf):
+    return FS.read_log_files(spark, FS.stage_document_files(spark, sf))
+
+
+@query
+def q_file_admission(spark, sf):
+    """S-04: admission verdict of every staged log file."""
+    return FS.admission(_files(spark, sf)).select("bucket", "is_valid", "reason")
+
+
+@query
+def q_file_inventory(spark, sf):
+    """S-06: size, non-empty lines and a 3-line preview per log file."""
+    return FS.inventory(_files(spark, sf)).select("bucket", "size_bytes", "line_count", "preview")
+
+
+@query
+def q_file_ingest(spark, sf):
+    """S-01 + P-01..P-05: whole files read (UTF-8, else Latin-1), split into
+    lines and parsed; lines per (file, format, valid)."""
+    from logweave.functions.parse import split_lines
+    from logweave.plans.ingest import parse_raw_lines
+
+    lines = split_lines(FS.admission(_files(spark, sf)).where("is_valid"), content="content", id_col="path", keep=["bucket"])
+    parsed = parse_raw_lines(store.spread(lines))
+    return parsed.groupBy("bucket", "pattern", "valid").agg(F.count(F.lit(1)).alias("n"))
