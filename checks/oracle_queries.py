@@ -346,3 +346,18 @@ _DLINES = f"""dlines AS (SELECT NULL::BIGINT AS event_id, NULL::BIGINT AS user_i
   regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line, bucket FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '')"""
 reg("file_ingest", "WITH " + _DLINES + "," + PARSED.replace("FROM lines l", "FROM dlines l") + """
 SELECT CAST(raw_log_id AS INTEGER) AS bucket, pattern, valid, count(*) AS n FROM p2 GROUP BY 1, 2, 3""", base=False)
+
+# ------------------------------------------------------------ danger classes
+from logweave.functions.sanitize import BOT_WORDS, DANGER_CLASSES, SCRIPT_PATTERNS  # noqa: E402
+
+
+def _cls(col: str, pats) -> str:
+    return "(" + " OR ".join(f"regexp_matches(lower({col}), {q(p)}, 'i')" for p in pats) + ")"
+
+
+_SCRIPT = lambda col: "(" + " OR ".join(f"regexp_matches(lower({col}), {q(p)}, 'is')" for p in SCRIPT_PATTERNS) + ")"
+reg("danger_classes", "SELECT role, count(*) AS turns, " + ", ".join(f"count_if({_cls('text', p)}) AS {k}" for k, p in DANGER_CLASSES.items())
+    + f", count_if({_SCRIPT('text')}) AS script FROM conversations GROUP BY role", base=False)
+reg("page_scripts", f"SELECT page_id, {_SCRIPT('html')} AS script, ("
+    + " OR ".join(f"contains(lower(url), {q(w)})" for w in BOT_WORDS) + ") AS bot_like, "
+    + ", ".join(f"{_cls('html', p)} AS {k}" for k, p in DANGER_CLASSES.items()) + " FROM pages", base=False)

@@ -93,3 +93,50 @@ def entry_verdict(text: Column) -> Column:
     return (F.when(text.isNull() | (text == "") | (F.length(text) > ENTRY_MAX_CHARS), F.lit("invalid"))
             .when(long_line | bad_char, F.lit("requires_sanitization"))
             .when(sus, F.lit("suspicious")).otherwise(F.lit("valid")))
+
+
+# FIXED VALUES: suspicious-input classes (search on the lower-cased text,
+# case-insensitive). The reference's path list lacks a comma after its second
+# entry, so that entry is the two patterns joined; kept as it acts.
+DANGER_CLASSES = {
+    "path_traversal": [r"\.\./", r"\.\.\\\.\.%2f", r"\.\.%5c", r"%2e%2e%2f", r"%2e%2e%5c"],
+    "command_injection": [r"[;&|`$]", r"\$\(", r"`[^`]*`", r"\|\s*\w+", r";\s*\w+", r"&&\s*\w+", r"\|\|\s*\w+"],
+    "script_injection": [r"<script[^>]*>", r"javascript:", r"vbscript:", r"on\w+\s*=", r"expression\s*\(", r"@import",
+                         r"<iframe[^>]*>", r"<object[^>]*>", r"<embed[^>]*>"],
+    "sql_injection": [r"union\s+select", r"drop\s+table", r"delete\s+from", r"insert\s+into", r"update\s+\w+\s+set",
+                      r"exec\s*\(", r"sp_\w+", r"xp_\w+"],
+}
+# FIXED VALUES: request-text script patterns (case-insensitive, dot matches newline)
+SCRIPT_PATTERNS = [r"<script[^>]*>.*?</script>", r"javascript:", r"vbscript:", r"on\w+\s*=", r"expression\s*\(",
+                   r"@import", r"<iframe[^>]*>", r"<object[^>]*>", r"<embed[^>]*>"]
+BOT_WORDS = ["bot", "crawler", "spider", "scraper", "curl", "wget"]
+
+
+def danger_classes(text: Column) -> Column:
+    """F-21: map class -> whether any of its patterns occurs."""
+    low = F.lower(text)
+    pairs = []
+    for cls, pats in DANGER_CLASSES.items():
+        hit = F.lit(False)
+        for p in pats:
+            hit = hit | low.rlike("(?Ui)" + p)
+        pairs += [F.lit(cls), hit]
+    return F.create_map(*pairs)
+
+
+def has_script(text: Column) -> Column:
+    """F-22."""
+    low = F.lower(text)
+    hit = F.lit(False)
+    for p in SCRIPT_PATTERNS:
+        hit = hit | low.rlike("(?Uis)" + p)
+    return hit
+
+
+def is_bot_agent(agent: Column) -> Column:
+    """F-23: user agent contains a bot word."""
+    low = F.lower(agent)
+    hit = F.lit(False)
+    for w in BOT_WORDS:
+        hit = hit | low.contains(w)
+    return hit

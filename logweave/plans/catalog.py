@@ -644,3 +644,24 @@ def q_file_ingest(spark, sf):
     lines = split_lines(FS.admission(_files(spark, sf)).where("is_valid"), content="content", id_col="path", keep=["bucket"])
     parsed = parse_raw_lines(store.spread(lines))
     return parsed.groupBy("bucket", "pattern", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_danger_classes(spark, sf):
+    """F-21/F-22 on every conversation turn: hit per suspicious class and
+    the script flag, counted per role."""
+    c = store.spread(read_table(spark, sf, "conversations")).select(
+        "role", T.danger_classes(F.col("text")).alias("_d"), T.has_script(F.col("text")).alias("script"))
+    return c.groupBy("role").agg(
+        F.count(F.lit(1)).alias("turns"),
+        *[F.count_if(F.col("_d")[k]).alias(k) for k in T.DANGER_CLASSES], F.count_if("script").alias("script"))
+
+
+@query
+def q_page_scripts(spark, sf):
+    """F-21/F-22/F-23 on raw pages: script flag and classes per page; the
+    page URL is tested as a user agent for bot words."""
+    p = store.spread(read_table(spark, sf, "pages")).select(
+        "page_id", T.has_script(F.col("html")).alias("script"), T.danger_classes(F.col("html")).alias("_d"),
+        T.is_bot_agent(F.col("url")).alias("bot_like"))
+    return p.select("page_id", "script", "bot_like", *[F.col("_d")[k].alias(k) for k in T.DANGER_CLASSES])
