@@ -361,3 +361,27 @@ reg("danger_classes", "SELECT role, count(*) AS turns, " + ", ".join(f"count_if(
 reg("page_scripts", f"SELECT page_id, {_SCRIPT('html')} AS script, ("
     + " OR ".join(f"contains(lower(url), {q(w)})" for w in BOT_WORDS) + ") AS bot_like, "
     + ", ".join(f"{_cls('html', p)} AS {k}" for k, p in DANGER_CLASSES.items()) + " FROM pages", base=False)
+
+# ------------------------------------------------------------ fan-out, cascade, expiry
+from logweave.plans.catalog import CLIENT_FILTERS  # noqa: E402
+
+
+def _lst_sql(xs):
+    return "[" + ", ".join(q(x) for x in xs) + "]::VARCHAR[]"
+
+
+_CF = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({q(c)}, {_lst_sql(t)}, {'NULL' if lo is None else lo}::INTEGER, {'NULL' if hi is None else hi}::INTEGER, {_lst_sql(cs)}, {_lst_sql(ss)})"
+    for c, t, lo, hi, cs, ss in CLIENT_FILTERS) + ") f(client_id, event_types, min_priority, max_priority, categories, sources))"
+reg("client_fanout", f"""SELECT f.client_id, count(*) AS deliveries FROM
+  (SELECT id, category, source, 'security_event' AS event_type, coalesce(severity_score, 5) AS priority FROM {joined_cols()} j) u
+  JOIN {_CF} f ON (len(f.event_types) = 0 OR list_contains(f.event_types, u.event_type))
+   AND (coalesce(f.min_priority, 0) = 0 OR u.priority >= f.min_priority)
+   AND (coalesce(f.max_priority, 0) = 0 OR u.priority <= f.max_priority)
+   AND (len(f.categories) = 0 OR list_contains(f.categories, u.category))
+   AND (len(f.sources) = 0 OR list_contains(f.sources, u.source))
+GROUP BY f.client_id""")
+reg("cascade_keep", """SELECT 'events' AS table_name, count(*) AS kept FROM scored WHERE raw_log_id <> 'rl_5'
+UNION ALL SELECT 'ai_analysis', count(*) FROM analysis WHERE event_id NOT IN (SELECT id FROM scored WHERE raw_log_id = 'rl_5')""")
+reg("session_expiry", f"""SELECT role, count_if(TIMESTAMP '2024-01-15 12:00:00' > expires_at) AS expired,
+  count_if(TIMESTAMP '2024-01-15 12:00:00' <= expires_at) AS kept FROM {SESSIONS} s GROUP BY role""", base=False)

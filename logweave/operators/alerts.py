@@ -79,3 +79,23 @@ def alert_text(df: DataFrame, prefix: str = "Security Alert") -> DataFrame:
         F.concat(F.lit("Message: "), F.col("message")), analysis, F.lit(""),
         F.concat(F.lit("Event ID: "), F.col("id")), F.lit("Generated by real-time monitoring"))
     return df.withColumn("subject", subject).withColumn("body", body)
+
+
+CLIENT_FILTER_SCHEMA = ("client_id string, event_types array<string>, min_priority int, max_priority int, "
+                        "categories array<string>, sources array<string>")
+
+
+def client_fanout(updates: DataFrame, filters: DataFrame) -> DataFrame:
+    """J-06/P-19: (update, client) pairs whose subscription filter matches;
+    empty lists and unset bounds accept everything. Filters are broadcast
+    behind the size check."""
+    f = broadcast_if_small(filters).alias("f")
+    u = updates.alias("u")
+    cond = (
+        ((F.size("f.event_types") == 0) | F.array_contains("f.event_types", F.col("u.event_type")))
+        & (F.coalesce(F.col("f.min_priority"), F.lit(0)).eqNullSafe(0) | (F.col("u.priority") >= F.col("f.min_priority")))
+        & (F.coalesce(F.col("f.max_priority"), F.lit(0)).eqNullSafe(0) | (F.col("u.priority") <= F.col("f.max_priority")))
+        & ((F.size("f.categories") == 0) | F.array_contains("f.categories", F.col("u.category")))
+        & ((F.size("f.sources") == 0) | F.array_contains("f.sources", F.col("u.source")))
+    )
+    return u.join(f, cond, "inner").select("u.*", "f.client_id")

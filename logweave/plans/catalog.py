@@ -665,3 +665,44 @@ def q_page_scripts(spark, sf):
         "page_id", T.has_script(F.col("html")).alias("script"), T.danger_classes(F.col("html")).alias("_d"),
         T.is_bot_agent(F.col("url")).alias("bot_like"))
     return p.select("page_id", "script", "bot_like", *[F.col("_d")[k].alias(k) for k in T.DANGER_CLASSES])
+
+
+# ------------------------------------------------------------ fan-out, cascade, expiry
+CLIENT_FILTERS = [
+    ("c_all", [], None, None, [], []),
+    ("c_auth_high", ["security_event"], 7, None, ["auth"], []),
+    ("c_kernel_system", [], None, None, ["kernel", "system"], []),
+    ("c_low", [], 1, 3, [], []),
+    ("c_host0_sshd", [], None, None, [], ["host0:sshd[1000]"]),
+]
+
+
+@query
+def q_client_fanout(spark, sf):
+    """J-06: recipients of each event update (priority = severity, 5 when
+    there is no analysis), counted per client."""
+    upd = _joined(spark, sf).select("id", "category", "source", F.lit("security_event").alias("event_type"),
+                                    F.coalesce("severity_score", F.lit(5)).alias("priority"))
+    f = spark.createDataFrame(CLIENT_FILTERS, A.CLIENT_FILTER_SCHEMA)
+    return A.client_fanout(upd, f).groupBy("client_id").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+@query
+def q_cascade_keep(spark, sf):
+    """U-07: rows left after deleting raw log rl_5 with its events and their
+    analyses (anti joins)."""
+    ev, an = _ev(spark, sf), _an(spark, sf)
+    gone = ev.where(F.col("raw_log_id") == "rl_5").select(F.col("id").alias("event_id"))
+    ev_keep = ev.where(F.col("raw_log_id") != "rl_5")
+    an_keep = an.join(gone, "event_id", "left_anti")
+    return (ev_keep.agg(F.count(F.lit(1)).alias("kept")).select(F.lit("events").alias("table_name"), "kept")
+            .unionByName(an_keep.agg(F.count(F.lit(1)).alias("kept")).select(F.lit("ai_analysis").alias("table_name"), "kept")))
+
+
+@query
+def q_session_expiry(spark, sf):
+    """U-08: sessions expired / still valid at 2024-01-15 12:00 per role."""
+    t = F.lit(dt.datetime(2024, 1, 15, 12)).cast("timestamp_ntz")
+    s = relabel.user_sessions(spark, sf)
+    return s.groupBy("role").agg(F.count_if(t > F.col("expires_at")).alias("expired"),
+                                 F.count_if(t <= F.col("expires_at")).alias("kept"))
