@@ -385,3 +385,20 @@ reg("cascade_keep", """SELECT 'events' AS table_name, count(*) AS kept FROM scor
 UNION ALL SELECT 'ai_analysis', count(*) FROM analysis WHERE event_id NOT IN (SELECT id FROM scored WHERE raw_log_id = 'rl_5')""")
 reg("session_expiry", f"""SELECT role, count_if(TIMESTAMP '2024-01-15 12:00:00' > expires_at) AS expired,
   count_if(TIMESTAMP '2024-01-15 12:00:00' <= expires_at) AS kept FROM {SESSIONS} s GROUP BY role""", base=False)
+
+# ------------------------------------------------------------ health grade
+HOST = """(SELECT event_id AS id, 'c' || CAST(user_id % 6 AS VARCHAR) AS component, ts, least(value / 5.0::DOUBLE, 100.0::DOUBLE) AS cpu_usage,
+  least(value / 400.0::DOUBLE, 1.0::DOUBLE) AS memory_usage, CAST(event_id % 100 AS DOUBLE) / 100.0::DOUBLE AS cache_hit_rate,
+  CASE WHEN event_type = 'view' THEN user_id * 10 END AS queue_size, CASE WHEN event_type <> 'error' THEN value * 3.0::DOUBLE END AS processing_rate,
+  CASE WHEN event_type = 'signup' THEN NULL ELSE event_type IN ('click', 'purchase') END AS batch_enabled FROM events)"""
+_SCORE = """least(1.0::DOUBLE, greatest(0.0::DOUBLE, greatest(0.0::DOUBLE, 1.0::DOUBLE - cpu_usage / 100.0::DOUBLE) * 0.2::DOUBLE
+  + greatest(0.0::DOUBLE, 1.0::DOUBLE - memory_usage) * 0.2::DOUBLE
+  + cache_hit_rate * 0.15::DOUBLE + coalesce(greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(queue_size AS DOUBLE) / 10000.0::DOUBLE), 0.8::DOUBLE) * 0.15::DOUBLE
+  + coalesce(least(1.0::DOUBLE, processing_rate / 1000.0::DOUBLE), 0.8::DOUBLE) * 0.15::DOUBLE
+  + coalesce(CASE WHEN batch_enabled THEN 1.0::DOUBLE WHEN NOT batch_enabled THEN 0.7::DOUBLE END, 0.8::DOUBLE) * 0.15::DOUBLE))"""
+reg("health_grade", f"""SELECT id, component, s AS health_score, CASE WHEN s >= 0.9 THEN 'A' WHEN s >= 0.8 THEN 'B'
+  WHEN s >= 0.7 THEN 'C' WHEN s >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM (
+  SELECT id, component, CAST({_SCORE} AS DOUBLE) AS s FROM {HOST} h) x""", base=False)
+reg("host_averages", f"""SELECT component, count(*) AS samples, round(avg(cpu_usage), 6) AS avg_cpu, round(avg(memory_usage), 6) AS avg_memory,
+  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0, 6) AS span_minutes FROM (
+  SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, id DESC) AS r FROM {HOST} h) x WHERE r <= 10 GROUP BY component""", base=False)

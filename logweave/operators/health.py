@@ -80,3 +80,47 @@ def map_diff(old: Column, new: Column) -> Column:
     on one side only counts as changed)."""
     keys = F.array_union(F.map_keys(old), F.map_keys(new))
     return F.array_sort(F.filter(keys, lambda k: ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k))))
+
+
+# FIXED VALUES: health score weights and grade steps
+HEALTH_WEIGHTS = {"cpu": 0.2, "memory": 0.2, "cache": 0.15, "queue": 0.15, "rate": 0.15, "config": 0.15}
+MISSING_PART_SCORE = 0.8
+MAX_QUEUE = 10000
+RATE_NORM = 1000.0
+CONFIG_SCORE_ON, CONFIG_SCORE_OFF = 1.0, 0.7
+GRADES = [(0.9, "A"), (0.8, "B"), (0.7, "C"), (0.6, "D")]
+
+
+def health_score(cpu: Column, memory: Column, cache: Column, queue: Column, rate: Column, batch: Column) -> Column:
+    """F-31: weighted score in [0, 1]; a part that is not reported counts 0.8."""
+    w = HEALTH_WEIGHTS
+    parts = [
+        F.greatest(F.lit(0.0), 1.0 - cpu / 100.0) * w["cpu"],
+        F.greatest(F.lit(0.0), 1.0 - memory) * w["memory"],
+        cache * w["cache"],
+        F.coalesce(F.greatest(F.lit(0.0), 1.0 - queue / float(MAX_QUEUE)), F.lit(MISSING_PART_SCORE)) * w["queue"],
+        F.coalesce(F.least(F.lit(1.0), rate / RATE_NORM), F.lit(MISSING_PART_SCORE)) * w["rate"],
+        F.coalesce(F.when(batch, F.lit(CONFIG_SCORE_ON)).when(~batch, F.lit(CONFIG_SCORE_OFF)), F.lit(MISSING_PART_SCORE)) * w["config"],
+    ]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+
+
+def grade(score: Column) -> Column:
+    expr = None
+    for lo, g in GRADES:
+        expr = F.when(score >= lo, F.lit(g)) if expr is None else expr.when(score >= lo, F.lit(g))
+    return expr.otherwise(F.lit("F"))
+
+
+def host_averages(samples: DataFrame, key: str, ts: str, n: int = 10) -> DataFrame:
+    """W-13: averages over the last ``n`` samples per key and their time span
+    in minutes."""
+    s = last_samples(samples, key, ts, n)
+    g = s.groupBy(key).agg(F.avg("cpu_usage").alias("avg_cpu"), F.avg("memory_usage").alias("avg_memory"),
+                           F.min(ts).alias("_t0"), F.max(ts).alias("_t1"), F.count(F.lit(1)).alias("samples"))
+    span = (F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / 60_000_000.0
+    return g.select(key, "samples", F.round("avg_cpu", 6).alias("avg_cpu"), F.round("avg_memory", 6).alias("avg_memory"),
+                    F.round(span, 6).alias("span_minutes"))

@@ -706,3 +706,18 @@ def q_session_expiry(spark, sf):
     s = relabel.user_sessions(spark, sf)
     return s.groupBy("role").agg(F.count_if(t > F.col("expires_at")).alias("expired"),
                                  F.count_if(t <= F.col("expires_at")).alias("kept"))
+
+
+@query
+def q_health_grade(spark, sf):
+    """F-31: health score and grade of every host sample."""
+    h = relabel.host_samples(spark, sf)
+    sc = H.health_score(F.col("cpu_usage"), F.col("memory_usage"), F.col("cache_hit_rate"), F.col("queue_size"),
+                        F.col("processing_rate"), F.col("batch_enabled"))
+    return h.select("id", "component", sc.alias("health_score"), H.grade(sc).alias("grade"))
+
+
+@query
+def q_host_averages(spark, sf):
+    """W-13: last-10 averages and time span per component."""
+    return H.host_averages(relabel.host_samples(spark, sf), "component", "ts", 10)

@@ -104,3 +104,18 @@ def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in ERROR_MESSAGES]), k).alias("message"),
         F.concat(F.lit("c"), _s(F.col("user_id") % 6)).alias("component"), F.col("ts").alias("ts"),
     )
+
+
+def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host/optimizer samples: cpu %, memory share, cache hit rate, queue size,
+    processing rate and batch setting (NULL = the part is not reported)."""
+    e = _events(spark, sf_dir)
+    et = F.col("event_type")
+    return e.select(
+        F.col("event_id").alias("id"), F.concat(F.lit("c"), _s(F.col("user_id") % 6)).alias("component"), F.col("ts").alias("ts"),
+        F.least(F.col("value") / 5, F.lit(100.0)).alias("cpu_usage"), F.least(F.col("value") / 400, F.lit(1.0)).alias("memory_usage"),
+        ((F.col("event_id") % 100) / 100.0).alias("cache_hit_rate"),
+        F.when(et == "view", F.col("user_id") * 10).alias("queue_size"),
+        F.when(et != "error", F.col("value") * 3).alias("processing_rate"),
+        F.when(et == "signup", F.lit(None).cast("boolean")).otherwise(et.isin("click", "purchase")).alias("batch_enabled"),
+    )
