@@ -402,3 +402,12 @@ reg("health_grade", f"""SELECT id, component, s AS health_score, CASE WHEN s >=
 reg("host_averages", f"""SELECT component, count(*) AS samples, round(avg(cpu_usage), 6) AS avg_cpu, round(avg(memory_usage), 6) AS avg_memory,
   round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0, 6) AS span_minutes FROM (
   SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, id DESC) AS r FROM {HOST} h) x WHERE r <= 10 GROUP BY component""", base=False)
+
+# ------------------------------------------------------------ history / metrics / audit filters
+reg("notification_history", f"""SELECT id, notification_type, channel, status, sent_at FROM {NOTIF} x
+WHERE notification_type LIKE '%rule1%' AND channel = 'email' AND status = 'failed' ORDER BY sent_at DESC, id DESC LIMIT 100""", base=False)
+reg("metrics_for_source", f"""SELECT id, metric_type, metric_value FROM {METRICS} x WHERE {last_hours('"timestamp"', 72)}
+  AND coalesce(json_extract_string(metric_metadata, '$.source_name'), source_name) = 'src3'""", base=False)
+reg("audit_query", f"""SELECT id, event_type, username, "timestamp" FROM {AUDIT} x WHERE event_type IN ('error', 'click')
+  AND "timestamp" >= TIMESTAMP '2024-01-08 00:00:00' AND "timestamp" <= TIMESTAMP '2024-01-15 00:00:00' AND severity = 'high'
+ORDER BY "timestamp" DESC, id DESC LIMIT 20 OFFSET 20""", base=False)

@@ -180,3 +180,49 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str = "event_id", pk: str =
     """J-05: child rows whose parent is missing (anti join, NULL-safe unlike
     ``NOT IN``)."""
     return child.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+
+
+def notification_history(nh: DataFrame, limit: int = 100, rule: str | None = None, channel: str | None = None,
+                         status: str | None = None, event_id=None) -> DataFrame:
+    """P-16: history filtered by rule (LIKE %rule%), channel, status, event,
+    newest first, at most ``limit`` rows (a top-k, not a full sort)."""
+    cond = F.lit(True)
+    if rule:
+        cond = cond & F.col("notification_type").like(f"%{rule}%")
+    if channel:
+        cond = cond & (F.col("channel") == channel)
+    if status:
+        cond = cond & (F.col("status") == status)
+    if event_id is not None:
+        cond = cond & (F.col("event_id") == event_id)
+    return top_n(nh.where(cond), limit, [F.col("sent_at").desc(), F.col("id").desc()])
+
+
+def metrics_for_source(pm: DataFrame, source: str | None, hours: int, ref_ts=R.REF_TS) -> DataFrame:
+    """P-17: metrics of the last ``hours`` whose JSON metadata names the
+    source (``$.source_name``), falling back to the row's source column."""
+    m = last_hours(pm, hours, ref_ts)
+    if source:
+        src = F.coalesce(F.get_json_object("metric_metadata", "$.source_name"), F.col("source_name"))
+        m = m.where(src == source)
+    return m
+
+
+def audit_query(audit: DataFrame, limit: int = 100, offset: int = 0, event_types: list[str] | None = None,
+                user: str | None = None, start=None, end=None, severity: str | None = None,
+                success: bool | None = None) -> DataFrame:
+    """P-18: optional predicates ANDed, newest first, offset/limit."""
+    cond = F.lit(True)
+    if event_types:
+        cond = cond & F.col("event_type").isin(event_types)
+    if user:
+        cond = cond & (F.col("username") == user)
+    if start is not None:
+        cond = cond & (F.col("timestamp") >= lit_ts(start))
+    if end is not None:
+        cond = cond & (F.col("timestamp") <= lit_ts(end))
+    if severity:
+        cond = cond & (F.col("severity") == severity)
+    if success is not None:
+        cond = cond & (F.col("success") == F.lit(success))
+    return audit.where(cond).orderBy(F.col("timestamp").desc(), F.col("id").desc()).offset(offset).limit(limit)

@@ -721,3 +721,25 @@ def q_health_grade(spark, sf):
 def q_host_averages(spark, sf):
     """W-13: last-10 averages and time span per component."""
     return H.host_averages(relabel.host_samples(spark, sf), "component", "ts", 10)
+
+
+@query
+def q_notification_history(spark, sf):
+    """P-16: the 100 newest failed email notifications of rule types like 'rule1'."""
+    nh = relabel.notification_history(spark, sf)
+    return E.notification_history(nh, 100, rule="rule1", channel="email", status="failed").select(
+        "id", "notification_type", "channel", "status", "sent_at")
+
+
+@query
+def q_metrics_for_source(spark, sf):
+    """P-17: metrics of the last 72 hours for source src3."""
+    return E.metrics_for_source(relabel.processing_metrics(spark, sf), "src3", 72).select("id", "metric_type", "metric_value")
+
+
+@query
+def q_audit_query(spark, sf):
+    """P-18: failed error/click audit rows of high severity in a week, page 2."""
+    a = relabel.audit_logs(spark, sf)
+    return E.audit_query(a, limit=20, offset=20, event_types=["error", "click"], start=dt.datetime(2024, 1, 8),
+                         end=dt.datetime(2024, 1, 15), severity="high").select("id", "event_type", "username", "timestamp")
