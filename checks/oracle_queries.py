@@ -411,3 +411,13 @@ reg("metrics_for_source", f"""SELECT id, metric_type, metric_value FROM {METRICS
 reg("audit_query", f"""SELECT id, event_type, username, "timestamp" FROM {AUDIT} x WHERE event_type IN ('error', 'click')
   AND "timestamp" >= TIMESTAMP '2024-01-08 00:00:00' AND "timestamp" <= TIMESTAMP '2024-01-15 00:00:00' AND severity = 'high'
 ORDER BY "timestamp" DESC, id DESC LIMIT 20 OFFSET 20""", base=False)
+
+# ------------------------------------------------------------ character / file-name sanitizing
+_BAD = "[^\\x20-\\x7E\\t\\n\\r]"
+_CHARS = f"regexp_replace(regexp_replace(text, '({_BAD}{{10}}){_BAD}+', '\\1', 'g'), '{_BAD}', '?', 'g')"
+_CUT = (f"array_to_string(list_transform(string_split({_CHARS}, chr(10)), lambda l: CASE WHEN length(l) > 32768 "
+        "THEN left(l, 32768) || ' [TRUNCATED]' ELSE l END), chr(10))")
+reg("char_sanitize", f"SELECT doc_id, length(s) AS sanitized_chars, md5(s) AS sanitized_md5, s <> text AS modified FROM (SELECT doc_id, text, {_CUT} AS s FROM documents) d", base=False)
+reg("filename_sanitize", """SELECT page_id, left(CASE WHEN s IN ('', '.', '..') THEN 'sanitized_file' ELSE s END, 255) AS safe_name FROM (
+  SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(url, '..', ''), '/', ''), '\\', ''), '[\\x00-\\x1F\\x7F]', '', 'g'),
+    '[^a-zA-Z0-9._-]', '_', 'g') AS s FROM pages) p""", base=False)

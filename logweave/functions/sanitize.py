@@ -140,3 +140,32 @@ def is_bot_agent(agent: Column) -> Column:
     for w in BOT_WORDS:
         hit = hit | low.contains(w)
     return hit
+
+
+# FIXED VALUES: entry character clean-up
+REPLACEMENT_CHAR = "?"
+MAX_CONSECUTIVE_REPLACEMENTS = 10
+BAD_CHAR = r"[^\x20-\x7E\t\n\r]"
+TRUNCATED_MARK = " [TRUNCATED]"
+
+
+def replace_bad_chars(text: Column) -> Column:
+    """F-17: characters outside printable ASCII + tab/LF/CR become '?', at
+    most 10 in a row (longer runs are cut first)."""
+    capped = F.regexp_replace(text, f"({BAD_CHAR}{{{MAX_CONSECUTIVE_REPLACEMENTS}}}){BAD_CHAR}+", "$1")
+    return F.regexp_replace(capped, BAD_CHAR, REPLACEMENT_CHAR)
+
+
+def cut_long_lines(text: Column, max_len: int = ENTRY_MAX_LINE) -> Column:
+    """F-17: lines longer than ``max_len`` are cut and marked."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda l: F.when(
+        F.length(l) > max_len, F.concat(F.substring(l, 1, max_len), F.lit(TRUNCATED_MARK))).otherwise(l)), "\n")
+
+
+def sanitize_filename(name: Column) -> Column:
+    """F-16: drop '..', '/', '\\' and control characters, map anything but
+    [A-Za-z0-9._-] to '_', name empty/'.'/'..' -> 'sanitized_file', cut to 255."""
+    s = F.replace(F.replace(F.replace(name, F.lit(".."), F.lit("")), F.lit("/"), F.lit("")), F.lit("\\"), F.lit(""))
+    s = F.regexp_replace(F.regexp_replace(s, r"[\x00-\x1F\x7F]", ""), r"[^a-zA-Z0-9._-]", "_")
+    s = F.when(s.isin("", ".", ".."), F.lit("sanitized_file")).otherwise(s)
+    return F.substring(s, 1, 255)

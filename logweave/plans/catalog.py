@@ -743,3 +743,19 @@ def q_audit_query(spark, sf):
     a = relabel.audit_logs(spark, sf)
     return E.audit_query(a, limit=20, offset=20, event_types=["error", "click"], start=dt.datetime(2024, 1, 8),
                          end=dt.datetime(2024, 1, 15), severity="high").select("id", "event_type", "username", "timestamp")
+
+
+@query
+def q_char_sanitize(spark, sf):
+    """F-17 on whole documents: bad characters replaced (runs capped), long
+    lines cut; digest and whether anything changed."""
+    d = store.spread(read_table(spark, sf, "documents")).select(
+        "doc_id", "text", T.cut_long_lines(T.replace_bad_chars(F.col("text"))).alias("_s"))
+    return d.select("doc_id", F.length("_s").alias("sanitized_chars"), F.md5("_s").alias("sanitized_md5"),
+                    (F.col("_s") != F.col("text")).alias("modified"))
+
+
+@query
+def q_filename_sanitize(spark, sf):
+    """F-16 on page URLs taken as upload names."""
+    return read_table(spark, sf, "pages").select("page_id", T.sanitize_filename(F.col("url")).alias("safe_name"))
