@@ -421,3 +421,20 @@ reg("char_sanitize", f"SELECT doc_id, length(s) AS sanitized_chars, md5(s) AS sa
 reg("filename_sanitize", """SELECT page_id, left(CASE WHEN s IN ('', '.', '..') THEN 'sanitized_file' ELSE s END, 255) AS safe_name FROM (
   SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(url, '..', ''), '/', ''), '\\', ''), '[\\x00-\\x1F\\x7F]', '', 'g'),
     '[^a-zA-Z0-9._-]', '_', 'g') AS s FROM pages) p""", base=False)
+
+# ------------------------------------------------------------ event validation
+_BLANK = lambda c: f"({c} IS NULL OR regexp_replace({c}, '^\\s+|\\s+$', '', 'g') = '')"
+reg("event_validation", f"""SELECT errors, count(*) AS n FROM (SELECT array_to_string(list_filter([
+  CASE WHEN {_BLANK('id')} THEN 'Event ID must be a non-empty string' END,
+  CASE WHEN {_BLANK('raw_log_id')} THEN 'Raw log ID must be a non-empty string' END,
+  CASE WHEN "timestamp" > {REF} + INTERVAL 1 HOUR THEN 'Invalid timestamp: Event timestamp is too far in the future'
+       WHEN "timestamp" < {REF} - INTERVAL 3650 DAY THEN 'Invalid timestamp: Event timestamp is too far in the past' END,
+  CASE WHEN {_BLANK('source')} THEN 'Invalid source: Source cannot be empty'
+       WHEN length(source) > 255 THEN 'Invalid source: Source identifier too long (maximum 255 characters)'
+       WHEN NOT regexp_full_match(source, '[a-zA-Z0-9_\\-\\.:]+') THEN
+         'Invalid source: Source must contain only alphanumeric characters, underscores, hyphens, dots, and colons' END,
+  CASE WHEN {_BLANK('message')} THEN 'Event message must be a non-empty string'
+       WHEN length(message) > 10000 THEN 'Event message too long (maximum 10000 characters)' END,
+  CASE WHEN lower(category) NOT IN ({', '.join(q(c) for c in R.CATEGORIES)}) THEN
+       'Invalid category: Invalid category. Must be one of: {', '.join(R.CATEGORIES)}' END], lambda x: x IS NOT NULL), ' | ') AS errors
+  FROM scored) e GROUP BY errors""")

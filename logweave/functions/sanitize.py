@@ -169,3 +169,32 @@ def sanitize_filename(name: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"[\x00-\x1F\x7F]", ""), r"[^a-zA-Z0-9._-]", "_")
     s = F.when(s.isin("", ".", ".."), F.lit("sanitized_file")).otherwise(s)
     return F.substring(s, 1, 255)
+
+
+SOURCE_ID_PATTERN = r"^[a-zA-Z0-9_\-\.:]+$"
+
+
+def event_errors(id_: Column, raw_log_id: Column, ts: Column, source: Column, message: Column, category: Column,
+                 ref_ts) -> Column:
+    """F-19: validation errors of an event row, in check order (empty array
+    when valid): ids, time within [ref - 3650 d, ref + 1 h], source format,
+    message presence and length, category set."""
+    from logweave.functions.parse import lit_ts
+
+    ref = lit_ts(ref_ts)
+    blank = lambda c: c.isNull() | (F.regexp_replace(c, r"(?U)^\s+|\s+$", "") == "")
+    cats = ", ".join(R.CATEGORIES)
+    src_err = (F.when(blank(source), F.lit("Invalid source: Source cannot be empty"))
+               .when(F.length(source) > 255, F.lit("Invalid source: Source identifier too long (maximum 255 characters)"))
+               .when(~source.rlike(SOURCE_ID_PATTERN), F.lit(
+                   "Invalid source: Source must contain only alphanumeric characters, underscores, hyphens, dots, and colons")))
+    ts_err = (F.when(ts > ref + F.expr("INTERVAL 1 HOURS"), F.lit("Invalid timestamp: Event timestamp is too far in the future"))
+              .when(ts < ref - F.expr("INTERVAL 3650 DAYS"), F.lit("Invalid timestamp: Event timestamp is too far in the past")))
+    msg_err = (F.when(blank(message), F.lit("Event message must be a non-empty string"))
+               .when(F.length(message) > R.LIMITS["message_chars"], F.lit("Event message too long (maximum 10000 characters)")))
+    cat_err = F.when(~F.lower(category).isin(R.CATEGORIES),
+                     F.lit(f"Invalid category: Invalid category. Must be one of: {cats}"))
+    return F.array_compact(F.array(
+        F.when(blank(id_), F.lit("Event ID must be a non-empty string")),
+        F.when(blank(raw_log_id), F.lit("Raw log ID must be a non-empty string")),
+        ts_err, src_err, msg_err, cat_err))

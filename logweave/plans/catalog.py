@@ -759,3 +759,12 @@ def q_char_sanitize(spark, sf):
 def q_filename_sanitize(spark, sf):
     """F-16 on page URLs taken as upload names."""
     return read_table(spark, sf, "pages").select("page_id", T.sanitize_filename(F.col("url")).alias("safe_name"))
+
+
+@query
+def q_event_validation(spark, sf):
+    """F-19: events per list of validation errors ('' = valid)."""
+    ev = _ev(spark, sf)
+    errs = T.event_errors(F.col("id"), F.col("raw_log_id"), F.col("timestamp"), F.col("source"), F.col("message"),
+                          F.col("category"), R.REF_TS)
+    return ev.select(F.array_join(errs, " | ").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
