@@ -438,3 +438,4 @@ reg("event_validation", f"""SELECT errors, count(*) AS n FROM (SELECT array_to_s
   CASE WHEN lower(category) NOT IN ({', '.join(q(c) for c in R.CATEGORIES)}) THEN
        'Invalid category: Invalid category. Must be one of: {', '.join(R.CATEGORIES)}' END], lambda x: x IS NOT NULL), ' | ') AS errors
   FROM scored) e GROUP BY errors""")
+reg("analysis_methods", "SELECT 'rules' AS analysis_method, count(*) AS n FROM scored")

@@ -768,3 +768,12 @@ def q_event_validation(spark, sf):
     errs = T.event_errors(F.col("id"), F.col("raw_log_id"), F.col("timestamp"), F.col("source"), F.col("message"),
                           F.col("category"), R.REF_TS)
     return ev.select(F.array_join(errs, " | ").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_analysis_methods(spark, sf):
+    """X-01/A-36: analyses per method with no external scorer configured
+    (every event falls back to the rules)."""
+    from logweave.operators.scoring import method_counts, score_events_with
+
+    return method_counts(score_events_with(_ev(spark, sf)))
