@@ -439,3 +439,14 @@ reg("event_validation", f"""SELECT errors, count(*) AS n FROM (SELECT array_to_s
        'Invalid category: Invalid category. Must be one of: {', '.join(R.CATEGORIES)}' END], lambda x: x IS NOT NULL), ' | ') AS errors
   FROM scored) e GROUP BY errors""")
 reg("analysis_methods", "SELECT 'rules' AS analysis_method, count(*) AS n FROM scored")
+
+# ------------------------------------------------------------ component / overall status
+SNAP = f"""(SELECT component, arg_max(queue_size, {{'t': ts, 'i': id}}) FILTER (WHERE queue_size IS NOT NULL) AS queue_size,
+  count_if(processing_rate IS NOT NULL) AS processed, count_if(processing_rate IS NULL) AS errors FROM {HOST} h GROUP BY component)"""
+STAT = f"""(SELECT *, queue_size / 1000.0::DOUBLE * 100.0::DOUBLE AS queue_utilization,
+  CASE WHEN queue_size / 1000.0::DOUBLE * 100.0::DOUBLE > 90 THEN 'critical' WHEN queue_size / 1000.0::DOUBLE * 100.0::DOUBLE > 70 THEN 'warning'
+       WHEN errors > processed * 0.1::DOUBLE THEN 'warning' ELSE 'healthy' END AS status FROM {SNAP} s)"""
+reg("component_status", f"SELECT component, queue_size, processed, errors, queue_utilization, status FROM {STAT} x", base=False)
+reg("overall_status", f"""SELECT CASE WHEN count(*) = 0 THEN 'unknown' WHEN bool_or(status = 'critical') THEN 'critical'
+  WHEN bool_or(status = 'warning') THEN 'warning' WHEN bool_and(status = 'healthy') THEN 'healthy' ELSE 'unknown' END AS overall_status,
+  count(*) AS components FROM {STAT} x""", base=False)

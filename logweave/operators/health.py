@@ -124,3 +124,31 @@ def host_averages(samples: DataFrame, key: str, ts: str, n: int = 10) -> DataFra
     span = (F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / 60_000_000.0
     return g.select(key, "samples", F.round("avg_cpu", 6).alias("avg_cpu"), F.round("avg_memory", 6).alias("avg_memory"),
                     F.round(span, 6).alias("span_minutes"))
+
+
+# FIXED VALUES: queue health check
+QUEUE_MAX = 1000
+QUEUE_CRITICAL_PCT, QUEUE_WARNING_PCT = 90, 70
+ERROR_SHARE_WARNING = 0.1
+STATUS_RANK = {"healthy": 0, "unknown": 1, "warning": 2, "critical": 3}
+
+
+def queue_status(snap: DataFrame) -> DataFrame:
+    """F-32 (queue check) per component snapshot with ``queue_size``,
+    ``processed`` and ``errors``: utilization > 90 % critical, > 70 %
+    warning, errors > 10 % of processed warning, else healthy."""
+    util = F.col("queue_size") / F.lit(float(QUEUE_MAX)) * 100.0
+    status = (F.when(util > QUEUE_CRITICAL_PCT, "critical").when(util > QUEUE_WARNING_PCT, "warning")
+              .when(F.col("errors") > F.col("processed") * ERROR_SHARE_WARNING, "warning").otherwise("healthy"))
+    return snap.withColumn("queue_utilization", util).withColumn("status", status)
+
+
+def overall_status(statuses: DataFrame, status: str = "status") -> DataFrame:
+    """F-33: critical if any is critical, else warning if any is warning,
+    else healthy when all are healthy, else unknown (no rows: unknown)."""
+    s = F.col(status)
+    return statuses.agg(
+        F.when(F.count(F.lit(1)) == 0, "unknown").when(F.bool_or(s == "critical"), "critical")
+        .when(F.bool_or(s == "warning"), "warning").when(F.bool_and(s == "healthy"), "healthy")
+        .otherwise("unknown").alias("overall_status"),
+        F.count(F.lit(1)).alias("components"))

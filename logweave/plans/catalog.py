@@ -777,3 +777,25 @@ def q_analysis_methods(spark, sf):
     from logweave.operators.scoring import method_counts, score_events_with
 
     return method_counts(score_events_with(_ev(spark, sf)))
+
+
+def _queue_snapshots(spark, sf):
+    """Per component: latest reported queue size, processed and failed samples."""
+    h = relabel.host_samples(spark, sf)
+    return h.groupBy("component").agg(
+        F.max_by("queue_size", F.when(F.col("queue_size").isNotNull(), F.struct("ts", "id"))).alias("queue_size"),
+        F.count_if(F.col("processing_rate").isNotNull()).alias("processed"),
+        F.count_if(F.col("processing_rate").isNull()).alias("errors"))
+
+
+@query
+def q_component_status(spark, sf):
+    """F-32: queue health status of each component."""
+    return H.queue_status(_queue_snapshots(spark, sf)).select(
+        "component", "queue_size", "processed", "errors", "queue_utilization", "status")
+
+
+@query
+def q_overall_status(spark, sf):
+    """F-33: worst component status."""
+    return H.overall_status(H.queue_status(_queue_snapshots(spark, sf)))
