@@ -450,3 +450,7 @@ reg("component_status", f"SELECT component, queue_size, processed, errors, queue
 reg("overall_status", f"""SELECT CASE WHEN count(*) = 0 THEN 'unknown' WHEN bool_or(status = 'critical') THEN 'critical'
   WHEN bool_or(status = 'warning') THEN 'warning' WHEN bool_and(status = 'healthy') THEN 'healthy' ELSE 'unknown' END AS overall_status,
   count(*) AS components FROM {STAT} x""", base=False)
+reg("stream_rule_match", f"""SELECT r.rule_name, count(*) AS n FROM scored s JOIN {_rules_sql()} r
+  ON r.enabled AND r.min_severity <= s.severity_score AND s.severity_score <= r.max_severity
+  AND (len(r.categories) = 0 OR list_contains(r.categories, s.category)) AND (len(r.sources) = 0 OR list_contains(r.sources, s.source))
+GROUP BY r.rule_name""")

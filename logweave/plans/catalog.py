@@ -799,3 +799,10 @@ def q_component_status(spark, sf):
 def q_overall_status(spark, sf):
     """F-33: worst component status."""
     return H.overall_status(H.queue_status(_queue_snapshots(spark, sf)))
+
+
+@query
+def q_stream_rule_match(spark, sf):
+    """T-15: alert rule matches of the streamed events, counted per rule."""
+    m = ST.stream_rule_matches(spark, sf, A.rules_table(spark, ALERT_RULES))
+    return m.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))

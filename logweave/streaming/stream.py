@@ -76,3 +76,14 @@ def stream_error_spikes(spark: SparkSession, sf_dir: str, watermark: str = "10 m
                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "errors",
                      (F.col("errors") > R.ERROR_SPIKE_MAX).alias("spike"))
     return spark.read.parquet(run_available(out, "spikes"))
+
+
+def stream_rule_matches(spark: SparkSession, sf_dir: str, rules: DataFrame, ref_ts=R.REF_TS) -> DataFrame:
+    """T-15: stream-static join of the scored events with the alert rules
+    (rules broadcast behind the size check); returns the sink read back."""
+    from logweave.operators.alerts import match_rules
+
+    parsed = score_events(parse_raw_lines(stream_lines(event_stream(spark, sf_dir)), ref_ts), ref_ts)
+    events = parsed.where("valid").select("id", "timestamp", "source", "category", "severity_score")
+    matched = match_rules(events, rules).select("id", "rule_name", "timestamp")
+    return spark.read.parquet(run_available(matched, "rule-matches"))
