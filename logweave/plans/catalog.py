@@ -806,3 +806,13 @@ def q_stream_rule_match(spark, sf):
     """T-15: alert rule matches of the streamed events, counted per rule."""
     m = ST.stream_rule_matches(spark, sf, A.rules_table(spark, ALERT_RULES))
     return m.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_stream_tail(spark, sf):
+    """T-01: tail the staged log files from their start; lines and
+    characters per file."""
+    root = FS.stage_document_files(spark, sf)
+    t = ST.stream_tail(spark, f"{root}/**/*.txt")
+    t = t.withColumn("bucket", F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int"))
+    return t.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("content")).alias("chars"))

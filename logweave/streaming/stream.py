@@ -87,3 +87,13 @@ def stream_rule_matches(spark: SparkSession, sf_dir: str, rules: DataFrame, ref_
     events = parsed.where("valid").select("id", "timestamp", "source", "category", "severity_score")
     matched = match_rules(events, rules).select("id", "rule_name", "timestamp")
     return spark.read.parquet(run_available(matched, "rule-matches"))
+
+
+def stream_tail(spark: SparkSession, glob_path: str, starting: str = "earliest") -> DataFrame:
+    """T-01: lines appended to the matching files, through the ``logtail``
+    source, until nothing new is available; returns the sink read back."""
+    from logweave.sources import tail
+
+    tail.register(spark)
+    src = (spark.readStream.format("logtail").option("path", glob_path).option("startingPosition", starting).load())
+    return spark.read.parquet(run_available(src, "tail"))
