@@ -457,3 +457,42 @@ GROUP BY r.rule_name""")
 reg("stream_tail", f"""SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS lines, sum(length(c)) AS chars FROM (
   SELECT bucket, regexp_replace(CASE WHEN length(line) > 10000 THEN left(line, 10000) || '... [truncated]' ELSE line END,
     '^\\s+|\\s+$', '', 'g') AS c FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '') x GROUP BY bucket""", base=False)
+
+# ------------------------------------------------------------ recovery recommendations and small reports
+from logweave.operators.detect import CLASS_RECOMMENDATIONS  # noqa: E402
+
+_RECENT = f"(SELECT *, event_id_mod3 <> 0 AS recovery_successful FROM (SELECT c.*, c.id % 3 AS event_id_mod3 FROM {CLASSIFIED} c) z ORDER BY ts DESC, id DESC LIMIT 50)"
+_RECMAP = "CASE error_class " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in CLASS_RECOMMENDATIONS.items()) + " END"
+reg("recovery_recommendations", f"""WITH r AS {_RECENT},
+t AS (SELECT count(*) AS n, count_if(NOT recovery_successful) AS failed, count_if(error_severity = 'critical') AS critical FROM r),
+c AS (SELECT error_class, count(*) AS cnt, min(ts) AS first_ts, arg_min(id, ts) AS first_id FROM r GROUP BY error_class),
+cr AS (SELECT list({_RECMAP} ORDER BY first_ts, first_id) AS recs FROM c, t WHERE cnt > n * 0.3 AND {_RECMAP} IS NOT NULL)
+SELECT n, array_to_string(CASE WHEN n = 0 THEN ['No recent errors - system appears stable']
+  WHEN len(all_recs) = 0 THEN ['System error patterns appear normal'] ELSE all_recs END, ' | ') AS recommendations FROM (
+  SELECT n, list_concat(coalesce(recs, []::VARCHAR[]), list_filter([
+    CASE WHEN failed > n * 0.4 THEN 'High recovery failure rate - review recovery strategies and system stability' END,
+    CASE WHEN critical > 0 THEN 'Critical errors detected - immediate investigation and resolution required' END], lambda x: x IS NOT NULL)) AS all_recs
+  FROM t, cr) x""", base=False)
+_GRADE = f"CASE WHEN s >= 0.9 THEN 'A' WHEN s >= 0.8 THEN 'B' WHEN s >= 0.7 THEN 'C' WHEN s >= 0.6 THEN 'D' ELSE 'F' END"
+reg("grade_changes", f"""SELECT component, count(DISTINCT g) AS distinct_grades FROM (
+  SELECT component, {_GRADE} AS g, row_number() OVER (PARTITION BY component ORDER BY ts DESC, id DESC) AS r FROM (
+    SELECT id, component, ts, CAST({_SCORE} AS DOUBLE) AS s FROM {HOST} h) a) b WHERE r <= 5 GROUP BY component""", base=False)
+reg("format_confidence", f"""SELECT confidence, count(*) AS sources FROM (
+  SELECT CASE WHEN {_BEST} > sample_lines * 0.8 THEN 'high' WHEN {_BEST} > sample_lines * 0.5 THEN 'medium' ELSE 'low' END AS confidence
+  FROM (SELECT source_name, count(*) AS sample_lines, {_KCOLS} FROM {SAMPLE} s GROUP BY source_name) g) x GROUP BY confidence""")
+_SUS_T = " OR ".join(f"regexp_matches(text, {q(p)})" for p in SUSPICIOUS_PATTERNS)
+reg("validation_outcomes", f"""SELECT verdict, count(*) AS n FROM (SELECT CASE
+  WHEN text IS NULL OR text = '' OR length(text) > 1048576 THEN 'invalid'
+  WHEN list_bool_or(list_transform(string_split(text, chr(10)), lambda l: length(l) > 32768))
+    OR regexp_matches(text, '[^\\x20-\\x7E\\t\\n\\r]') THEN 'requires_sanitization'
+  WHEN {_SUS_T} THEN 'suspicious' ELSE 'valid' END AS verdict FROM documents) d GROUP BY verdict""", base=False)
+reg("client_queue", f"""SELECT client_id, count(*) AS queued, min("timestamp") AS oldest FROM (
+  SELECT f.client_id, u.id, u."timestamp", row_number() OVER (PARTITION BY f.client_id ORDER BY u."timestamp" DESC, u.id DESC) AS r FROM
+  (SELECT id, "timestamp", category, source, 'security_event' AS event_type, coalesce(severity_score, 5) AS priority FROM {joined_cols()} j
+   WHERE "timestamp" > TIMESTAMP '2024-01-30 11:00:00' AND "timestamp" <= TIMESTAMP '2024-01-30 12:00:00') u
+  JOIN {_CF} f ON (len(f.event_types) = 0 OR list_contains(f.event_types, u.event_type))
+   AND (coalesce(f.min_priority, 0) = 0 OR u.priority >= f.min_priority) AND (coalesce(f.max_priority, 0) = 0 OR u.priority <= f.max_priority)
+   AND (len(f.categories) = 0 OR list_contains(f.categories, u.category)) AND (len(f.sources) = 0 OR list_contains(f.sources, u.source))) x
+WHERE r <= 100 GROUP BY client_id""")
+reg("notification_events", f"""SELECT s.category, n.status, count(*) AS n FROM {NOTIF} n JOIN scored s ON n.event_id = s.event_id
+GROUP BY s.category, n.status""")

@@ -134,3 +134,42 @@ def classify_errors(errors: DataFrame, error_type: str = "error_type", message:
     act = F.coalesce(F.create_map(*[x for k, v in RECOVERY_ACTIONS.items() for x in (F.lit(k), F.lit(v))])[F.col("error_class")],
                      F.lit(RECOVERY_DEFAULT))
     return out.withColumn("error_severity", sev).withColumn("recovery_action", act)
+
+
+# FIXED VALUES: recovery recommendations over the recent errors
+RECENT_ERRORS = 50
+CLASS_SHARE = 0.3
+FAILED_RECOVERY_SHARE = 0.4
+CLASS_RECOMMENDATIONS = {
+    "database_error": "High database error rate - check database connectivity and performance",
+    "parsing_error": "High parsing error rate - review log formats and parsing rules",
+    "websocket_error": "High WebSocket error rate - check network stability and client connections",
+    "analysis_error": "High analysis error rate - check AI service availability and performance",
+}
+FAILED_RECOVERY_RECOMMENDATION = "High recovery failure rate - review recovery strategies and system stability"
+CRITICAL_RECOMMENDATION = "Critical errors detected - immediate investigation and resolution required"
+NO_ERRORS_RECOMMENDATION = "No recent errors - system appears stable"
+NORMAL_RECOMMENDATION = "System error patterns appear normal"
+
+
+def recovery_recommendations(classified: DataFrame, ts: str = "ts", id_col: str = "id") -> DataFrame:
+    """A-24 over the 50 newest errors: a line per dominant class (> 30 %,
+    in order of first appearance), one for > 40 % failed recoveries, one
+    for any critical error; defaults when there is nothing to say."""
+    from logweave.operators.windows import top_n
+
+    recent = top_n(classified, RECENT_ERRORS, [F.col(ts).desc(), F.col(id_col).desc()])
+    total = recent.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("recovery_successful")).alias("failed"),
+                       F.count_if(F.col("error_severity") == "critical").alias("critical"))
+    per_class = recent.groupBy("error_class").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(ts, id_col)).alias("first"))
+    rec_map = F.create_map(*[x for k, v in CLASS_RECOMMENDATIONS.items() for x in (F.lit(k), F.lit(v))])
+    cls = (per_class.crossJoin(F.broadcast(total)).where((F.col("c") > F.col("n") * CLASS_SHARE))
+           .select(rec_map[F.col("error_class")].alias("rec"), "first").where(F.col("rec").isNotNull())
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "rec"))), lambda s: s["rec"]).alias("cls_recs")))
+    extra = F.array_compact(F.array(
+        F.when(F.col("failed") > F.col("n") * FAILED_RECOVERY_SHARE, F.lit(FAILED_RECOVERY_RECOMMENDATION)),
+        F.when(F.col("critical") > 0, F.lit(CRITICAL_RECOMMENDATION))))
+    recs = F.concat(F.coalesce(F.col("cls_recs"), F.array().cast("array<string>")), extra)
+    final = (F.when(F.col("n") == 0, F.array(F.lit(NO_ERRORS_RECOMMENDATION)))
+             .when(F.size(recs) == 0, F.array(F.lit(NORMAL_RECOMMENDATION))).otherwise(recs))
+    return total.crossJoin(cls).select("n", final.alias("recommendations"))

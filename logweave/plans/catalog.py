@@ -816,3 +816,56 @@ def q_stream_tail(spark, sf):
     t = ST.stream_tail(spark, f"{root}/**/*.txt")
     t = t.withColumn("bucket", F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int"))
     return t.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def q_recovery_recommendations(spark, sf):
+    """A-24: recommendations from the 50 newest error records."""
+    r = D.recovery_recommendations(D.classify_errors(relabel.error_records(spark, sf)))
+    return r.select("n", F.array_join("recommendations", " | ").alias("recommendations"))
+
+
+@query
+def q_grade_changes(spark, sf):
+    """W-04: distinct health grades over the last 5 samples per component."""
+    h = relabel.host_samples(spark, sf)
+    sc = H.health_score(F.col("cpu_usage"), F.col("memory_usage"), F.col("cache_hit_rate"), F.col("queue_size"),
+                        F.col("processing_rate"), F.col("batch_enabled"))
+    last5 = top_n(h.withColumn("grade", H.grade(sc)), 5, [F.col("ts").desc(), F.col("id").desc()], ["component"], salt_by=["id"])
+    return last5.groupBy("component").agg(F.countDistinct("grade").alias("distinct_grades"))
+
+
+@query
+def q_format_confidence(spark, sf):
+    """A-28: detected sources per confidence level."""
+    return FD.detect_timestamp(event_log_lines(spark, sf)).groupBy("confidence").agg(F.count(F.lit(1)).alias("sources"))
+
+
+@query
+def q_validation_outcomes(spark, sf):
+    """A-30: entry verdicts over every document text."""
+    d = store.spread(read_table(spark, sf, "documents")).select(T.entry_verdict(F.col("text")).alias("verdict"))
+    return d.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_client_queue(spark, sf):
+    """W-11: per client, the newest 100 queued deliveries of the hour before
+    2024-01-30 12:00 (older ones are dropped)."""
+    upd = _joined(spark, sf).select("id", "timestamp", "category", "source", F.lit("security_event").alias("event_type"),
+                                    F.coalesce("severity_score", F.lit(5)).alias("priority"))
+    f = spark.createDataFrame(CLIENT_FILTERS, A.CLIENT_FILTER_SCHEMA)
+    t = dt.datetime(2024, 1, 30, 12)
+    fan = A.client_fanout(upd, f).where(
+        (F.col("timestamp") > F.lit(t - dt.timedelta(hours=1)).cast("timestamp_ntz")) & (F.col("timestamp") <= F.lit(t).cast("timestamp_ntz")))
+    kept = top_n(fan, 100, [F.col("timestamp").desc(), F.col("id").desc()], ["client_id"], salt_by=["id"])
+    return kept.groupBy("client_id").agg(F.count(F.lit(1)).alias("queued"), F.min("timestamp").alias("oldest"))
+
+
+@query
+def q_notification_events(spark, sf):
+    """J-10: notification history joined to its events (FK), per category
+    and status."""
+    nh = relabel.notification_history(spark, sf).select("event_id", "status")
+    return nh.join(_ev(spark, sf).select("event_id", "category"), "event_id").groupBy("category", "status").agg(
+        F.count(F.lit(1)).alias("n"))

@@ -103,6 +103,7 @@ def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in ERROR_TYPES]), k).alias("error_type"),
         F.element_at(F.array(*[F.lit(x) for x in ERROR_MESSAGES]), k).alias("message"),
         F.concat(F.lit("c"), _s(F.col("user_id") % 6)).alias("component"), F.col("ts").alias("ts"),
+        (F.col("event_id") % 3 != 0).alias("recovery_successful"),
     )
 
 
