@@ -496,3 +496,13 @@ reg("client_queue", f"""SELECT client_id, count(*) AS queued, min("timestamp") A
 WHERE r <= 100 GROUP BY client_id""")
 reg("notification_events", f"""SELECT s.category, n.status, count(*) AS n FROM {NOTIF} n JOIN scored s ON n.event_id = s.event_id
 GROUP BY s.category, n.status""")
+_SUS_L = " OR ".join(f"regexp_matches(line, {q(p)})" for p in SUSPICIOUS_PATTERNS)
+_VERDICT_L = f"""CASE WHEN line IS NULL OR line = '' OR length(line) > 1048576 THEN 'invalid'
+  WHEN length(line) > 32768 OR regexp_matches(line, '[^\\x20-\\x7E\\t\\n\\r]') THEN 'requires_sanitization'
+  WHEN {_SUS_L} THEN 'suspicious' ELSE 'valid' END"""
+reg("result_types", "WITH " + _DLINES + "," + PARSED.replace("FROM lines l", "FROM dlines l") + f""",
+res AS (SELECT *, CASE WHEN NOT valid THEN 'failure' WHEN verdict = 'requires_sanitization' THEN 'warning' ELSE 'success' END AS result_type
+        FROM (SELECT valid, {_VERDICT_L} AS verdict FROM p2) a),
+res2 AS (SELECT *, CASE WHEN result_type = 'failure' THEN 'high' WHEN result_type IN ('partial_success', 'warning') THEN 'medium'
+                        WHEN verdict = 'suspicious' THEN 'medium' ELSE 'low' END AS priority FROM res)
+""" + gsets("res2", ["result_type", "priority"]).replace("FROM res2 x", "FROM res2"), base=False)

@@ -99,3 +99,15 @@ def client_fanout(updates: DataFrame, filters: DataFrame) -> DataFrame:
         & ((F.size("f.sources") == 0) | F.array_contains("f.sources", F.col("u.source")))
     )
     return u.join(f, cond, "inner").select("u.*", "f.client_id")
+
+
+def result_type(success: F.Column, n_errors: F.Column, n_warnings: F.Column) -> F.Column:
+    """F-28: failure / partial_success / warning / success."""
+    return (F.when(~success, "failure").when(n_errors > 0, "partial_success")
+            .when(n_warnings > 0, "warning").otherwise("success"))
+
+
+def result_priority(rtype: F.Column, validation: F.Column) -> F.Column:
+    """F-28: broadcast priority from the result type and validation verdict."""
+    return (F.when(rtype == "failure", "high").when(rtype.isin("partial_success", "warning"), "medium")
+            .when(validation == "suspicious", "medium").otherwise("low"))

@@ -869,3 +869,18 @@ def q_notification_events(spark, sf):
     nh = relabel.notification_history(spark, sf).select("event_id", "status")
     return nh.join(_ev(spark, sf).select("event_id", "category"), "event_id").groupBy("category", "status").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_result_types(spark, sf):
+    """F-28/A-26: processing result of every ingested file line (parsed or
+    not; a line needing sanitising is a warning), counted by result type and
+    by broadcast priority in one pass."""
+    from logweave.functions.parse import split_lines
+    from logweave.plans.ingest import parse_raw_lines
+
+    lines = split_lines(FS.admission(_files(spark, sf)).where("is_valid"), content="content", id_col="path", keep=["bucket"])
+    p = parse_raw_lines(store.spread(lines)).withColumn("verdict", T.entry_verdict(F.col("line")))
+    rt = A.result_type(F.col("valid"), F.lit(0), F.when(F.col("verdict") == "requires_sanitization", 1).otherwise(0))
+    res = p.withColumn("result_type", rt).withColumn("priority", A.result_priority(F.col("result_type"), F.col("verdict")))
+    return S.grouping_sets_counts(res, ["result_type", "priority"])
