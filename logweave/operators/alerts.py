@@ -1,9 +1,11 @@
 """Alert rules against events (J-07, J-09, J-11, F-13, F-14).
 
-Rules are configuration (a handful to a few thousand rows), joined to the
-events with a theta condition. The rule side is broadcast behind a size
-check (``broadcast_if_small``); past the bound the join falls back to the
-planner's choice. A missing analysis counts as severity 5.
+Rules are configuration (a handful to a few thousand rows). Their category
+lists are exploded (empty = every category) so events join them on the
+category as an equi-key; severity range and source list are residual
+conditions. The rule side is broadcast behind a size check
+(``broadcast_if_small``); past the bound the planner picks a shuffle
+equi-join, never a nested loop. A missing analysis counts as severity 5.
 """
 
 from __future__ import annotations
@@ -28,19 +30,28 @@ def channels_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, CHANNEL_SCHEMA)
 
 
+def by_category(table: DataFrame, categories: str = "categories") -> DataFrame:
+    """One row per (entry, category): an empty list stands for every
+    category. Categories are a closed set, so the theta condition "list is
+    empty or contains the category" becomes an equi-join key and no
+    nested-loop (cartesian) join is ever needed, whatever the table size."""
+    every = F.array(*[F.lit(c) for c in R.CATEGORIES])
+    return table.withColumn("_cat", F.explode(F.when(F.size(categories) == 0, every).otherwise(F.col(categories))))
+
+
 def _match_condition(ev_sev, category, source):
     return (
-        F.col("r.enabled")
+        (F.col("e.category") == F.col("r._cat"))
         & (F.col("r.min_severity") <= ev_sev) & (ev_sev <= F.col("r.max_severity"))
-        & ((F.size("r.categories") == 0) | F.array_contains("r.categories", category))
         & ((F.size("r.sources") == 0) | F.array_contains("r.sources", source))
     )
 
 
 def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """J-07: one row per (event, matching enabled rule)."""
+    """J-07: one row per (event, matching enabled rule): equi-join on the
+    category, residual severity/source test."""
     ev = events.withColumn("_sev", F.coalesce(F.col("severity_score"), F.lit(R.DEFAULT_RULE_SEVERITY))).alias("e")
-    r = broadcast_if_small(rules.where("enabled")).alias("r")
+    r = broadcast_if_small(by_category(rules.where("enabled"))).alias("r")
     cond = _match_condition(F.col("e._sev"), F.col("e.category"), F.col("e.source"))
     return ev.join(r, cond, "inner").select("e.*", "r.rule_name", "r.channels", "r.throttle_minutes").drop("_sev")
 
@@ -48,7 +59,7 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
 def events_with_any_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
     """J-11: events that at least one enabled rule matches (semi join)."""
     ev = events.withColumn("_sev", F.coalesce(F.col("severity_score"), F.lit(R.DEFAULT_RULE_SEVERITY))).alias("e")
-    r = broadcast_if_small(rules.where("enabled")).alias("r")
+    r = broadcast_if_small(by_category(rules.where("enabled"))).alias("r")
     cond = _match_condition(F.col("e._sev"), F.col("e.category"), F.col("e.source"))
     return ev.join(r, cond, "left_semi").drop("_sev")
 
@@ -89,13 +100,13 @@ def client_fanout(updates: DataFrame, filters: DataFrame) -> DataFrame:
     """J-06/P-19: (update, client) pairs whose subscription filter matches;
     empty lists and unset bounds accept everything. Filters are broadcast
     behind the size check."""
-    f = broadcast_if_small(filters).alias("f")
+    f = broadcast_if_small(by_category(filters)).alias("f")
     u = updates.alias("u")
     cond = (
-        ((F.size("f.event_types") == 0) | F.array_contains("f.event_types", F.col("u.event_type")))
+        (F.col("u.category") == F.col("f._cat"))
+        & ((F.size("f.event_types") == 0) | F.array_contains("f.event_types", F.col("u.event_type")))
         & (F.coalesce(F.col("f.min_priority"), F.lit(0)).eqNullSafe(0) | (F.col("u.priority") >= F.col("f.min_priority")))
         & (F.coalesce(F.col("f.max_priority"), F.lit(0)).eqNullSafe(0) | (F.col("u.priority") <= F.col("f.max_priority")))
-        & ((F.size("f.categories") == 0) | F.array_contains("f.categories", F.col("u.category")))
         & ((F.size("f.sources") == 0) | F.array_contains("f.sources", F.col("u.source")))
     )
     return u.join(f, cond, "inner").select("u.*", "f.client_id")

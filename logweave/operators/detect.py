@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logweave import rules as R
 
-DEFAULT_CHUNK_S = 6 * 3600
+DEFAULT_CHUNK_S = 3600
 
 
 def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, chunk_s: int = DEFAULT_CHUNK_S,

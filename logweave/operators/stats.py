@@ -100,29 +100,24 @@ def severity_histogram(scored: DataFrame) -> DataFrame:
         "severity_score", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
 
 
-def upper_median(df: DataFrame, key: str | None, value: str) -> DataFrame:
+def upper_median(df: DataFrame, key: str | None, value: str, tie: str = "id") -> DataFrame:
     """A-14: avg/min/max and the median as the reference takes it, element
     ``n div 2`` (0-based) of the sorted values, i.e. the upper median.
 
-    Exact and distributed: values are first counted per (key, value) (a
-    partial aggregate, so repeated values collapse before any shuffle), then
-    a running sum over the distinct values of a key finds the one holding
-    position ``n div 2 + 1``. No group is ever collected as a list.
+    Exact and distributed: every value gets its rank inside its key from
+    ``row_number_at_scale`` (range partitions + offsets, so a key holding a
+    third of the rows is ranked by many tasks) and the row at rank
+    ``n div 2 + 1`` is kept. No group is ever collected or sorted in one task.
     """
+    from logweave.operators.windows import row_number_at_scale
+
     keys = [key] if key else []
-    nn = df.where(F.col(value).isNotNull())
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("avg_value"),
                                   F.min(value).alias("min_value"), F.max(value).alias("max_value"))
-    from pyspark.sql import Window
-
-    dist = nn.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(F.col(value)).rowsBetween(Window.unboundedPreceding, 0)
-    run = dist.withColumn("_cum", F.sum("_c").over(w))
+    ranked = row_number_at_scale(df.where(F.col(value).isNotNull()).select(*keys, value, tie), keys, [value, tie], "_r")
     n_of = stats.select(*keys, "n")
-    run = run.join(n_of, keys, "inner") if keys else run.crossJoin(n_of)
-    target = F.floor(F.col("n") / 2) + 1
-    med = run.where((F.col("_cum") >= target) & (F.col("_cum") - F.col("_c") < target)).select(
-        *keys, F.col(value).alias("median_value"))
+    ranked = ranked.join(n_of, keys, "inner") if keys else ranked.crossJoin(F.broadcast(n_of))
+    med = ranked.where(F.col("_r") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias("median_value"))
     return stats.join(med, keys, "left") if keys else stats.crossJoin(med)
 
 
