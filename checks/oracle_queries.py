@@ -506,3 +506,5 @@ res AS (SELECT *, CASE WHEN NOT valid THEN 'failure' WHEN verdict = 'requires_sa
 res2 AS (SELECT *, CASE WHEN result_type = 'failure' THEN 'high' WHEN result_type IN ('partial_success', 'warning') THEN 'medium'
                         WHEN verdict = 'suspicious' THEN 'medium' ELSE 'low' END AS priority FROM res)
 """ + gsets("res2", ["result_type", "priority"]).replace("FROM res2 x", "FROM res2"), base=False)
+reg("stream_component_rate", f"""SELECT component, date_trunc('minute', ts) AS minute, count(*) AS events, round(sum(latency) / count(*), 6) AS avg_latency
+FROM {COMP} c GROUP BY 1, 2 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""", base=False)

@@ -884,3 +884,9 @@ def q_result_types(spark, sf):
     rt = A.result_type(F.col("valid"), F.lit(0), F.when(F.col("verdict") == "requires_sanitization", 1).otherwise(0))
     res = p.withColumn("result_type", rt).withColumn("priority", A.result_priority(F.col("result_type"), F.col("verdict")))
     return S.grouping_sets_counts(res, ["result_type", "priority"])
+
+
+@query
+def q_stream_component_rate(spark, sf):
+    """T-11: streaming per-minute component rates (final windows only)."""
+    return ST.stream_component_rate(spark, sf)

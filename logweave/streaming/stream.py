@@ -97,3 +97,16 @@ def stream_tail(spark: SparkSession, glob_path: str, starting: str = "earliest")
     tail.register(spark)
     src = (spark.readStream.format("logtail").option("path", glob_path).option("startingPosition", starting).load())
     return spark.read.parquet(run_available(src, "tail"))
+
+
+def stream_component_rate(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
+    """T-11: per component and 1-minute tumbling window, events and mean
+    latency of the streamed samples; a window is emitted once final."""
+    ev = event_stream(spark, sf_dir)
+    s = ev.select(F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string")).alias("component"),
+                  F.col("value").alias("latency"), F.col("ts").cast("timestamp").alias("t"))
+    win = (s.withWatermark("t", watermark).groupBy("component", F.window("t", "1 minute").alias("w"))
+           .agg(F.count(F.lit(1)).alias("events"), F.sum("latency").alias("_lat")))
+    out = win.select("component", F.col("w.start").cast("timestamp_ntz").alias("minute"), "events",
+                     F.round(F.col("_lat") / F.col("events"), 6).alias("avg_latency"))
+    return spark.read.parquet(run_available(out, "component-rate"))
