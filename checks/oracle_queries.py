@@ -508,3 +508,14 @@ res2 AS (SELECT *, CASE WHEN result_type = 'failure' THEN 'high' WHEN result_typ
 """ + gsets("res2", ["result_type", "priority"]).replace("FROM res2 x", "FROM res2"), base=False)
 reg("stream_component_rate", f"""SELECT component, date_trunc('minute', ts) AS minute, count(*) AS events, round(sum(latency) / count(*), 6) AS avg_latency
 FROM {COMP} c GROUP BY 1, 2 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""", base=False)
+reg("data_health", f"""SELECT success_rate, size_bytes, inactive, events_per_hour, array_to_string(recs, ' | ') AS recommendations,
+  CASE WHEN len(recs) = 0 THEN 'excellent' WHEN len(recs) <= 2 THEN 'good' ELSE 'fair' END AS overall_health FROM (
+  SELECT *, list_filter([
+    CASE WHEN coalesce(success_rate, 1.0) < 0.9 THEN 'Notification success rate is below 90%. Check notification configuration.' END,
+    CASE WHEN size_bytes / 1048576.0 > 1000 THEN 'Database size is ' || printf('%.1f', size_bytes / 1048576.0) || 'MB. Consider running cleanup operations.' END,
+    CASE WHEN inactive > 0 THEN 'Found ' || CAST(inactive AS VARCHAR) || ' inactive log sources. Review configuration.' END,
+    CASE WHEN events_per_hour > 1000 THEN 'High processing rate detected. Monitor system resources.' END], lambda x: x IS NOT NULL) AS recs
+  FROM (SELECT round(count_if(status = 'sent') / count(*), 6) AS success_rate FROM {NOTIF} n WHERE {last_hours('sent_at', 720)}) a,
+       (SELECT sum(strlen(line)) AS size_bytes FROM lines) b,
+       (SELECT CAST(0 AS BIGINT) AS inactive) c,
+       (SELECT round(count_if({last_hours('"timestamp"', 24)}) / 24.0, 6) AS events_per_hour FROM scored) d) x""")

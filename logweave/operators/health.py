@@ -152,3 +152,32 @@ def overall_status(statuses: DataFrame, status: str = "status") -> DataFrame:
         .when(F.bool_or(s == "warning"), "warning").when(F.bool_and(s == "healthy"), "healthy")
         .otherwise("unknown").alias("overall_status"),
         F.count(F.lit(1)).alias("components"))
+
+
+# FIXED VALUES: data health report
+NOTIFY_SUCCESS_MIN = 0.9
+DATA_SIZE_MB_MAX = 1000
+EVENTS_PER_HOUR_MAX = 1000
+
+
+def data_health(success_rate: DataFrame, size_bytes: DataFrame, inactive_sources: DataFrame, events_per_hour: DataFrame,
+                errors: int = 0) -> DataFrame:
+    """F-34: one row from four one-row inputs (columns ``success_rate``,
+    ``size_bytes``, ``inactive``, ``events_per_hour``): recommendations and
+    the overall rating (excellent / good / fair / poor)."""
+    row = success_rate.crossJoin(size_bytes).crossJoin(inactive_sources).crossJoin(events_per_hour)
+    size_mb = F.col("size_bytes") / (1024.0 * 1024.0)
+    recs = F.array_compact(F.array(
+        F.when(F.coalesce(F.col("success_rate"), F.lit(1.0)) < NOTIFY_SUCCESS_MIN,
+               F.lit("Notification success rate is below 90%. Check notification configuration.")),
+        F.when(size_mb > DATA_SIZE_MB_MAX, F.concat(F.lit("Database size is "), F.format_number(size_mb, 1),
+                                                     F.lit("MB. Consider running cleanup operations."))),
+        F.when(F.col("inactive") > 0, F.concat(F.lit("Found "), F.col("inactive").cast("string"),
+                                               F.lit(" inactive log sources. Review configuration."))),
+        F.when(F.col("events_per_hour") > EVENTS_PER_HOUR_MAX, F.lit("High processing rate detected. Monitor system resources.")),
+    ))
+    n = F.size(recs)
+    overall = (F.when((F.lit(errors) == 0) & (n == 0), "excellent").when((F.lit(errors) == 0) & (n <= 2), "good")
+               .when(F.lit(errors) <= 1, "fair").otherwise("poor"))
+    return row.select("success_rate", "size_bytes", "inactive", "events_per_hour", recs.alias("recommendations"),
+                      overall.alias("overall_health"))

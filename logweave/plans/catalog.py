@@ -890,3 +890,18 @@ def q_result_types(spark, sf):
 def q_stream_component_rate(spark, sf):
     """T-11: streaming per-minute component rates (final windows only)."""
     return ST.stream_component_rate(spark, sf)
+
+
+@query
+def q_data_health(spark, sf):
+    """F-34: health report of the stored data (notification success rate
+    over 30 days, ingested bytes, inactive log files, events per hour)."""
+    nh = E.last_hours(relabel.notification_history(spark, sf), 24 * 30, ts="sent_at")
+    sr = nh.agg(F.round(F.count_if(F.col("status") == "sent") / F.count(F.lit(1)), 6).alias("success_rate"))
+    size = event_log_lines(spark, sf).agg(F.sum(F.octet_length("line")).alias("size_bytes"))
+    inactive = FS.admission(_files(spark, sf)).agg(F.count_if(~F.col("is_valid")).alias("inactive"))
+    rate = S.realtime_stats(_ev(spark, sf).withColumn("processing_time", F.lit(0.0))).select(
+        F.col("events_per_hour"))
+    h = H.data_health(sr, size, inactive, rate)
+    return h.select("success_rate", "size_bytes", "inactive", "events_per_hour",
+                    F.array_join("recommendations", " | ").alias("recommendations"), "overall_health")
