@@ -519,3 +519,7 @@ reg("data_health", f"""SELECT success_rate, size_bytes, inactive, events_per_hou
        (SELECT sum(strlen(line)) AS size_bytes FROM lines) b,
        (SELECT CAST(0 AS BIGINT) AS inactive) c,
        (SELECT round(count_if({last_hours('"timestamp"', 24)}) / 24.0, 6) AS events_per_hour FROM scored) d) x""")
+reg("stream_failed_logins", f"""SELECT account, window_start, count(*) AS attempts FROM (
+  SELECT account, date_trunc('minute', "timestamp") - to_minutes(k) AS window_start FROM {FAILED} f, range(0, 5) r(k)) w
+WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM {FAILED} f2)
+GROUP BY account, window_start""")

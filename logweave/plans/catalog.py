@@ -905,3 +905,9 @@ def q_data_health(spark, sf):
     h = H.data_health(sr, size, inactive, rate)
     return h.select("success_rate", "size_bytes", "inactive", "events_per_hour",
                     F.array_join("recommendations", " | ").alias("recommendations"), "overall_health")
+
+
+@query
+def q_stream_failed_logins(spark, sf):
+    """T-09: streaming failed-login windows per account (final windows)."""
+    return ST.stream_failed_logins(spark, sf)

@@ -110,3 +110,15 @@ def stream_component_rate(spark: SparkSession, sf_dir: str, watermark: str = "10
     out = win.select("component", F.col("w.start").cast("timestamp_ntz").alias("minute"), "events",
                      F.round(F.col("_lat") / F.col("events"), 6).alias("avg_latency"))
     return spark.read.parquet(run_available(out, "component-rate"))
+
+
+def stream_failed_logins(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes", ref_ts=R.REF_TS) -> DataFrame:
+    """T-09: failed logins per account in 5-minute windows sliding by one
+    minute (event time, watermark); emitted once final."""
+    parsed = parse_raw_lines(stream_lines(event_stream(spark, sf_dir)), ref_ts).where("valid")
+    failed = parsed.where(F.col("message").startswith("Failed password")).select(
+        F.regexp_extract("message", r"for (\S+) from", 1).alias("account"), F.col("timestamp").cast("timestamp").alias("t"))
+    win = (failed.withWatermark("t", watermark).groupBy("account", F.window("t", "5 minutes", "1 minute").alias("w"))
+           .agg(F.count(F.lit(1)).alias("attempts")))
+    out = win.select("account", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "attempts")
+    return spark.read.parquet(run_available(out, "failed-logins"))
