@@ -15,7 +15,7 @@ keys go, and each document drops the places that a join of keys and lines gives.
 
 Counts are pre-aggregated per document and per batch; a key held by a third of
 all lines is one row per batch afterwards. The join of lines and dropped keys
-is left to Spark's skew handling.
+is salted by the row hash, each dropped key standing once per salt.
 
 Defined results: a null text is one empty line; a null id counts as one
 document below all others; rows that share an id are one document for counting,
@@ -39,6 +39,7 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FAN_OUT = 2
+SALTS = 16
 KEY = ["_h1", "_h2"]
 
 
@@ -130,8 +131,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     runs = LineRuns(spark, fan_out)
     for b in range(batches):
         runs.add(lines.filter(F.col("_batch") == b))
-    dropped = runs.total().filter(F.col("_n") >= min_docs).select(*KEY, "_keeper")
-    places = (lines.drop("_batch").join(dropped, KEY).filter(F.col("_doc") != F.col("_keeper"))
+    dropped = runs.total().filter(F.col("_n") >= min_docs).select(
+        *KEY, "_keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = lines.drop("_batch").withColumn("_salt", F.pmod("_rid", F.lit(SALTS)).cast("int"))
+    places = (salted.join(dropped, [*KEY, "_salt"]).filter(F.col("_doc") != F.col("_keeper"))
               .groupBy("_doc", "_rid").agg(F.array_distinct(F.collect_list("_at")).alias("_gone"))
               .select(F.col("_doc").alias("_doc2"), F.col("_rid").alias("_rid2"), "_gone"))
     rows = docs.select(packed(docs), id_of(id_col).alias("_doc"), text_of(text_col).alias("_t"))
