@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACE, WORD, ascii_lower, id_of, packed, stored, text_of, unpacked
+from logweave.llm.common import SPACE, ascii_lower, id_of, packed, stored, text_of, unpacked
 
 SPAN = 3
 MIN_WORDS = 12
@@ -36,11 +36,11 @@ def sentences(text: Column) -> Column:
 
 def _runs(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     """(document, row hash, place, hash) of every run with enough words."""
-    staged = (docs.select("_doc", "_rid", sentences(F.col("_t")).alias("_s"))
-              .select("_doc", "_rid", F.transform("_s", lambda s: F.struct(
-                  F.xxhash64(ascii_lower(F.btrim(s, F.lit(SPACE)))).alias("a"),
-                  F.xxhash64(F.lit(11), ascii_lower(F.btrim(s, F.lit(SPACE)))).alias("b"),
-                  F.regexp_count(s, F.lit(WORD)).alias("n"))).alias("_k"))
+    # lowered as a whole text: A-Z aside, that changes no sentence end
+    keys = F.transform(sentences(ascii_lower(F.col("_t"))), lambda s: F.btrim(s, F.lit(SPACE)))
+    staged = (docs.select("_doc", "_rid", F.transform(keys, lambda s: F.struct(
+                  F.xxhash64(s).alias("a"), F.xxhash64(F.lit(11), s).alias("b"),
+                  F.when(s == "", 0).otherwise(F.size(F.split(s, r"[\x20\x09-\x0D]+"))).alias("n"))).alias("_k"))
               .filter(F.size("_k") >= span))
     runs = F.transform(
         F.sequence(F.lit(1), F.size("_k") - (span - 1)),
