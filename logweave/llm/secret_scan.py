@@ -79,8 +79,10 @@ def _chars(token: Column) -> Column:
 def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
     """(random 0/1, token): base values and random strings against the other
     tokens of a bounded sample of documents."""
-    sample = (docs.select(F.xxhash64(F.lit(5), col(id_col).cast("string")).alias("_h"), text_of(text_col).alias("_t"))
-              .orderBy("_h").limit(sample_docs).select("_t"))
+    hashed = docs.select(F.xxhash64(F.lit(5), col(id_col).cast("string")).alias("_h"), text_of(text_col).alias("_t"))
+    # the cut comes from ids alone; the last limit only bounds rows that share an id
+    cut = hashed.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
+    sample = hashed.filter(F.col("_h") <= F.lit(cut)).limit(sample_docs).select("_t")
     tokens = sample.select(F.explode(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("_tok"))
     is_base = F.col("_tok").rlike(r"^[0-9a-f]{16,}$|^AKIA[A-Z0-9]{14,}$") & ~F.col("_tok").rlike("^[0-9]+$")
     found = tokens.select(is_base.cast("int").alias("_random"), "_tok")
