@@ -7,7 +7,7 @@ tests/llm): op2, op4, op5, op9, op10 and the pipeline.
 
 from __future__ import annotations
 
-from logweave.llm import line_dedup, minhash, mixing, quality, secret_scan, sharding, span_dedup
+from logweave.llm import line_dedup, minhash, mixing, piece_codec, quality, secret_scan, sharding, span_dedup, vector_dedup
 from logweave.sources.tables import read_table
 
 
@@ -18,10 +18,12 @@ def _over(table: str, query):
 QUERIES = {
     "op1_sharding": _over("documents", sharding.q_sharding),
     "op3_span_dedup": _over("documents", span_dedup.q_span_dedup),
+    "op4_pieces": _over("documents", piece_codec.q_pieces),
     "op5_minhash": _over("documents", minhash.q_minhash),
     "op6_line_dedup": _over("documents", line_dedup.q_line_dedup),
     "op7_quality_rules": _over("documents", quality.q_quality),
     "op8_mixing": _over("documents", mixing.q_mixing),
+    "op9_vectors": _over("embeddings", vector_dedup.q_vectors),
     "op10_secrets": _over("documents", secret_scan.q_secrets),
 }
 
