@@ -7,7 +7,7 @@ tests/llm): op2, op4, op5, op9, op10 and the pipeline.
 
 from __future__ import annotations
 
-from logweave.llm import line_dedup, minhash, mixing, piece_codec, quality, secret_scan, sharding, span_dedup, vector_dedup
+from logweave.llm import line_dedup, minhash, mixing, piece_codec, quality, secret_scan, sharding, span_dedup, suffix_dedup, vector_dedup
 from logweave.sources.tables import read_table
 
 
@@ -17,6 +17,7 @@ def _over(table: str, query):
 
 QUERIES = {
     "op1_sharding": _over("documents", sharding.q_sharding),
+    "op2_suffixes": _over("documents", suffix_dedup.q_suffixes),
     "op3_span_dedup": _over("documents", span_dedup.q_span_dedup),
     "op4_pieces": _over("documents", piece_codec.q_pieces),
     "op5_minhash": _over("documents", minhash.q_minhash),
