@@ -121,13 +121,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the
-    columns of ``docs`` only."""
-    plan = mix(docs.select(packed(docs, "_doc"), col("doc_id"), col("text"), col("source")), carry=["_doc"], **options)
-    copies = plan.filter(F.col("copies") > 0).select(
-        "_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n"))
-    return copies.select(*unpacked(docs.columns, name="_doc"))
+    columns of ``docs`` only. The plan is made on ids and row hashes and joined
+    back, so texts move once. Rows equal in all columns are interchangeable:
+    one of them stands for the copies of all."""
+    hashed = [col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(packed(docs), F.xxhash64(*hashed).alias("_h1"), F.xxhash64(F.lit(7), *hashed).alias("_h2"))
+    slim = docs.select(F.xxhash64(*hashed).alias("_h1"), F.xxhash64(F.lit(7), *hashed).alias("_h2"),
+                       col(id_col).alias("_i"), col(text_col).alias("_x"), col(source_col).alias("_s"))
+    plan = mix(slim, id_col="_i", text_col="_x", source_col="_s", carry=["_h1", "_h2"], **options)
+    copies = stored(plan.groupBy("_h1", "_h2").agg(F.sum("copies").cast("int").alias("_c"), F.count("*").alias("_m")),
+                    "mix_copies")
+    if not copies.filter(F.col("_m") > 1).isEmpty():
+        rows = rows.dropDuplicates(["_h1", "_h2"])
+    taken = rows.join(copies.filter(F.col("_c") > 0).hint("shuffle_hash"), ["_h1", "_h2"])
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select(
+        *unpacked(docs.columns))
 
 
 def q_mixing(docs: DataFrame) -> DataFrame:
