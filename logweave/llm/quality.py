@@ -127,8 +127,11 @@ def quality(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    return measured(docs, text_col).filter(verdict(rules)).select(*unpacked(docs.columns))
+    """The rows of ``docs`` that pass, with their own columns only. The verdict
+    feeds a generator, as a filter would be pushed through the staged
+    projections and repeat their expressions."""
+    passed = measured(docs, text_col).select(F.explode(F.when(verdict(rules), F.array("_row"))).alias("_row"))
+    return passed.select(*unpacked(docs.columns))
 
 
 def q_quality(docs: DataFrame) -> DataFrame:
