@@ -40,15 +40,15 @@ def _runs(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     keys = F.transform(sentences(ascii_lower(F.col("_t"))), lambda s: F.btrim(s, F.lit(SPACE)))
     staged = (docs.select("_doc", "_rid", F.transform(keys, lambda s: F.struct(
                   F.xxhash64(s).alias("a"), F.xxhash64(F.lit(11), s).alias("b"),
-                  F.when(s == "", 0).otherwise(F.size(F.split(s, r"[\x20\x09-\x0D]+"))).alias("n"))).alias("_k"))
-              .filter(F.size("_k") >= span))
-    runs = F.transform(
+                  F.when(s == "", 0).otherwise(F.size(F.split(s, r"[\x20\x09-\x0D]+"))).alias("n"))).alias("_k")))
+    # no filter here: it would be pushed down and compute the keys twice
+    runs = F.when(F.size("_k") >= span, F.transform(
         F.sequence(F.lit(1), F.size("_k") - (span - 1)),
         lambda i: F.struct(
             F.xxhash64(*[F.element_at("_k", i + j)["a"] for j in range(span)]).alias("h1"),
             F.xxhash64(*[F.element_at("_k", i + j)["b"] for j in range(span)]).alias("h2"),
             (i - 1).alias("at"),
-            sum((F.element_at("_k", i + j)["n"] for j in range(1, span)), F.element_at("_k", i)["n"]).alias("n")))
+            sum((F.element_at("_k", i + j)["n"] for j in range(1, span)), F.element_at("_k", i)["n"]).alias("n"))))
     return (staged.select("_doc", "_rid", F.inline(F.filter(runs, lambda r: r["n"] >= min_words)))
             .select("_doc", "_rid", F.col("at").alias("_at"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")))
 
