@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NO_ID = -(2**63)
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def col(name: str) -> Column:
@@ -62,11 +63,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
-    lost executor costs only the tasks it ran."""
+    lost executor costs only the tasks it ran. The write's shuffle files go
+    when it ends, as nothing can read them again."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     schema = df.schema if partition_by is None else T.StructType(
         [f for f in df.schema if f.name != partition_by] + [df.schema[partition_by]])
     return spark.read.schema(schema).parquet(path)

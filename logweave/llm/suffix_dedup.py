@@ -16,10 +16,13 @@ Combining. The corpus order is needed to the depth of ``LENGTH`` bytes only,
 and only where a trigger's gram occurs more than once. There suffixes are
 brought together by (gram, phrase): every occurrence of a phrase but the first
 is covered by an earlier one as a whole. What is left are the first occurrences
-of distinct phrases that share a gram - the dictionary's own suffixes: these are
-brought together by (gram, hash of their first ``LENGTH`` bytes), and all
-but the first place of each are repeats. Full suffix arrays are not kept:
-within a gram, equality to that depth and the first place decide.
+of distinct phrases that share a gram - the dictionary's own suffixes. A window
+that starts at most ``SIDE`` bytes before its trigger holds the trigger's
+``GRAM`` + ``SIDE`` bytes onward, any other as many up to the gram's end; where
+those are found once only, so is the window. The rest are brought together by
+(gram, hash of their first ``LENGTH`` bytes), and all but the first place of
+each are repeats. Full suffix arrays are not kept: within a gram, equality to
+that depth and the first place decide.
 
 Only the grams of all triggers and one row per phrase are shuffled, about one
 per 35 bytes; texts move to where their phrases are cut and once at the end.
@@ -47,6 +50,7 @@ from logweave.llm.common import id_of, packed, stored, text_of, unpacked
 
 LENGTH = 100
 GRAM = 32
+SIDE = 34
 PIECE = 1 << 18
 OWN = ("n_bytes", "n_removed", "n_spans", "kept")
 
@@ -174,26 +178,40 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["_doc", "_rid", "_gram", "_phrase", "_a", "_b"])
 
 
+def _sides(data: np.ndarray, a: int, b: int, gram: np.uint64) -> list[tuple[int, np.uint64, np.ndarray]]:
+    """A phrase's windows by side of the trigger: first start, hash of the
+    bytes that all of the side share, hashes of the windows."""
+    grams, strings = _rolling()
+    part = data[a:b + LENGTH]
+    trigger = b + int(np.argmax(_mixed(grams.all(grams.sums(part[b - a:]), GRAM)) == gram))
+    sums = strings.sums(part)
+    windows = _mixed(strings.all(sums, LENGTH))
+    out, cut = [], min(max(trigger - SIDE, a), b + 1)
+    for first, last, start in ((cut, b + 1, trigger), (a, cut, trigger - SIDE - 1)):
+        if first < last:
+            end = start + GRAM + SIDE
+            shared = strings.of(sums, np.array([start - a]), np.array([end - a]))
+            side = _mixed(shared + np.uint64(start == trigger))[0]
+            out.append((first, side, windows[first - a:last - a]))
+    return out
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the phrases listed with each text: gram, hash of the
-    window, place."""
-    strings = _rolling()[1]
+    """The windows of the phrases listed with each text, one row per phrase and
+    side: gram, hash of the shared bytes, first place, hashes of the windows."""
     for batch in batches:
         for k in range(batch.num_rows):
             data = np.frombuffer(batch.column("_t")[k].as_buffer(), np.uint8)
-            grams, hashes, places = [], [], []
-            for x in batch.column("_phrases")[k].as_py():
-                part = data[x["_a"]:x["_b"] + LENGTH]
-                h = strings.all(strings.sums(part), LENGTH)
-                hashes.append(_mixed(h))
-                grams.append(np.full(len(h), x["_gram"], np.int64))
-                places.append(np.arange(x["_a"], x["_a"] + len(h), dtype=np.int32))
-            n = sum(map(len, places))
+            rows = [(x["_gram"], *side) for x in batch.column("_phrases")[k].as_py()
+                    for side in _sides(data, x["_a"], x["_b"], np.int64(x["_gram"]).view(np.uint64))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, batch.column("_doc")[k].as_py(), np.int64)),
-                 pa.array(np.full(n, batch.column("_rid")[k].as_py(), np.int64)),
-                 pa.array(np.concatenate(grams)), _signed(np.concatenate(hashes)), pa.array(np.concatenate(places))],
-                names=["_doc", "_rid", "_gram", "_hash", "_a"])
+                [pa.array([batch.column("_doc")[k].as_py()] * len(rows), pa.int64()),
+                 pa.array([batch.column("_rid")[k].as_py()] * len(rows), pa.int64()),
+                 pa.array([r[0] for r in rows], pa.int64()),
+                 pa.array([int(r[2].view(np.int64)) for r in rows], pa.int64()),
+                 pa.array([r[1] for r in rows], pa.int32()),
+                 pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))],
+                names=["_doc", "_rid", "_gram", "_side", "_a", "_hashes"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +259,12 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     firsts = dictionary.join(several, "_gram").select("_first.*", "_gram")
     of_text = firsts.groupBy("_doc", "_rid").agg(
         F.array_distinct(F.collect_list(F.struct("_a", "_b", "_gram"))).alias("_phrases"))
-    suffixes = stored(rows.join(of_text, ["_doc", "_rid"]).mapInArrow(
-        _suffixes, "_doc long, _rid long, _gram long, _hash long, _a int"), "suffixes")
+    sides = stored(rows.join(of_text, ["_doc", "_rid"]).mapInArrow(
+        _suffixes, "_doc long, _rid long, _gram long, _side long, _a int, _hashes array<long>"), "sides")
+    twice = sides.groupBy("_gram", "_side").agg(F.count("*").alias("_c")).filter(F.col("_c") > 1).drop("_c")
+    suffixes = stored(sides.join(twice, ["_gram", "_side"]).select(
+        "_doc", "_rid", "_gram", F.col("_a").alias("_from"), F.posexplode("_hashes").alias("_k", "_hash")).select(
+        "_doc", "_rid", "_gram", (F.col("_from") + F.col("_k")).alias("_a"), "_hash"), "suffixes")
     ordered = suffixes.groupBy("_gram", "_hash").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).filter(
         F.col("_c") > 1).select("_gram", "_hash", "_first")
     single = suffixes.join(ordered, ["_gram", "_hash"]).filter(place != F.col("_first")).select(
