@@ -79,7 +79,16 @@ def stored(df: DataFrame, name: str, *, partition_by: str | None = None) -> Data
             spark.conf.set(SHUFFLE_CLEANUP, before)
     schema = df.schema if partition_by is None else T.StructType(
         [f for f in df.schema if f.name != partition_by] + [df.schema[partition_by]])
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._lw_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing lazy reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lw_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def global_row_number(df: DataFrame, order_by: list[str], name: str = "_row_no") -> tuple[DataFrame, int]:

@@ -16,13 +16,14 @@ Combining. The corpus order is needed to the depth of ``LENGTH`` bytes only,
 and only where a trigger's gram occurs more than once. There suffixes are
 brought together by (gram, phrase): every occurrence of a phrase but the first
 is covered by an earlier one as a whole. What is left are the first occurrences
-of distinct phrases that share a gram - the dictionary's own suffixes. A window
-that starts at most ``SIDE`` bytes before its trigger holds the trigger's
-``GRAM`` + ``SIDE`` bytes onward, any other as many up to the gram's end; where
-those are found once only, so is the window. The rest are brought together by
-(gram, hash of their first ``LENGTH`` bytes), and all but the first place of
-each are repeats. Full suffix arrays are not kept: within a gram, equality to
-that depth and the first place decide.
+of distinct phrases that share a gram - the dictionary's own suffixes. They are
+cut once more by the offset of the trigger, ``PART`` offsets a part; all windows of a
+part share its core of ``LENGTH - PART + 1`` bytes. Parts whose core is found
+once only hold no repeat; of equal parts all but the first are covered as a
+whole; the windows of the others are brought together by (gram, hash of
+their ``LENGTH`` bytes), and all but the first place of each are repeats. Full
+suffix arrays are not kept: within a gram, equality to that depth and the first
+place decide.
 
 Only the grams of all triggers and one row per phrase are shuffled, about one
 per 35 bytes; texts move to where their phrases are cut and once at the end.
@@ -46,11 +47,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import id_of, packed, stored, text_of, unpacked
+from logweave.llm.common import discard, id_of, packed, stored, text_of, unpacked
 
 LENGTH = 100
 GRAM = 32
-SIDE = 34
+PART = 17
 PIECE = 1 << 18
 OWN = ("n_bytes", "n_removed", "n_spans", "kept")
 
@@ -178,40 +179,40 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["_doc", "_rid", "_gram", "_phrase", "_a", "_b"])
 
 
-def _sides(data: np.ndarray, a: int, b: int, gram: np.uint64) -> list[tuple[int, np.uint64, np.ndarray]]:
-    """A phrase's windows by side of the trigger: first start, hash of the
-    bytes that all of the side share, hashes of the windows."""
+def _parts(data: np.ndarray, a: int, b: int, gram: np.uint64) -> list[tuple]:
+    """A phrase's windows in parts by the trigger's offset: first start, hash of
+    the core, hash of all bytes of the part, hashes of its windows."""
     grams, strings = _rolling()
     part = data[a:b + LENGTH]
-    trigger = b + int(np.argmax(_mixed(grams.all(grams.sums(part[b - a:]), GRAM)) == gram))
+    trigger = b - a + int(np.argmax(_mixed(grams.all(grams.sums(part[b - a:]), GRAM)) == gram))
     sums = strings.sums(part)
     windows = _mixed(strings.all(sums, LENGTH))
-    out, cut = [], min(max(trigger - SIDE, a), b + 1)
-    for first, last, start in ((cut, b + 1, trigger), (a, cut, trigger - SIDE - 1)):
-        if first < last:
-            end = start + GRAM + SIDE
-            shared = strings.of(sums, np.array([start - a]), np.array([end - a]))
-            side = _mixed(shared + np.uint64(start == trigger))[0]
-            out.append((first, side, windows[first - a:last - a]))
+    out = []
+    for j in range((trigger - (b - a)) // PART, trigger // PART + 1):
+        first, last = max(trigger - PART * j - PART + 1, 0), min(trigger - PART * j, b - a)
+        at = np.array([trigger - PART * j, first])
+        end = np.array([trigger - PART * j + LENGTH - PART + 1, last + LENGTH])
+        core, whole = _mixed(strings.of(sums, at, end) + np.array([j, last - first], np.uint64))
+        out.append((a + first, core, whole, windows[first:last + 1]))
     return out
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the phrases listed with each text, one row per phrase and
-    side: gram, hash of the shared bytes, first place, hashes of the windows."""
+    """The windows of the phrases listed with each text, one row per part."""
     for batch in batches:
         for k in range(batch.num_rows):
             data = np.frombuffer(batch.column("_t")[k].as_buffer(), np.uint8)
-            rows = [(x["_gram"], *side) for x in batch.column("_phrases")[k].as_py()
-                    for side in _sides(data, x["_a"], x["_b"], np.int64(x["_gram"]).view(np.uint64))]
+            rows = [(x["_gram"], *part) for x in batch.column("_phrases")[k].as_py()
+                    for part in _parts(data, x["_a"], x["_b"], np.int64(x["_gram"]).view(np.uint64))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch.column("_doc")[k].as_py()] * len(rows), pa.int64()),
                  pa.array([batch.column("_rid")[k].as_py()] * len(rows), pa.int64()),
                  pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([int(r[2].view(np.int64)) for r in rows], pa.int64()),
+                 pa.array([int(r[3].view(np.int64)) for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))],
-                names=["_doc", "_rid", "_gram", "_side", "_a", "_hashes"])
+                 pa.array([r[4].view(np.int64) for r in rows], pa.list_(pa.int64()))],
+                names=["_doc", "_rid", "_gram", "_core", "_whole", "_a", "_hashes"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,33 +244,47 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """(_doc, _rid, s, e) of byte spans of ``rows`` (``_doc``, ``_rid``,
     ``_t`` binary) that an earlier place holds too; spans may overlap."""
     place = F.struct("_doc", "_rid", "_a")
-    shared = rows.mapInArrow(_grams, "_gram long").groupBy("_gram").agg(F.count("*").alias("_c")).filter(
-        F.col("_c") > 1).select("_gram")
+    first = F.struct("_first._doc", "_first._rid", "_first._a")
+
+    def several(table: DataFrame, *keys: str) -> DataFrame:
+        return table.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > 1).drop("_c")
+
+    shared = several(rows.mapInArrow(_grams, "_gram long"), "_gram")
     found = rows.mapInArrow(_phrases, "_doc long, _rid long, _gram long, _phrase long, _a int, _b int")
     parse = stored(found.join(shared.hint("shuffle_hash"), "_gram"), "parse")
 
     dictionary = stored(parse.groupBy("_gram", "_phrase").agg(
         F.min(F.struct("_doc", "_rid", "_a", "_b")).alias("_first"), F.count("*").alias("_c")), "dictionary")
     repeats = dictionary.filter(F.col("_c") > 1).select("_gram", "_phrase", "_first")
-    later = parse.join(repeats, ["_gram", "_phrase"]).filter(
-        place != F.struct("_first._doc", "_first._rid", "_first._a"))
-    whole = later.select("_doc", "_rid", F.col("_a").alias("s"), (F.col("_b") + LENGTH).alias("e"))
+    phrases = stored(parse.join(repeats, ["_gram", "_phrase"]).filter(place != first).select(
+        "_doc", "_rid", F.col("_a").alias("s"), (F.col("_b") + LENGTH).alias("e")), "covered_phrases")
+    discard(parse)
 
-    several = dictionary.groupBy("_gram").agg(F.count("*").alias("_c")).filter(F.col("_c") > 1).select("_gram")
-    firsts = dictionary.join(several, "_gram").select("_first.*", "_gram")
+    firsts = dictionary.join(several(dictionary, "_gram"), "_gram").select("_first.*", "_gram")
     of_text = firsts.groupBy("_doc", "_rid").agg(
         F.array_distinct(F.collect_list(F.struct("_a", "_b", "_gram"))).alias("_phrases"))
-    sides = stored(rows.join(of_text, ["_doc", "_rid"]).mapInArrow(
-        _suffixes, "_doc long, _rid long, _gram long, _side long, _a int, _hashes array<long>"), "sides")
-    twice = sides.groupBy("_gram", "_side").agg(F.count("*").alias("_c")).filter(F.col("_c") > 1).drop("_c")
-    suffixes = stored(sides.join(twice, ["_gram", "_side"]).select(
+    parts = stored(rows.join(of_text.hint("shuffle_hash"), ["_doc", "_rid"]).mapInArrow(
+        _suffixes, "_doc long, _rid long, _gram long, _core long, _whole long, _a int, _hashes array<long>"), "parts")
+    discard(dictionary)
+    kinds = stored(parts.groupBy("_gram", "_core", "_whole").agg(
+        F.min(place).alias("_first"), F.count("*").alias("_c"), F.max(F.size("_hashes")).alias("_n")), "part_kinds")
+    again = kinds.filter(F.col("_c") > 1).select("_gram", "_core", "_whole", "_first", "_n")
+    covered = stored(parts.drop("_hashes").join(again, ["_gram", "_core", "_whole"]).filter(place != first).select(
+        "_doc", "_rid", F.col("_a").alias("s"), (F.col("_a") + F.col("_n") - 1 + LENGTH).alias("e")), "covered_parts")
+
+    mixed = kinds.join(several(kinds, "_gram", "_core"), ["_gram", "_core"]).select(
+        "_gram", "_core", "_whole", "_first.*")
+    keys = ["_gram", "_core", "_whole", "_doc", "_rid", "_a"]
+    suffixes = stored(parts.join(mixed.hint("shuffle_hash"), keys).select(
         "_doc", "_rid", "_gram", F.col("_a").alias("_from"), F.posexplode("_hashes").alias("_k", "_hash")).select(
         "_doc", "_rid", "_gram", (F.col("_from") + F.col("_k")).alias("_a"), "_hash"), "suffixes")
+    discard(parts, kinds)
     ordered = suffixes.groupBy("_gram", "_hash").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).filter(
         F.col("_c") > 1).select("_gram", "_hash", "_first")
-    single = suffixes.join(ordered, ["_gram", "_hash"]).filter(place != F.col("_first")).select(
-        "_doc", "_rid", F.col("_a").alias("s"), (F.col("_a") + LENGTH).alias("e"))
-    return whole.unionByName(single)
+    single = stored(suffixes.join(ordered, ["_gram", "_hash"]).filter(place != first).select(
+        "_doc", "_rid", F.col("_a").alias("s"), (F.col("_a") + LENGTH).alias("e")), "single")
+    discard(suffixes)
+    return phrases.unionByName(covered).unionByName(single)
 
 
 def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
