@@ -38,17 +38,18 @@ from logweave.llm.components import connected_components
 
 COSINE = 0.98
 TREES = 4
-LEAF = 256
+LEAF = 512
 BLOCK = 1024
-SPILL = 0.03
+SPILL = 0.02
 STALLS = 3
 SEED = 20240131
 NODE = ["_label", "_dim", "_tree", "_path"]
 
 
 def vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """id, label, vector as doubles, its two hashes and whether it can link."""
-    v = col(vector_col).cast("array<double>")
+    """id, label, vector (float or double), its two hashes and whether it can link."""
+    kind = rows.schema[vector_col].dataType.simpleString()
+    v = col(vector_col) if kind == "array<float>" else col(vector_col).cast("array<double>")
     bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     usable = (F.col("_label").isNotNull() & F.col("_v").isNotNull() & ~bad & F.exists("_v", lambda x: x != 0))
     return (rows.select(id_of(id_col).alias("_id"), col(label_col).alias("_label"), v.alias("_v"))
