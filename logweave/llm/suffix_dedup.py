@@ -41,6 +41,7 @@ column gives way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -105,14 +106,26 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _phrases_of(data: np.ndarray, lengths: np.ndarray):
+class Parse(NamedTuple):
     """Phrases of texts laid end to end: text index, first and last window
-    start (in the joined bytes), gram and phrase hash."""
+    start and trigger (places in the joined bytes), hash of the trigger's gram;
+    prefix sums of the joined bytes for the hashes of strings."""
+
+    text: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    trigger: np.ndarray
+    gram: np.ndarray
+    sums: np.ndarray
+
+
+def _phrases_of(data: np.ndarray, lengths: np.ndarray) -> Parse:
     grams, strings = _rolling()
     n = len(data)
+    sums = strings.sums(data)
     if n < LENGTH:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return Parse(empty, empty, empty, empty, empty.view(np.uint64), sums)
     gram = _mixed(grams.all(grams.sums(data), GRAM))
     mask = np.uint64((1 << n.bit_length()) - 1)
     low = (gram & ~mask) | np.arange(len(gram), dtype=np.uint64)
@@ -131,10 +144,11 @@ def _phrases_of(data: np.ndarray, lengths: np.ndarray):
     new[1:] = (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
-    a, b = start[first], start[last]
-    sums = strings.sums(data)
-    phrase = _mixed(strings.of(sums, a, b + LENGTH) + (b - a).astype(np.uint64))
-    return text[first], a, b, gram[trigger[first]], phrase
+    return Parse(text[first], start[first], start[last], trigger[first], gram[trigger[first]], sums)
+
+
+def _phrase_hash(p: Parse) -> np.ndarray:
+    return _mixed(_rolling()[1].of(p.sums, p.a, p.b + LENGTH) + (p.b - p.a).astype(np.uint64))
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -155,64 +169,72 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[
         yield rows, bases, parts
 
 
-def _parsed(batch: pa.RecordBatch):
+def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Parse]]:
+    """For some texts at a time: the row of each phrase, what to add to get
+    from places in the joined bytes to places in its text, and the parse."""
     for rows, bases, parts in _pieces(batch):
         lengths = np.array([len(p) for p in parts], np.int64)
-        text, a, b, gram, phrase = _phrases_of(np.frombuffer(b"".join(parts), np.uint8), lengths)
-        shift = (np.array(bases, np.int64) - (np.cumsum(lengths) - lengths))[text]
-        yield np.array(rows, np.int64)[text], a + shift, b + shift, gram, phrase
+        parse = _phrases_of(np.frombuffer(b"".join(parts), np.uint8), lengths)
+        shift = np.array(bases, np.int64) - (np.cumsum(lengths) - lengths)
+        yield np.array(rows, np.int64)[parse.text], shift[parse.text], parse
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, _, gram, _ in _parsed(batch):
-            yield pa.RecordBatch.from_arrays([_signed(gram)], names=["_gram"])
+        for _, _, parse in _parsed(batch):
+            yield pa.RecordBatch.from_arrays([_signed(parse.gram)], names=["_gram"])
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, a, b, gram, phrase in _parsed(batch):
+        for row, shift, parse in _parsed(batch):
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_doc").take(at), batch.column("_rid").take(at), _signed(gram), _signed(phrase),
-                 pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+                [batch.column("_doc").take(at), batch.column("_rid").take(at), _signed(parse.gram),
+                 _signed(_phrase_hash(parse)), pa.array((parse.a + shift).astype(np.int32)),
+                 pa.array((parse.b + shift).astype(np.int32))],
                 names=["_doc", "_rid", "_gram", "_phrase", "_a", "_b"])
 
 
-def _parts(data: np.ndarray, a: int, b: int, gram: np.uint64) -> list[tuple]:
-    """A phrase's windows in parts by the trigger's offset: first start, hash of
-    the core, hash of all bytes of the part, hashes of its windows."""
-    grams, strings = _rolling()
-    part = data[a:b + LENGTH]
-    trigger = b - a + int(np.argmax(_mixed(grams.all(grams.sums(part[b - a:]), GRAM)) == gram))
-    sums = strings.sums(part)
-    windows = _mixed(strings.all(sums, LENGTH))
-    out = []
-    for j in range((trigger - (b - a)) // PART, trigger // PART + 1):
-        first, last = max(trigger - PART * j - PART + 1, 0), min(trigger - PART * j, b - a)
-        at = np.array([trigger - PART * j, first])
-        end = np.array([trigger - PART * j + LENGTH - PART + 1, last + LENGTH])
-        core, whole = _mixed(strings.of(sums, at, end) + np.array([j, last - first], np.uint64))
-        out.append((a + first, core, whole, windows[first:last + 1]))
-    return out
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the phrases listed with each text, one row per part."""
+def _parts(parse: Parse, chosen: np.ndarray):
+    """The windows of the chosen phrases in parts by the trigger's offset:
+    phrase, first and last start, hash of the core, hash of all bytes."""
+    strings = _rolling()[1]
+    a, b, trigger = parse.a[chosen], parse.b[chosen], parse.trigger[chosen]
+    for j in range((LENGTH - GRAM) // PART + 1):
+        core = trigger - PART * j
+        first, last = np.maximum(core - PART + 1, a), np.minimum(core, b)
+        some = np.flatnonzero(first <= last)
+        first, last, core = first[some], last[some], core[some]
+        shared = _mixed(strings.of(parse.sums, core, core + LENGTH - PART + 1) + np.uint64(j))
+        whole = _mixed(strings.of(parse.sums, first, last + LENGTH) + (last - first).astype(np.uint64))
+        yield chosen[some], first, last, shared, whole
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the phrases listed (by first start) with each text, one
+    row per part."""
+    strings = _rolling()[1]
     for batch in batches:
-        for k in range(batch.num_rows):
-            data = np.frombuffer(batch.column("_t")[k].as_buffer(), np.uint8)
-            rows = [(x["_gram"], *part) for x in batch.column("_phrases")[k].as_py()
-                    for part in _parts(data, x["_a"], x["_b"], np.int64(x["_gram"]).view(np.uint64))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column("_doc")[k].as_py()] * len(rows), pa.int64()),
-                 pa.array([batch.column("_rid")[k].as_py()] * len(rows), pa.int64()),
-                 pa.array([r[0] for r in rows], pa.int64()),
-                 pa.array([int(r[2].view(np.int64)) for r in rows], pa.int64()),
-                 pa.array([int(r[3].view(np.int64)) for r in rows], pa.int64()),
-                 pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[4].view(np.int64) for r in rows], pa.list_(pa.int64()))],
-                names=["_doc", "_rid", "_gram", "_core", "_whole", "_a", "_hashes"])
+        lists = batch.column("_starts")
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        wanted = (np.repeat(np.arange(batch.num_rows), counts) << 32) + lists.flatten().to_numpy()
+        for row, shift, parse in _parsed(batch):
+            chosen = np.flatnonzero(np.isin((row << 32) + parse.a + shift, wanted))
+            if not len(chosen):
+                continue
+            windows = _mixed(strings.all(parse.sums, LENGTH))
+            for phrase, first, last, core, whole in _parts(parse, chosen):
+                n = last - first + 1
+                ends = np.cumsum(n)
+                every = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+                at = pa.array(row[phrase])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_doc").take(at), batch.column("_rid").take(at), _signed(parse.gram[phrase]),
+                     _signed(core), _signed(whole), pa.array((first + shift[phrase]).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+                                              _signed(windows[every]))],
+                    names=["_doc", "_rid", "_gram", "_core", "_whole", "_a", "_hashes"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,17 +276,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     parse = stored(found.join(shared.hint("shuffle_hash"), "_gram"), "parse")
 
     dictionary = stored(parse.groupBy("_gram", "_phrase").agg(
-        F.min(F.struct("_doc", "_rid", "_a", "_b")).alias("_first"), F.count("*").alias("_c")), "dictionary")
+        F.min(place).alias("_first"), F.count("*").alias("_c")), "dictionary")
     repeats = dictionary.filter(F.col("_c") > 1).select("_gram", "_phrase", "_first")
     phrases = stored(parse.join(repeats, ["_gram", "_phrase"]).filter(place != first).select(
         "_doc", "_rid", F.col("_a").alias("s"), (F.col("_b") + LENGTH).alias("e")), "covered_phrases")
     discard(parse)
 
-    firsts = dictionary.join(several(dictionary, "_gram"), "_gram").select("_first.*", "_gram")
-    of_text = firsts.groupBy("_doc", "_rid").agg(
-        F.array_distinct(F.collect_list(F.struct("_a", "_b", "_gram"))).alias("_phrases"))
+    firsts = dictionary.join(several(dictionary, "_gram"), "_gram").select("_first.*")
+    of_text = firsts.groupBy("_doc", "_rid").agg(F.collect_list("_a").alias("_starts"))
     parts = stored(rows.join(of_text.hint("shuffle_hash"), ["_doc", "_rid"]).mapInArrow(
-        _suffixes, "_doc long, _rid long, _gram long, _core long, _whole long, _a int, _hashes array<long>"), "parts")
+        _part_rows, "_doc long, _rid long, _gram long, _core long, _whole long, _a int, _hashes array<long>"), "parts")
     discard(dictionary)
     kinds = stored(parts.groupBy("_gram", "_core", "_whole").agg(
         F.min(place).alias("_first"), F.count("*").alias("_c"), F.max(F.size("_hashes")).alias("_n")), "part_kinds")
@@ -302,7 +323,7 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         (F.xxhash64(text) if many else F.lit(0).cast("long")).alias("_rid"), text.cast("binary").alias("_t"))
     bare = rows.select("_doc", "_rid", "_t")
     spans = repeated_spans(bare.dropDuplicates(["_doc", "_rid"]) if many else bare)
-    of_text = spans.groupBy("_doc", "_rid").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("_spans"))
+    of_text = spans.groupBy("_doc", "_rid").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
     kind = rows.schema["_row"].dataType.simpleString()
     joined = rows.join(of_text.hint("shuffle_hash"), ["_doc", "_rid"], "left").select("_row", "_t", "_spans")
     done = joined.mapInArrow(_cut, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
