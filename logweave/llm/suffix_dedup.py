@@ -271,7 +271,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     def several(table: DataFrame, *keys: str) -> DataFrame:
         return table.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > 1).drop("_c")
 
-    shared = several(rows.mapInArrow(_grams, "_gram long"), "_gram")
+    # stored, so that the join's hot grams stand right above an exchange and can be split
+    shared = stored(several(rows.mapInArrow(_grams, "_gram long"), "_gram"), "shared_grams")
     found = rows.mapInArrow(_phrases, "_doc long, _rid long, _gram long, _phrase long, _a int, _b int")
     parse = stored(found.join(shared.hint("shuffle_hash"), "_gram"), "parse")
 
@@ -300,8 +301,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         "_doc", "_rid", "_gram", F.col("_a").alias("_from"), F.posexplode("_hashes").alias("_k", "_hash")).select(
         "_doc", "_rid", "_gram", (F.col("_from") + F.col("_k")).alias("_a"), "_hash"), "suffixes")
     discard(parts, kinds)
-    ordered = suffixes.groupBy("_gram", "_hash").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).filter(
-        F.col("_c") > 1).select("_gram", "_hash", "_first")
+    ordered = stored(suffixes.groupBy("_gram", "_hash").agg(
+        F.min(place).alias("_first"), F.count("*").alias("_c")).filter(F.col("_c") > 1).drop("_c"), "ordered")
     single = stored(suffixes.join(ordered, ["_gram", "_hash"]).filter(place != first).select(
         "_doc", "_rid", F.col("_a").alias("s"), (F.col("_a") + LENGTH).alias("e")), "single")
     discard(suffixes)
