@@ -146,9 +146,10 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _prefixes(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(_id, _shared, _s, _rest): the shingles in the prefix of each set that
-    another set of ``ids`` holds too, how many of the whole set are so, and how
-    many follow this one in the order."""
+    """(_id, _shared, _s, _rest, _before): the shingles in the prefix of each
+    set that another set of ``ids`` holds too, how many of the whole set are
+    so, how many follow this one in the order, and which of the prefix stand
+    before it."""
     wanted = sets.join(ids.withColumnRenamed("_rep", "_id"), "_id", "left_semi")
     rows = stored(wanted.mapInArrow(_shingle_rows, "_id long, _of long, _shingles array<long>")
                   .select("_id", "_of", F.explode("_shingles").alias("_s")), "shingles")
@@ -157,11 +158,12 @@ def _prefixes(sets: DataFrame, ids: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_all"))
     n = F.size("_all")
     length = n - F.ceil(n * F.lit(WHOLE) / PART).cast("int") + 1
-    return ordered.select(
-        "_id", F.size(F.filter("_all", lambda x: x["_df"] > 1)).alias("_shared"),
-        F.explode(F.filter(F.transform(F.slice("_all", 1, length), lambda x, i: F.struct(
-            x["_df"].alias("df"), x["_s"].alias("s"), (n - i - 1).alias("rest"))), lambda x: x["df"] > 1)).alias("_x")).select(
-        "_id", "_shared", F.col("_x")["s"].alias("_s"), F.col("_x")["rest"].alias("_rest"))
+    prefix = F.filter(F.transform(F.slice("_all", 1, length), lambda x, i: F.struct(
+        x["_df"].alias("df"), x["_s"].alias("s"), (n - i - 1).alias("rest"))), lambda x: x["df"] > 1)
+    listed = ordered.select("_id", F.size(F.filter("_all", lambda x: x["_df"] > 1)).alias("_shared"), prefix.alias("_l"))
+    return listed.select("_id", "_shared", "_l", F.posexplode("_l").alias("_k", "_x")).select(
+        "_id", "_shared", F.col("_x")["s"].alias("_s"), F.col("_x")["rest"].alias("_rest"),
+        F.slice(F.transform("_l", lambda x: x["s"]), F.lit(1), F.col("_k")).alias("_before"))
 
 
 def classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -198,12 +200,13 @@ def classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     prefixes = _prefixes(sets, open_ids.select("_rep").distinct()).join(
         open_ids.withColumnRenamed("_rep", "_id"), "_id").filter(PART * F.col("_shared") >= WHOLE * F.col("_n"))
     prefixes = stored(prefixes, "prefixes")
-    a, b = (prefixes.select("_s", *[F.col(c).alias(c + n) for c in ("_id", "_n", "_shared", "_rest", "_comp")])
+    a, b = (prefixes.select("_s", *[F.col(c).alias(c + n) for c in ("_id", "_n", "_shared", "_rest", "_before", "_comp")])
             for n in "12")
     common = F.least("_shared1", "_shared2", F.col("_rest1") + 1, F.col("_rest2") + 1)
     across = a.join(b, "_s").filter(
         (F.col("_comp1") != F.col("_comp2")) & (F.col("_id1") < F.col("_id2"))
-        & (PART * common >= WHOLE * (F.col("_n1") + F.col("_n2") - common)))
+        & (PART * common >= WHOLE * (F.col("_n1") + F.col("_n2") - common))
+        & ~F.arrays_overlap("_before1", "_before2"))  # a pair meets at its first common shingle only
     across = stored(across.select(F.col("_id1").alias("u"), F.col("_id2").alias("v")).distinct(), "across")
     components = connected_components(links.unionByName(_links(across, sets)))
 
