@@ -36,7 +36,8 @@ def by_category(table: DataFrame, categories: str = "categories") -> DataFrame:
     empty or contains the category" becomes an equi-join key and no
     nested-loop (cartesian) join is ever needed, whatever the table size."""
     every = F.array(*[F.lit(c) for c in R.CATEGORIES])
-    return table.withColumn("_cat", F.explode(F.when(F.size(categories) == 0, every).otherwise(F.col(categories))))
+    return table.withColumn("_cat", F.explode(F.when(F.size(categories) == 0, every)
+                                             .otherwise(F.array_distinct(categories))))
 
 
 def _match_condition(ev_sev, category, source):
@@ -92,6 +93,9 @@ def alert_text(df: DataFrame, prefix: str = "Security Alert") -> DataFrame:
     return df.withColumn("subject", subject).withColumn("body", body)
 
 
+# key of updates whose category is null or outside the closed set
+OTHER = "(other)"
+
 CLIENT_FILTER_SCHEMA = ("client_id string, event_types array<string>, min_priority int, max_priority int, "
                         "categories array<string>, sources array<string>")
 
@@ -99,11 +103,23 @@ CLIENT_FILTER_SCHEMA = ("client_id string, event_types array<string>, min_priori
 def client_fanout(updates: DataFrame, filters: DataFrame) -> DataFrame:
     """J-06/P-19: (update, client) pairs whose subscription filter matches;
     empty lists and unset bounds accept everything. Filters are broadcast
-    behind the size check."""
-    f = broadcast_if_small(by_category(filters)).alias("f")
+    behind the size check. Filters without categories take every update, one
+    without a category or with an unknown one too: they meet updates on a key
+    that is the category or, for those, ``OTHER``."""
+    known = F.col("category").isin(R.CATEGORIES)
+    keyed = updates.withColumn("_any", F.when(known, F.col("category")).otherwise(F.lit(OTHER)))
+    listed = filters.where(F.size("categories") > 0).withColumn("_cat", F.explode(F.array_distinct("categories")))
+    every = F.array(*[F.lit(c) for c in [*R.CATEGORIES, OTHER]])
+    open_ = filters.where(F.size("categories") == 0).withColumn("_cat", F.explode(every))
+    by_list = _fanout(keyed, listed, F.col("u.category"))
+    return by_list.unionByName(_fanout(keyed, open_, F.col("u._any"))).drop("_any")
+
+
+def _fanout(updates: DataFrame, filters: DataFrame, key: F.Column) -> DataFrame:
+    f = broadcast_if_small(filters).alias("f")
     u = updates.alias("u")
     cond = (
-        (F.col("u.category") == F.col("f._cat"))
+        (key == F.col("f._cat"))
         & ((F.size("f.event_types") == 0) | F.array_contains("f.event_types", F.col("u.event_type")))
         & (F.coalesce(F.col("f.min_priority"), F.lit(0)).eqNullSafe(0) | (F.col("u.priority") >= F.col("f.min_priority")))
         & (F.coalesce(F.col("f.max_priority"), F.lit(0)).eqNullSafe(0) | (F.col("u.priority") <= F.col("f.max_priority")))

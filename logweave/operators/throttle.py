@@ -39,9 +39,11 @@ def next_allowed(events: DataFrame, key: str, ts: str, id_col: str, minutes: str
                         F.lit(0).alias("_kind"), F.col("_id").alias("_qid"), F.lit(None).cast("string").alias("_cid"))
     cands = ev.select("_k", "_b", "_t", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_qid"),
                       F.col("_id").alias("_cid"))
-    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_kind", "_cid")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    in_next = (queries.unionByName(cands).withColumn("_hit", F.first("_cid", ignorenulls=True).over(w))
+    # walked from the latest row back, the last candidate so far is the first one
+    # at or after a query; the frame only grows, so a bucket costs one pass
+    w = (Window.partitionBy("_k", "_b").orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_cid"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_next = (queries.unionByName(cands).withColumn("_hit", F.last("_cid", ignorenulls=True).over(w))
                .where(F.col("_kind") == 0).select(F.col("_qid").alias("_id"), "_hit"))
     # per non-empty bucket: its first event and the first event of the next non-empty bucket
     summ = ev.groupBy("_k", "_b").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_first"))

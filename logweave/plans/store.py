@@ -38,10 +38,21 @@ def _code_version() -> str:
 
 def _root(spark: SparkSession, sf_dir: str, ref_ts) -> str:
     base = ensure_checkpoint_dir(spark)
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{ref_ts}|{_code_version()}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{sf_dir}|{_inputs(spark, sf_dir)}|{ref_ts}|{_code_version()}".encode()).hexdigest()[:16]
     return f"{base.rstrip('/')}/logweave-store/{key}"
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> str:
+    """Path, length and modification time of every file of the tables that
+    are stored or staged, so that changed data gets a store of its own."""
+    found = []
+    for table in ("events", "documents"):
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{table}.parquet")
+        if fs.exists(p):
+            found += [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(p)]
+    return "|".join(sorted(found))
+
+
 def _fs(spark: SparkSession, path: str):
     """Hadoop FileSystem of ``path`` (local, HDFS or object store alike)."""
     jvm = spark.sparkContext._jvm

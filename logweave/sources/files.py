@@ -55,14 +55,14 @@ def _ext(name: Column) -> Column:
     return F.when(F.instr(name, ".") > 0, F.concat(F.lit("."), F.lower(F.substring_index(name, ".", -1)))).otherwise(F.lit(""))
 
 
-def admission(files: DataFrame) -> DataFrame:
-    """S-04: size, emptiness, extension deny/allow lists and executable or
+def admission(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """S-04: size (only where ``max_bytes`` sets a limit), emptiness, extension deny/allow lists and executable or
     archive signatures (first bytes), in this order -> (is_valid, reason)."""
     ext = _ext(F.col("file_name"))
     sig = F.lit(False)
     for s in DANGEROUS_SIGNATURES:
         sig = sig | F.lower(F.col("magic")).startswith(s)
-    reason = (F.when(F.col("size_bytes") > MAX_FILE_BYTES, F.lit("File too large (maximum 10MB)"))
+    reason = (F.when(F.col("size_bytes") > F.lit(max_bytes), F.lit("File too large (maximum 10MB)"))
               .when(F.col("size_bytes") == 0, F.lit("File is empty"))
               .when(ext.isin(DANGEROUS_EXTENSIONS), F.concat(F.lit("File type not allowed: "), ext))
               .when(~ext.isin(ALLOWED_EXTENSIONS), F.lit("File type not supported"))
