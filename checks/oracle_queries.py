@@ -304,7 +304,7 @@ SELECT id, rule_name FROM tm WHERE throttle_minutes <= 0 OR match_id IN (SELECT
 # ------------------------------------------------------------ format detection
 from logweave.operators.formats import DELIMITERS, TIMESTAMP_KINDS  # noqa: E402
 
-SAMPLE = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY line_no) AS r FROM lines) x WHERE r <= 50)"""
+SAMPLE = "lines"
 _KCOLS = ", ".join(f"CAST(sum(len(regexp_extract_all(line, {q(rx)}))) AS BIGINT) AS {k}" for k, rx in TIMESTAMP_KINDS)
 _BEST = "greatest(" + ", ".join(k for k, _ in TIMESTAMP_KINDS) + ")"
 _BESTNAME = "CASE " + " ".join(f"WHEN {k} = {_BEST} THEN '{k}'" for k, _ in TIMESTAMP_KINDS) + " END"
@@ -523,3 +523,102 @@ reg("stream_failed_logins", f"""SELECT account, window_start, count(*) AS attemp
   SELECT account, date_trunc('minute', "timestamp") - to_minutes(k) AS window_start FROM {FAILED} f, range(0, 5) r(k)) w
 WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM {FAILED} f2)
 GROUP BY account, window_start""")
+
+
+# ------------------------------------------------------------ format registry
+from logweave.operators.registry import FIELD_PATTERNS  # noqa: E402
+
+_MSG = "event_type || ' by user' || CAST(user_id AS VARCHAR)"
+_APP = "'app' || CAST(user_id % 5 AS VARCHAR)"
+_PROC = f"{_APP} || '[' || CAST(user_id + 100 AS VARCHAR) || ']: ' || {_MSG}"
+_TAIL = f"' host' || CAST(user_id % 7 AS VARCHAR) || ' ' || {_PROC}"
+FLINES = f"""flines AS (SELECT event_id, user_id, event_type, value, ts, 'x' AS raw_log_id, event_id AS line_no,
+  'fmt' || CAST(user_id % 40 AS VARCHAR) AS source_name, ts AS ingested_at, CASE user_id % 8
+    WHEN 0 THEN strftime(ts, '%b %d %H:%M:%S') || {_TAIL}
+    WHEN 1 THEN CASE WHEN event_id % 10 = 0 THEN repeat('x', 300) || ': ' || repeat('tail ', 200) || {_MSG}
+                ELSE strftime(ts, '%Y-%m-%d %H:%M:%S ') || {_APP} || ': ' || {_MSG} END
+    WHEN 2 THEN strftime(ts, '%m/%d/%Y %H:%M:%S') || {_TAIL}
+    WHEN 3 THEN CAST(epoch_us(ts) // 1000000 AS VARCHAR) || {_TAIL}
+    WHEN 4 THEN CAST(epoch_us(ts) // 1000 AS VARCHAR) || {_TAIL}
+    WHEN 5 THEN strftime(ts, '[%d/%b/%Y:%H:%M:%S +0200] ') || {_PROC}
+    WHEN 6 THEN event_type || '|' || {_APP} || '|' || CAST(user_id AS VARCHAR) || '|' || {_MSG}
+    ELSE {_MSG} END AS line FROM events)"""
+_TS_BODY = {"apache_common": r"\[(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}\s+[+-]\d{4})\]"}
+_TS_CASE = "CASE best_pattern " + " ".join(f"WHEN {q(k)} THEN {q(_TS_BODY.get(k, rx.replace(chr(92) + 'b', '')))}" for k, rx in TIMESTAMP_KINDS) + " END"
+
+
+def _fields_sql(src: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT source_name, {q(f)} AS field, line, regexp_extract_all(line, {q(rx)}) AS hits, "
+        f"string_split_regex(line, {q(rx)}) AS gaps FROM {src}" for f, rx in FIELD_PATTERNS)
+    return f"""(SELECT f.source_name, field, matches, spread, matches >= n * 0.3 AS present,
+      matches >= n * 0.3 AND spread < 50 AS consistent FROM (
+      SELECT source_name, field, CAST(sum(len(hits)) AS BIGINT) AS matches,
+        CAST(max(length(line) - length(gaps[-1]) - length(hits[-1])) - min(length(gaps[1])) AS INTEGER) AS spread
+      FROM ({parts}) a WHERE len(hits) > 0 GROUP BY 1, 2) f
+      JOIN (SELECT source_name, count(*) AS n FROM {src} GROUP BY 1) t ON f.source_name = t.source_name)"""
+
+
+def _registry_sql(src: str) -> str:
+    quote = "chr(92) || primary_delimiter"
+    cell = f"'([^' || {quote} || ']*)'"
+    fields = "least(6, length(first_line) - length(replace(first_line, primary_delimiter, '')) + 1)"
+    return f"""(WITH k AS (SELECT source_name, count(*) AS sample_lines, {_KCOLS}, {_DCOLS}, arg_min(line, line_no) AS first_line FROM {src} GROUP BY 1),
+      fl AS (SELECT source_name, bool_or(field = 'hostname' AND consistent) AS host, bool_or(field = 'process_name' AND present) AS process,
+        bool_or(field = 'pid' AND present) AS pid, count_if(present) AS n_present FROM {_fields_sql(src)} x GROUP BY 1),
+      d AS (SELECT k.source_name, sample_lines, first_line, CASE WHEN {_BEST} > 0 THEN {_BESTNAME} END AS best_pattern,
+        {_BEST} > sample_lines * 0.5 AND {_BEST} <= sample_lines * 0.8 AS ts_medium, {_PRIM} AS primary_delimiter,
+        {_TOP} > sample_lines * 2 AS structured, coalesce(host, FALSE) AS host, coalesce(process, FALSE) AS process,
+        coalesce(pid, FALSE) AS pid, coalesce(n_present, 0) AS n_present FROM k LEFT JOIN fl ON k.source_name = fl.source_name)
+      SELECT source_name, 'detected_' || best_pattern AS format_name, ({_TS_CASE}) || CASE WHEN host THEN '\\s+(\\S+)' ELSE '' END
+          || CASE WHEN process THEN '\\s+([^:\\[\\s]+)' ELSE '' END || CASE WHEN pid THEN '(?:\\[(\\d+)\\])?' ELSE '' END || '\\s*:\\s*(.+)' AS regex_pattern,
+        best_pattern AS ts_kind, 1 AS g_timestamp, CASE WHEN host THEN 2 END AS g_host, CASE WHEN process THEN 2 + host::INT END AS g_process,
+        CASE WHEN pid THEN 2 + host::INT + process::INT END AS g_pid, 2 + host::INT + process::INT + pid::INT AS g_message,
+        CASE WHEN ts_medium THEN 'medium' WHEN n_present < 2 THEN 'low' ELSE 'high' END AS confidence, sample_lines AS frequency, 1 AS place
+      FROM d WHERE best_pattern IS NOT NULL
+      UNION ALL SELECT source_name, 'delimited_' || primary_delimiter, {cell} || repeat({quote} || {cell}, CAST({fields} - 1 AS INT)),
+        NULL, NULL, NULL, NULL, NULL, CAST({fields} AS INT), 'medium', sample_lines, 2 FROM d WHERE structured
+      UNION ALL SELECT source_name, 'generic_fallback', '(.+)', NULL, NULL, NULL, NULL, NULL, 1, 'low', sample_lines, 3
+      FROM d WHERE best_pattern IS NULL AND NOT structured)"""
+
+
+def _best_sql(src: str, min_lines: int) -> str:
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY
+      CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, frequency DESC, place) AS r
+      FROM {_registry_sql(src)} g WHERE frequency >= {min_lines}) b WHERE r = 1)"""
+
+
+reg("format_fields", f"WITH {FLINES} SELECT source_name, field, matches, spread, present, consistent FROM {_fields_sql('flines')} x", base=False)
+reg("format_registry", f"""WITH {FLINES} SELECT source_name, format_name, regex_pattern, g_timestamp, g_host, g_process, g_pid, g_message,
+  confidence, frequency FROM {_registry_sql('flines')} x""", base=False)
+reg("top_formats", f"""WITH {FLINES} SELECT format_name, regex_pattern, CAST(sum(frequency) AS BIGINT) AS frequency,
+  max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS rank FROM {_registry_sql('flines')} x
+GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 5""", base=False)
+
+
+def _grp(g: str) -> str:
+    return "CASE " + " ".join(f"WHEN {g} = {i} THEN regexp_extract(line, rx, {i})" for i in range(1, 7)) + " END"
+
+
+_KIND_TS = f"""CASE ts_kind
+  WHEN 'syslog' THEN try_strptime('{REF[11:15]} ' || t, '%Y %b %d %H:%M:%S')
+  WHEN 'iso_datetime' THEN try_strptime(t, '%Y-%m-%d %H:%M:%S') WHEN 'us_datetime' THEN try_strptime(t, '%m/%d/%Y %H:%M:%S')
+  WHEN 'epoch_seconds' THEN make_timestamp(CAST(t AS BIGINT) * 1000000) WHEN 'epoch_milliseconds' THEN make_timestamp(CAST(t AS BIGINT) * 1000)
+  WHEN 'apache_common' THEN try_strptime(left(t, 20), '%d/%b/%Y:%H:%M:%S') - to_minutes(CAST(substr(t, 22, 1) || '1' AS INT)
+    * (CAST(substr(t, 23, 2) AS INT) * 60 + CAST(substr(t, 25, 2) AS INT))) END"""
+reg("parse_detected", "WITH " + FLINES + "," + PARSED.replace("FROM lines l", "FROM flines l") + f""",
+firstday AS (SELECT * FROM flines WHERE ts < TIMESTAMP '2024-01-02'),
+lrn AS (SELECT * FROM {_best_sql('firstday', 10)} l), det AS (SELECT * FROM {_best_sql('flines', 1)} l),
+fmts AS (SELECT *, 'learned_pattern' AS method FROM lrn
+  UNION ALL SELECT *, 'auto_detection' FROM det WHERE source_name NOT IN (SELECT source_name FROM lrn)),
+j AS (SELECT p.event_id, p.line, p.source_name, p.valid, p.event_ts AS p_ts, p.source AS p_source, p.message AS p_message, f.*  EXCLUDE (source_name),
+  '^(?:' || f.regex_pattern || ')' AS rx FROM p2 p LEFT JOIN fmts f ON p.source_name = f.source_name),
+h AS (SELECT *, coalesce(regexp_matches(line, rx), FALSE) AS hit FROM j),
+g AS (SELECT *, {_grp('g_timestamp')} AS t, {_grp('g_host')} AS gh, {_grp('g_process')} AS gp, {_grp('g_pid')} AS gi, {_grp('g_message')} AS gm
+  FROM h WHERE hit)
+SELECT event_id, format_name, method, coalesce({_KIND_TS}, {REF}) AS event_ts,
+  CASE WHEN gh IS NOT NULL AND gp IS NOT NULL THEN gh || ':' || gp || CASE WHEN coalesce(gi, '') <> '' THEN '[' || gi || ']' ELSE '' END
+    ELSE coalesce(gh, gp, 'unknown') END AS source, trim(gm) AS message FROM g
+UNION ALL SELECT event_id, NULL, CASE WHEN valid THEN 'fallback_parser' ELSE 'unparsed' END, CASE WHEN valid THEN p_ts ELSE {REF} END,
+  CASE WHEN valid THEN p_source ELSE source_name END,
+  CASE WHEN valid THEN p_message WHEN length(line) > 1000 THEN left(line, 1000) || '...' ELSE line END FROM h WHERE NOT hit""", base=False)

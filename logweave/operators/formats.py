@@ -1,7 +1,7 @@
 """Log format detection as a batch job (D-01, D-03).
 
-Per source, the first ``sample`` lines (distributed top-n by line order) are
-scanned: every timestamp pattern's matches are counted with ``regexp_count``
+Per source, all lines (or, on request, the first ``n`` by a distributed top-n
+in line order) are scanned: every timestamp pattern's matches are counted with ``regexp_count``
 (non-overlapping, as ``re.findall``), the most frequent kind wins with a
 confidence by its share of the sample; delimiter occurrences are counted and
 the most frequent non-blank one is the primary delimiter.
@@ -27,15 +27,15 @@ TIMESTAMP_KINDS = [
 # FIXED VALUES: delimiters in order; the blank is counted but never primary
 DELIMITERS = [" ", "\t", "|", ",", ";", ":", "="]
 HIGH_SHARE, MEDIUM_SHARE = 0.8, 0.5
-SAMPLE_LINES = 50
 
 
-def sample_lines(lines: DataFrame, source: str, order: str, n: int = SAMPLE_LINES) -> DataFrame:
-    return top_n(lines, n, [F.col(order).asc()], [source], salt_by=[order])
+def sample_lines(lines: DataFrame, source: str, order: str, n: int | None = None) -> DataFrame:
+    """All lines, or the first ``n`` of each source."""
+    return lines if n is None else top_n(lines, n, [F.col(order).asc()], [source], salt_by=[order])
 
 
 def detect_timestamp(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no",
-                     n: int = SAMPLE_LINES) -> DataFrame:
+                     n: int | None = None) -> DataFrame:
     """D-01: per source the best timestamp kind, its match count, the sample
     size and a confidence (high > 80 %, medium > 50 % of the sample lines)."""
     s = sample_lines(lines, source, order, n)
@@ -53,7 +53,7 @@ def detect_timestamp(lines: DataFrame, source: str = "source_name", line: str =
 
 
 def detect_delimiter(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no",
-                     n: int = SAMPLE_LINES) -> DataFrame:
+                     n: int | None = None) -> DataFrame:
     """D-03: per source the delimiter counts over the sample, the primary
     (most frequent non-blank) delimiter and whether it is structured
     (more than two per sample line)."""

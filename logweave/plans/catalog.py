@@ -573,13 +573,13 @@ from logweave.operators import formats as FD  # noqa: E402
 
 @query
 def q_detect_timestamp(spark, sf):
-    """D-01: timestamp kind of each source from its first 50 lines."""
+    """D-01: timestamp kind of each source from all its lines."""
     return FD.detect_timestamp(event_log_lines(spark, sf))
 
 
 @query
 def q_detect_delimiter(spark, sf):
-    """D-03: primary delimiter of each source from its first 50 lines."""
+    """D-03: primary delimiter of each source from all its lines."""
     return FD.detect_delimiter(event_log_lines(spark, sf))
 
 
@@ -911,3 +911,44 @@ def q_data_health(spark, sf):
 def q_stream_failed_logins(spark, sf):
     """T-09: streaming failed-login windows per account (final windows)."""
     return ST.stream_failed_logins(spark, sf)
+
+
+# ------------------------------------------------------------ format registry (D-02, D-04..D-07, O-07)
+from logweave.operators import registry as FR  # noqa: E402
+from logweave.sources.loglines import format_log_lines  # noqa: E402
+
+
+@query
+def q_format_fields(spark, sf):
+    """D-02: fields of each source: matches, spread of their positions,
+    whether they are present and consistent."""
+    return FR.detect_fields(format_log_lines(spark, sf))
+
+
+@query
+def q_format_registry(spark, sf):
+    """D-04: composed formats of each source with their regex and the group
+    numbers of time, host, process, pid and message."""
+    return FR.compose_formats(format_log_lines(spark, sf)).select(
+        "source_name", "format_name", "regex_pattern", "g_timestamp", "g_host", "g_process", "g_pid", "g_message",
+        "confidence", "frequency")
+
+
+@query
+def q_top_formats(spark, sf):
+    """O-07: the 5 best formats over all sources."""
+    return FR.top_formats(FR.compose_formats(format_log_lines(spark, sf))).select(
+        "format_name", "regex_pattern", "frequency", "rank")
+
+
+@query
+def q_parse_detected(spark, sf):
+    """D-05..D-07/F-04/F-30: every line parsed by the format its source is
+    remembered by (learned from the lines of 2024-01-01 where there are ten of
+    them), else by the one detected now, else by the cascade."""
+    lines = format_log_lines(spark, sf)
+    first_day = lines.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz"))
+    learned = FR.best_formats(FR.compose_formats(first_day), min_lines=FR.MIN_LINES)
+    detected = FR.best_formats(FR.compose_formats(lines))
+    return FR.parse_with_formats(lines, learned, detected).select(
+        "event_id", "format_name", "method", "event_ts", "source", "message")

@@ -66,3 +66,37 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src"), _s(F.col("user_id") % 5)).alias("source_name"),
         F.col("ts").alias("ingested_at"),
     )
+
+
+N_FORMAT_SOURCES = 40
+
+
+def render_format_line(event_id: Column, ts: Column, user_id: Column, event_type: Column) -> Column:
+    """One log line per event in the format of its source (FIXTURES.md
+    section 5): syslog, ISO, US, epoch seconds, epoch milliseconds, Apache,
+    delimited and plain; every tenth ISO line is a long line without a time."""
+    utc = ts.cast("timestamp")
+    app = F.concat(F.lit("app"), _s(user_id % 5))
+    proc = F.concat(app, F.lit("["), _s(user_id + 100), F.lit("]: "))
+    msg = F.concat(event_type, F.lit(" by user"), _s(user_id))
+    kind = user_id % 8
+    tail = F.concat(F.lit(" host"), _s(user_id % 7), F.lit(" "), proc, msg)
+    return (
+        F.when(kind == 0, F.concat(F.date_format(ts, "MMM dd HH:mm:ss"), tail))
+        .when((kind == 1) & (event_id % 10 == 0), F.concat(F.repeat(F.lit("x"), F.lit(300)), F.lit(": "), F.repeat(F.lit("tail "), F.lit(200)), msg))
+        .when(kind == 1, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), app, F.lit(": "), msg))
+        .when(kind == 2, F.concat(F.date_format(ts, "MM/dd/yyyy HH:mm:ss"), tail))
+        .when(kind == 3, F.concat(_s(F.unix_seconds(utc)), tail))
+        .when(kind == 4, F.concat(_s(F.unix_millis(utc)), tail))
+        .when(kind == 5, F.concat(F.lit("["), F.date_format(ts, "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0200] "), proc, msg))
+        .when(kind == 6, F.concat(event_type, F.lit("|"), app, F.lit("|"), _s(user_id), F.lit("|"), msg))
+        .otherwise(msg)
+    )
+
+
+def format_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return ev.select(
+        "event_id", "ts", F.concat(F.lit("fmt"), _s(F.col("user_id") % N_FORMAT_SOURCES)).alias("source_name"),
+        F.col("event_id").alias("line_no"),
+        render_format_line(F.col("event_id"), F.col("ts"), F.col("user_id"), F.col("event_type")).alias("line"))
