@@ -622,3 +622,5 @@ SELECT event_id, format_name, method, coalesce({_KIND_TS}, {REF}) AS event_ts,
 UNION ALL SELECT event_id, NULL, CASE WHEN valid THEN 'fallback_parser' ELSE 'unparsed' END, CASE WHEN valid THEN p_ts ELSE {REF} END,
   CASE WHEN valid THEN p_source ELSE source_name END,
   CASE WHEN valid THEN p_message WHEN length(line) > 1000 THEN left(line, 1000) || '...' ELSE line END FROM h WHERE NOT hit""", base=False)
+
+import checks.oracle_status  # noqa: E402, F401

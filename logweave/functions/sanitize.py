@@ -198,3 +198,42 @@ def event_errors(id_: Column, raw_log_id: Column, ts: Column, source: Column, me
         F.when(blank(id_), F.lit("Event ID must be a non-empty string")),
         F.when(blank(raw_log_id), F.lit("Raw log ID must be a non-empty string")),
         ts_err, src_err, msg_err, cat_err))
+
+
+# FIXED VALUES: words taken out of source identifiers
+SOURCE_WORDS = ["DROP", "TABLE", "SELECT", "INSERT", "UPDATE", "DELETE", "UNION", "WHERE", "FROM", "INTO",
+                "VALUES", "CREATE", "ALTER", "EXEC", "EXECUTE"]
+
+
+def sanitize_source(source: Column, max_len: int = 255) -> Column:
+    """F-16: control characters, quotes and brackets, SQL words and comments
+    out, cut to ``max_len``, white space runs to one blank; 'unknown_source'
+    for null, 'sanitized_source' where nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(source, r"[\x00-\x1F\x7F]", ""), r"[<>\"';\\]", "")
+    for word in SOURCE_WORDS:
+        s = F.regexp_replace(s, rf"(?iU)\b{word}\b", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?md)--.*$", ""), r"(?s)/\*.*?\*/", "")
+    s = F.regexp_replace(F.regexp_replace(F.substring(s, 1, max_len), r"(?U)\s+", " "), "^ | $", "")
+    return F.when(source.isNull(), F.lit("unknown_source")).when(s == "", F.lit("sanitized_source")).otherwise(s)
+
+
+def analysis_errors(id_: Column, event_id: Column, severity: Column, explanation: Column, recommendations: Column) -> Column:
+    """F-19: validation errors of an analysis row, in check order (empty array
+    when valid); of the recommendations the first fault counts."""
+    text = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    stripped = text(explanation)
+    named = lambda i, what: F.concat(F.lit("Recommendation "), (i + 1).cast("string"), F.lit(what))
+    faults = F.array_compact(F.transform(recommendations, lambda r, i: F.when(text(r) == "", named(i, " cannot be empty"))
+                                         .when(F.length(text(r)) < 5, named(i, " is too short (minimum 5 characters)"))
+                                         .when(F.length(r) > 500, named(i, " is too long (maximum 500 characters)"))))
+    rec = (F.when(F.coalesce(F.size(recommendations), F.lit(0)) <= 0, F.lit("At least one recommendation is required"))
+           .when(F.size(recommendations) > 10, F.lit("Too many recommendations (maximum 10)"))
+           .otherwise(F.try_element_at(faults, F.lit(1))))
+    return F.array_compact(F.array(
+        F.when(text(id_) == "", F.lit("Analysis ID must be a non-empty string")),
+        F.when(text(event_id) == "", F.lit("Event ID must be a non-empty string")),
+        F.when(~F.coalesce(severity.between(1, 10), F.lit(False)), F.lit("Invalid severity score: Severity score must be between 1 and 10")),
+        F.when(stripped == "", F.lit("Explanation cannot be empty"))
+        .when(F.length(stripped) < 10, F.lit("Explanation too short (minimum 10 characters)"))
+        .when(F.length(explanation) > 5000, F.lit("Explanation too long (maximum 5000 characters)")),
+        F.when(rec.isNotNull(), F.concat(F.lit("Invalid recommendations: "), rec))))

@@ -19,9 +19,10 @@ DEFAULT_CHUNK_S = 3600
 
 
 def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, chunk_s: int = DEFAULT_CHUNK_S,
-                  name: str = "window_count") -> DataFrame:
+                  name: str = "window_count", parts: dict[str, Column] | None = None) -> DataFrame:
     """Add ``name`` = rows of the same key with time in (t - window_s, t]
-    (ties on t all count), exact, chunked as described above."""
+    (ties on t all count), exact, chunked as described above; ``parts`` adds
+    the counts of those among them for which a condition holds."""
     assert chunk_s >= window_s
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     w_us, c_us = int(window_s * 1_000_000), int(chunk_s * 1_000_000)
@@ -31,7 +32,8 @@ def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, chunk_
     halo = base.where(F.col("_us") > nxt_start - w_us).withColumn("_chunk", F.col("_chunk") + 1).withColumn("_ctx", F.lit(True))
     both = own.unionByName(halo)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-(w_us - 1), 0)
-    out = both.withColumn(name, F.count(F.lit(1)).over(w)).where(~F.col("_ctx"))
+    counts = {name: F.count(F.lit(1)).over(w), **{n: F.count_if(c).over(w) for n, c in (parts or {}).items()}}
+    out = both.withColumns(counts).where(~F.col("_ctx"))
     return out.drop("_us", "_chunk", "_ctx")
 
 

@@ -952,3 +952,6 @@ def q_parse_detected(spark, sf):
     detected = FR.best_formats(FR.compose_formats(lines))
     return FR.parse_with_formats(lines, learned, detected).select(
         "event_id", "format_name", "method", "event_ts", "source", "message")
+
+
+from logweave.plans import status_queries  # noqa: E402, F401

@@ -120,3 +120,61 @@ def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et != "error", F.col("value") * 3).alias("processing_rate"),
         F.when(et == "signup", F.lit(None).cast("boolean")).otherwise(et.isin("click", "purchase")).alias("batch_enabled"),
     )
+
+
+def processing_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with processing flags; the processing time is text and empty for some."""
+    eid = F.col("event_id")
+    return _events(spark, sf_dir).select(
+        eid.alias("id"), (eid % 5 != 0).alias("realtime_processed"), (F.col("event_type") != "error").alias("notification_sent"),
+        F.col("ts").alias("parsed_at"), F.when(eid % 7 == 0, "").otherwise(_s(F.col("value"))).alias("processing_time"))
+
+
+def processing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One processing attempt per event; the user stands for the entry."""
+    eid, bad = F.col("event_id"), F.col("event_type") == "error"
+    return _events(spark, sf_dir).select(
+        eid.alias("id"), F.concat(F.lit("entry_"), _s(F.col("user_id"))).alias("entry_id"), F.col("ts"), (~bad).alias("success"),
+        F.when(bad, eid % 3 + 1).otherwise(0).alias("n_errors"), (bad & (eid % 2 == 0)).alias("validation_failed"),
+        (eid % 6 == 0).alias("sanitized"), F.col("value").alias("seconds"))
+
+
+def diagnostic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One diagnostic run per event with the status of three components."""
+    eid = F.col("event_id")
+    part = lambda name, fail, warn: F.struct(F.lit(name).alias("name"), F.when(eid % fail == 0, "fail").when(
+        eid % warn == 0, "warning").otherwise("pass").alias("status"))
+    return _events(spark, sf_dir).select(
+        eid.alias("run_id"), F.col("ts"), F.array(part("queue", 5, 3), part("parser", 7, 2), part("store", 11, 4)).alias("components"),
+        F.array_repeat(F.col("event_type"), (eid % 4).cast("int")).alias("recommendations"))
+
+
+def log_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One configured log source per user."""
+    u = F.col("user_id")
+    users = _events(spark, sf_dir).select("user_id").distinct()
+    folder = F.concat(F.lit("/logs/b"), _s(u % 8))
+    return users.select(
+        u.alias("source_id"), F.concat(F.when(u % 13 == 0, "source: ").otherwise("source "), _s(u % 120)).alias("source_name"),
+        F.when(u % 3 == 0, "file").otherwise("directory").alias("source_type"),
+        F.when(u % 3 == 0, F.concat(folder, F.lit("/x"), _s(u % 5), F.lit("/d"), _s(u), F.lit(".log"))).otherwise(folder).alias("path"),
+        F.when(u % 15 == 0, "../*").when(u % 3 == 1, F.concat(F.lit("d*"), _s(u % 10), F.lit(".[lt]??"))).otherwise(
+            F.lit(None).cast("string")).alias("file_pattern"),
+        (u % 2 == 0).alias("recursive"), F.split(F.concat(F.lit(" Prod,web,,prod ,t"), F.when(u % 17 == 0, "#").otherwise("-"), _s(u % 4)), ",").alias("tags"),
+        (u % 6 != 0).alias("enabled"), F.when(u % 4 == 0, "error").when(u % 4 == 1, "paused").otherwise("active").alias("status"))
+
+
+def log_file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log file path per document."""
+    d = F.col("doc_id")
+    return read_table(spark, sf_dir, "documents").select(F.concat(
+        F.lit("/logs/b"), _s(d % 8), F.lit("/x"), _s(d % 5), F.lit("/d"), _s(d), F.when(d % 4 == 0, ".txt").otherwise(".log")).alias("path"))
+
+
+def analysis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as analysis rows that came from outside."""
+    c, t = F.col("conv_id"), F.col("turn")
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(t % 5 == 4, " ").otherwise(F.concat_ws("_", _s(c), _s(t))).alias("id"),
+        _s(c).alias("event_id"), ((c + t) % 13).alias("severity_score"), F.col("text").alias("explanation"),
+        F.split("text", "\\. ").alias("recommendations"))
