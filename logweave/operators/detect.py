@@ -1,11 +1,11 @@
 """Detections over histories: sliding-window counts (W-05..W-08, T-09,
 T-10), error patterns and classes (A-21..A-24, F-24/F-25).
 
-Sliding windows are computed per (key, time chunk) with a halo: every row
-is placed in its own chunk and, when it lies within ``window`` of the next
-chunk, also in that chunk as a context row (not emitted). A range window then
-sees exactly the rows of the last ``window`` seconds while no task ever holds
-more than one chunk of one key, even for a key holding a third of the data.
+Sliding windows are differences of running counts: the rows at or before t
+less those at or before t - window. Events and the two questions of every row
+are range-partitioned by key and time and counted inside each partition, and
+the partitions' totals give the offsets, so a key (or one hour) that holds a
+third of the data is spread over as many tasks as its share.
 """
 
 from __future__ import annotations
@@ -14,27 +14,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave import rules as R
+from logweave.session import cut_lineage
 
-DEFAULT_CHUNK_S = 3600
-
-
-def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, chunk_s: int = DEFAULT_CHUNK_S,
-                  name: str = "window_count", parts: dict[str, Column] | None = None) -> DataFrame:
+def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, name: str = "window_count",
+                  parts: dict[str, Column] | None = None) -> DataFrame:
     """Add ``name`` = rows of the same key with time in (t - window_s, t]
-    (ties on t all count), exact, chunked as described above; ``parts`` adds
-    the counts of those among them for which a condition holds."""
-    assert chunk_s >= window_s
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w_us, c_us = int(window_s * 1_000_000), int(chunk_s * 1_000_000)
-    base = df.withColumn("_us", us).withColumn("_chunk", F.floor(F.col("_us") / c_us).cast("long"))
-    own = base.withColumn("_ctx", F.lit(False))
-    nxt_start = (F.col("_chunk") + 1) * c_us
-    halo = base.where(F.col("_us") > nxt_start - w_us).withColumn("_chunk", F.col("_chunk") + 1).withColumn("_ctx", F.lit(True))
-    both = own.unionByName(halo)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-(w_us - 1), 0)
-    counts = {name: F.count(F.lit(1)).over(w), **{n: F.count_if(c).over(w) for n, c in (parts or {}).items()}}
-    out = both.withColumns(counts).where(~F.col("_ctx"))
-    return out.drop("_us", "_chunk", "_ctx")
+    (ties on t all count), exact; ``parts`` adds the counts of those among
+    them for which a condition holds. Rows without a time count nothing and
+    get null."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [name, *(parts or {})]
+    flags = [F.lit(1), *[F.when(c, 1).otherwise(0) for c in (parts or {}).values()]]
+    key = [f"_k{i}" for i in range(len(keys))]
+    base = cut_lineage(df.select(
+        F.struct(*df.columns).alias("_row"), *[F.col(k).alias(a) for k, a in zip(keys, key, strict=True)],
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.array(*flags).alias("_w"), F.monotonically_increasing_id().alias("_rid")))
+
+    none = F.lit(None).cast(base.schema["_row"].dataType)
+    zero = F.array_repeat(F.lit(0), len(flags))
+
+    def point(at: Column, kind: int, late: bool, w: Column, row: Column) -> Column:
+        return F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(late).alias("_late"), w.alias("_pw"), row.alias("_prow"))
+
+    # at one time the rows themselves come first, then what is asked about it
+    points = base.select(*key, "_rid", F.inline(F.array(
+        point(F.col("_us"), 0, False, F.col("_w"), none), point(F.col("_us"), 1, True, zero, F.col("_row")),
+        point(F.col("_us") - int(window_s * 1_000_000), 1, False, zero, none))))
+    ranged = cut_lineage(points.repartitionByRange(n, *key, "_at", "_kind", "_rid").withColumn("_pid", F.spark_partition_id()))
+    here = Window.partitionBy("_pid", *key).orderBy("_at", "_kind", "_rid").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_pid", *key).agg(*[F.sum(F.col("_pw")[i]).alias(f"_t{i}") for i in range(len(flags))])
+    offsets = totals.select(F.col("_pid").alias("_opid"), *[F.col(k).alias("_o" + k) for k in key],
+                            *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(flags))])
+    counted = ranged.select("*", *[F.sum(F.col("_pw")[i]).over(here).alias(f"_c{i}") for i in range(len(flags))]).where("_kind = 1")
+    on = [F.col("_pid") == F.col("_opid"), *[F.col(k).eqNullSafe(F.col("_o" + k)) for k in key]]
+    asked = counted.join(offsets, on)
+    value = [F.col(f"_c{i}") + F.col(f"_o{i}") for i in range(len(flags))]
+    g = asked.groupBy("_rid").agg(F.first("_prow", ignorenulls=True).alias("_row"), *[
+        F.when(F.count("_at") > 0, F.max(F.when(F.col("_late"), v)) - F.max(F.when(~F.col("_late"), v))).alias(a)
+        for a, v in zip(names, value, strict=True)])
+    return g.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], *names)
 
 
 def failed_login_bursts(failed: DataFrame, identity: str, ts: str = "timestamp", window_s: int = R.FAILED_LOGIN_WINDOW_S,
@@ -54,7 +73,7 @@ def rapid_fire(requests: DataFrame, client: str, ts: str = "ts") -> DataFrame:
 def error_spikes(errors: DataFrame, ts: str = "timestamp", critical: Column | None = None) -> DataFrame:
     """W-08: errors in the last 300 s at each error (> 20 is a spike); with a
     ``critical`` flag also the critical ones (> 3 is a critical spike). All
-    errors form one key, so chunking by time is what spreads the work."""
+    errors form one key, which the ranges of time spread."""
     df = errors.withColumn("_k", F.lit(0))
     out = sliding_count(df, ["_k"], ts, R.ERROR_SPIKE_WINDOW_S, name="errors_5m")
     out = out.withColumn("spike", F.col("errors_5m") > R.ERROR_SPIKE_MAX)

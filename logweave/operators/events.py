@@ -68,9 +68,9 @@ def filter_events(df: DataFrame, category: str | None = None, source: str | None
     if source is not None:
         cond = cond & F.col("source").ilike(f"%{source}%")
     if start is not None:
-        cond = cond & (F.col("timestamp") >= lit_ts(start))
+        cond = cond & date_bounds(df, low=lit_ts(start)) & (F.col("timestamp") >= lit_ts(start))
     if end is not None:
-        cond = cond & (F.col("timestamp") <= lit_ts(end))
+        cond = cond & date_bounds(df, high=lit_ts(end)) & (F.col("timestamp") <= lit_ts(end))
     if min_severity is not None:
         cond = cond & (F.col("severity_score") >= min_severity)
     if max_severity is not None:
@@ -112,7 +112,7 @@ def search_events(df: DataFrame, text: str | None = None, min_severity: int | No
     if min_severity is not None:
         cond = cond & (F.coalesce(F.col("severity_score"), F.lit(0)) >= min_severity)
     if end_date is not None:
-        cond = cond & (F.col("timestamp") < F.date_add(F.lit(end_date), 1).cast("timestamp_ntz"))
+        cond = cond & date_bounds(df, high=F.lit(end_date)) & (F.col("timestamp") < F.date_add(F.lit(end_date), 1).cast("timestamp_ntz"))
     return df.where(cond)
 
 
@@ -126,10 +126,24 @@ def original_line(events: DataFrame, lines: DataFrame) -> DataFrame:
     return events.join(lines.select("raw_log_id", "line_no", "line"), ["raw_log_id", "line_no"], "inner")
 
 
+def date_bounds(df: DataFrame, ts: str = "timestamp", low: Column | None = None, high: Column | None = None) -> Column:
+    """Bounds on the ``event_date`` partition that follow from bounds on
+    ``timestamp``, so that a scan of the stored events reads only those days;
+    true for tables without that partition."""
+    cond = F.lit(True)
+    if ts == "timestamp" and "event_date" in df.columns:
+        if low is not None:
+            cond = cond & (F.col("event_date") >= F.to_date(low))
+        if high is not None:
+            cond = cond & (F.col("event_date") <= F.to_date(high))
+    return cond
+
+
 def last_hours(df: DataFrame, hours: int, ref_ts=R.REF_TS, ts: str = "timestamp") -> DataFrame:
     """P-09: rows of the last ``hours`` hours before the reference time."""
     ref = lit_ts(ref_ts)
-    return df.where((F.col(ts) >= ref - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col(ts) <= ref))
+    low = ref - F.make_dt_interval(F.lit(0), F.lit(hours))
+    return df.where(date_bounds(df, ts, low, ref) & (F.col(ts) >= low) & (F.col(ts) <= ref))
 
 
 def security_events(df: DataFrame) -> DataFrame:
@@ -172,7 +186,8 @@ def truncate_text(c: Column, n: int) -> Column:
 
 def analyses_of_old_events(events: DataFrame, analysis: DataFrame, days: int, ref_ts=R.REF_TS) -> DataFrame:
     """J-04: analyses whose event is older than ``days`` (semi join)."""
-    old = events.where(F.col("timestamp") < lit_ts(ref_ts) - F.make_dt_interval(F.lit(days)))
+    limit = lit_ts(ref_ts) - F.make_dt_interval(F.lit(days))
+    old = events.where(date_bounds(events, high=limit) & (F.col("timestamp") < limit))
     return analysis.join(old.select(F.col("id").alias("event_id")), "event_id", "left_semi")
 
 

@@ -119,8 +119,7 @@ def spike_classes(errors: DataFrame, classes: list[str], *, cls: str = "error_cl
     ``window_s`` seconds, the class most of them have (ties to the first in
     ``classes``) and its count."""
     one = errors.withColumn("_k", F.lit(0))
-    chunk = max(3600, window_s)
-    out = sliding_count(one, ["_k"], ts, window_s, chunk, name="errors_in_window",
+    out = sliding_count(one, ["_k"], ts, window_s, name="errors_in_window",
                         parts={f"_c{i}": F.col(cls) == c for i, c in enumerate(classes)})
     best = F.greatest(*[F.col(f"_c{i}") for i in range(len(classes))])
     name = F.lit(None).cast("string")

@@ -242,7 +242,7 @@ def q_realtime_stats(spark, sf):
 @query
 def q_daily_summary(spark, sf):
     """A-10 over the joined view."""
-    return S.daily_summary(_joined(spark, sf).withColumn("event_date", F.to_date("timestamp")))
+    return S.daily_summary(_joined(spark, sf))
 
 
 @query
@@ -267,7 +267,7 @@ def q_high_severity_count(spark, sf):
 @query
 def q_top20_report(spark, sf):
     """O-03: top 20 for the report: severity desc (missing = 0), time asc."""
-    j = _joined(spark, sf).where(F.to_date("timestamp") == F.lit(dt.date(2024, 1, 15)))
+    j = _joined(spark, sf).where(F.col("event_date") == F.lit(dt.date(2024, 1, 15)))
     order = [F.coalesce(F.col("severity_score"), F.lit(0)).desc(), F.col("timestamp").asc(), F.col("id").asc()]
     return top_n(j, 20, order).select("id", "timestamp", "severity_score", "category")
 
