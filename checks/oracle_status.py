@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.oracle import q
-from checks.oracle_queries import ACCESS, CLASSIFIED, COMP, METRICS, NOTIF, joined_cols, reg, sliding
+from checks.oracle_queries import ACCESS, CLASSIFIED, COMP, METRICS, NOTIF, ORACLE, SESSIONS, joined_cols, reg, sliding
 from logweave.functions.sanitize import SOURCE_WORDS
 from logweave.operators import status as ST
 
@@ -129,3 +129,24 @@ FROM (SELECT *, string_split(text, '. ') AS recs FROM conversations) c""", base=
 reg("orphan_notifications", f"""SELECT id, event_id, channel FROM {NOTIF} n WHERE event_id NOT IN (SELECT event_id FROM scored WHERE category <> 'kernel')""")
 reg("nested_events", f"""SELECT id, analyzed_at IS NOT NULL AS analyzed, severity_score, CAST(len(recommendations) AS INTEGER) AS n_recommendations
 FROM {joined_cols()} j""")
+
+reg("raw_log_store", """SELECT source, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 7 AS INTEGER)) AS DATE) AS created_date, count(*) AS n,
+  count(*) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1, 2""", base=False)
+reg("outcome_log", f"""SELECT CAST(sent_at AS DATE) AS row_date, count(*) AS outcomes, count_if(status = 'failed') AS failed, count(*) AS audit_rows
+FROM {NOTIF} n GROUP BY 1""", base=False)
+ORACLE["security_export_files"] = ORACLE["security_export"].replace("SELECT id, process, message FROM scored", "SELECT id, process, message, CAST(length(id || ' ' || message) AS INTEGER) AS line_chars FROM scored")
+
+
+def _left(name: str, src: str, ts: str, days: int) -> str:
+    return (f"SELECT '{name}' AS table_name, count(*) AS kept, count(DISTINCT CAST({ts} AS DATE)) AS days_left FROM {src} x "
+            f"WHERE NOT ({ts} < TIMESTAMP '2024-01-31' - INTERVAL {days} DAY - INTERVAL 5 HOUR)")
+
+
+reg("retention_apply", " UNION ALL ".join([
+    _left("processing_metrics", METRICS, '"timestamp"', 20), _left("notification_history", NOTIF, "sent_at", 25),
+    _left("events", "scored", '"timestamp"', 28),
+    _left("ai_analysis", '(SELECT s."timestamp" FROM scored s JOIN analysis a ON s.id = a.event_id)', '"timestamp"', 28)]))
+reg("cascade_apply", """SELECT 'events' AS table_name, raw_log_id, count(*) AS n FROM scored WHERE raw_log_id <> 'rl_5' GROUP BY 2
+UNION ALL SELECT 'ai_analysis', split_part(event_id, ':', 1), count(*) FROM analysis WHERE split_part(event_id, ':', 1) <> 'rl_5' GROUP BY 2""")
+reg("session_cleanup", f"""SELECT role, count(*) AS sessions, min(created_at) AS oldest FROM {SESSIONS} s
+WHERE expires_at >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1""", base=False)

@@ -13,7 +13,7 @@ from logweave.operators import status as ST
 from logweave.operators.windows import top_n
 from logweave.plans import store
 from logweave.plans.catalog import query
-from logweave.sources import relabel
+from logweave.sources import relabel, sinks
 from logweave.sources.tables import read_table
 
 ERROR_CLASSES = [c for c, _ in D.ERROR_WORD_CLASSES] + [D.ERROR_DEFAULT_CLASS]
@@ -208,3 +208,91 @@ def q_nested_events(spark, sf):
     v = E.nested_view(E.with_analysis(store.events(spark, sf), store.analysis(spark, sf)))
     return v.select("id", F.col("ai_analysis").isNotNull().alias("analyzed"), F.col("ai_analysis.severity_score").alias("severity_score"),
                     F.size("ai_analysis.recommendations").alias("n_recommendations"))
+
+
+@query
+def q_raw_log_store(spark, sf):
+    """S-03: every document stored as a raw log and read back: logs, distinct
+    ids and characters per source."""
+    path = sinks.fresh_path(spark, "raw_logs")
+    at = (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("doc_id").cast("int") % 7)).cast("timestamp_ntz")
+    docs = read_table(spark, sf, "documents").withColumn("created_at", at)
+    sinks.store_raw_logs(docs, path, ["doc_id"], content="text")
+    return spark.read.parquet(path).groupBy("source", "created_date").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def q_outcome_log(spark, sf):
+    """S-11/S-12: notification outcomes and audit rows appended batch by batch
+    (failed deliveries, then the others) and read back per day."""
+    path = sinks.fresh_path(spark, "outcomes")
+    n = relabel.notification_history(spark, sf)
+    for batch in (n.where(F.col("status") == "failed"), n.where(F.col("status") != "failed")):
+        sinks.append_rows(batch, path, "sent_at")
+    a = sinks.fresh_path(spark, "audit")
+    sinks.append_rows(relabel.audit_logs(spark, sf), a, "timestamp")
+    out = spark.read.parquet(path).groupBy("row_date").agg(F.count(F.lit(1)).alias("outcomes"), F.count_if(F.col("status") == "failed").alias("failed"))
+    audit = spark.read.parquet(a).groupBy("row_date").agg(F.count(F.lit(1)).alias("audit_rows"))
+    return out.join(audit, "row_date")
+
+
+@query
+def q_security_export_files(spark, sf):
+    """S-08/S-13: the security events of 30 days exported as JSON and as text
+    and read back."""
+    ev = E.security_events(E.last_hours(store.events(spark, sf), 24 * 30)).select("id", "process", "message")
+    as_json, as_text = sinks.fresh_path(spark, "json"), sinks.fresh_path(spark, "text")
+    sinks.export_json(ev, as_json)
+    sinks.export_text(ev, as_text, F.concat_ws(" ", "id", "message"))
+    back = spark.read.schema("id string, process string, message string").json(as_json)
+    lines = spark.read.text(as_text).select(F.substring_index("value", " ", 1).alias("id"), F.length("value").alias("line_chars"))
+    return back.join(lines, "id")
+
+
+@query
+def q_retention_apply(spark, sf):
+    """U-06: metrics older than 20 days, notifications older than 25 and events
+    older than 28 (with their analyses) deleted from written tables at
+    2024-01-31; rows and days left in each."""
+    ref = F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz")
+    an = store.analysis(spark, sf).join(store.events(spark, sf).select(F.col("id").alias("event_id"), "timestamp"), "event_id")
+    left = None
+    for name, rows, ts, days in [("processing_metrics", relabel.processing_metrics(spark, sf), "timestamp", 20),
+                                 ("notification_history", relabel.notification_history(spark, sf), "sent_at", 25),
+                                 ("events", store.events(spark, sf).drop("event_date"), "timestamp", 28),
+                                 ("ai_analysis", an, "timestamp", 28)]:
+        path = sinks.fresh_path(spark, name)
+        sinks.append_rows(rows, path, ts)
+        sinks.delete_where(spark, path, F.col(ts) < ref - F.make_dt_interval(F.lit(days), F.lit(5)), "row_date")
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("row_date").alias("days_left"))
+        one = one.select(F.lit(name).alias("table_name"), "kept", "days_left")
+        left = one if left is None else left.unionByName(one)
+    return left
+
+
+@query
+def q_cascade_apply(spark, sf):
+    """U-07: raw log rl_5 deleted with its events and their analyses from
+    written tables; rows left in each, per table and raw log."""
+    ev, an = sinks.fresh_path(spark, "events"), sinks.fresh_path(spark, "analysis")
+    store.events(spark, sf).write.parquet(ev)
+    store.analysis(spark, sf).write.parquet(an)
+    logs = spark.createDataFrame([("rl_5",)], "raw_log_id string")
+    gone = spark.read.parquet(ev).join(logs, "raw_log_id", "left_semi").select(F.col("id").alias("event_id"))
+    kept_an = sinks.rewrite_without(spark, an, gone, "event_id")
+    kept_ev = sinks.rewrite_without(spark, ev, logs, "raw_log_id")
+    of = F.substring_index("event_id", ":", 1)
+    return (kept_ev.groupBy("raw_log_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("events").alias("table_name"), "raw_log_id", "n")
+            .unionByName(kept_an.groupBy(of.alias("raw_log_id")).agg(F.count(F.lit(1)).alias("n"))
+                         .select(F.lit("ai_analysis").alias("table_name"), "raw_log_id", "n")))
+
+
+@query
+def q_session_cleanup(spark, sf):
+    """U-08: sessions expired at 2024-01-15 12:00 deleted from a written table;
+    the sessions left per role."""
+    path = sinks.fresh_path(spark, "sessions")
+    sinks.append_rows(relabel.user_sessions(spark, sf), path, "created_at")
+    sinks.delete_where(spark, path, F.lit(dt.datetime(2024, 1, 15, 12)).cast("timestamp_ntz") > F.col("expires_at"), "row_date")
+    return spark.read.parquet(path).groupBy("role").agg(F.count(F.lit(1)).alias("sessions"), F.min("created_at").alias("oldest"))
