@@ -455,8 +455,7 @@ reg("stream_rule_match", f"""SELECT r.rule_name, count(*) AS n FROM scored s JOI
   AND (len(r.categories) = 0 OR list_contains(r.categories, s.category)) AND (len(r.sources) = 0 OR list_contains(r.sources, s.source))
 GROUP BY r.rule_name""")
 reg("stream_tail", f"""SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS lines, sum(length(c)) AS chars FROM (
-  SELECT bucket, regexp_replace(CASE WHEN length(line) > 10000 THEN left(line, 10000) || '... [truncated]' ELSE line END,
-    '^\\s+|\\s+$', '', 'g') AS c FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '') x GROUP BY bucket""", base=False)
+  SELECT bucket, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS c FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '') x GROUP BY bucket""", base=False)
 
 # ------------------------------------------------------------ recovery recommendations and small reports
 from logweave.operators.detect import CLASS_RECOMMENDATIONS  # noqa: E402
