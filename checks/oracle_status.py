@@ -150,3 +150,8 @@ reg("cascade_apply", """SELECT 'events' AS table_name, raw_log_id, count(*) AS n
 UNION ALL SELECT 'ai_analysis', split_part(event_id, ':', 1), count(*) FROM analysis WHERE split_part(event_id, ':', 1) <> 'rl_5' GROUP BY 2""")
 reg("session_cleanup", f"""SELECT role, count(*) AS sessions, min(created_at) AS oldest FROM {SESSIONS} s
 WHERE expires_at >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1""", base=False)
+
+reg("stream_side_outputs", f"SELECT id, error_class, error_severity, recovery_action FROM {CLASSIFIED} x", base=False)
+reg("stream_unique_entries", "SELECT DISTINCT CAST(user_id AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d %H') AS entry_id FROM events", base=False)
+reg("stream_late_rows", """SELECT CAST(ts AS DATE) AS day, day(ts) BETWEEN 11 AND 20
+  AND ts < (SELECT max(ts) FROM events WHERE day(ts) > 20) - INTERVAL 10 MINUTE AS late, count(*) AS n FROM events GROUP BY 1, 2""", base=False)

@@ -15,6 +15,7 @@ from logweave.plans import store
 from logweave.plans.catalog import query
 from logweave.sources import relabel, sinks
 from logweave.sources.tables import read_table
+from logweave.streaming import side
 
 ERROR_CLASSES = [c for c, _ in D.ERROR_WORD_CLASSES] + [D.ERROR_DEFAULT_CLASS]
 
@@ -296,3 +297,29 @@ def q_session_cleanup(spark, sf):
     sinks.append_rows(relabel.user_sessions(spark, sf), path, "created_at")
     sinks.delete_where(spark, path, F.lit(dt.datetime(2024, 1, 15, 12)).cast("timestamp_ntz") > F.col("expires_at"), "row_date")
     return spark.read.parquet(path).groupBy("role").agg(F.count(F.lit(1)).alias("sessions"), F.min("created_at").alias("oldest"))
+
+
+def _arriving(spark, sf):
+    return side.arriving_events(spark, side.stage_event_files(spark, sf))
+
+
+@query
+def q_stream_side_outputs(spark, sf):
+    """T-13: streamed error records in the table of their recovery action."""
+    return side.route_errors(side.error_stream(_arriving(spark, sf)), side.stream_root(spark, "side")).select(
+        "id", "error_class", "error_severity", "recovery_action")
+
+
+@query
+def q_stream_unique_entries(spark, sf):
+    """T-14: streamed entries, one per id (client and hour)."""
+    e = _arriving(spark, sf).select(F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH")).alias("entry_id"),
+                                    F.col("ts").cast("timestamp").alias("at"))
+    return side.unique_entries(e, side.stream_root(spark, "entries"), key="entry_id", ts="at", watermark="40 days").select("entry_id")
+
+
+@query
+def q_stream_late_rows(spark, sf):
+    """Late and timely rows of a stream whose files come out of order, per day."""
+    out = side.split_late(_arriving(spark, sf), side.stream_root(spark, "late"))
+    return out.groupBy(F.to_date("ts").alias("day"), "late").agg(F.count(F.lit(1)).alias("n"))

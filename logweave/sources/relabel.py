@@ -96,7 +96,11 @@ ERROR_TYPES = ["DatabaseError", "ConnectionError", "TimeoutError", "OSError", "V
 
 
 def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where(F.col("event_type") == "error")
+    return error_shape(_events(spark, sf_dir).where(F.col("event_type") == "error"))
+
+
+def error_shape(e: DataFrame) -> DataFrame:
+    """Error events (a table or a stream) as error records."""
     k = (F.col("event_id") % 8 + 1).cast("int")
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id"),
