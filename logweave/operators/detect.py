@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from logweave import rules as R
 from logweave.session import cut_lineage
 
-def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, name: str = "window_count",
-                  parts: dict[str, Column] | None = None) -> DataFrame:
+def sliding_count(df: DataFrame, keys: list[str], ts: str, window_s: int, chunk_s: int | None = None,
+                  name: str = "window_count", parts: dict[str, Column] | None = None) -> DataFrame:
     """Add ``name`` = rows of the same key with time in (t - window_s, t]
     (ties on t all count), exact; ``parts`` adds the counts of those among
     them for which a condition holds. Rows without a time count nothing and
-    get null."""
+    get null. ``chunk_s`` is accepted for earlier callers and changes nothing:
+    the ranges follow the data."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [name, *(parts or {})]
     flags = [F.lit(1), *[F.when(c, 1).otherwise(0) for c in (parts or {}).values()]]
