@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks.oracle import q
 from checks.oracle_queries import ACCESS, CLASSIFIED, COMP, METRICS, NOTIF, ORACLE, SESSIONS, joined_cols, reg, sliding
+from logweave import rules as R
 from logweave.functions.sanitize import SOURCE_WORDS
 from logweave.operators import status as ST
 
@@ -155,3 +156,8 @@ reg("stream_side_outputs", f"SELECT id, error_class, error_severity, recovery_ac
 reg("stream_unique_entries", "SELECT DISTINCT CAST(user_id AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d %H') AS entry_id FROM events", base=False)
 reg("stream_late_rows", """SELECT CAST(ts AS DATE) AS day, day(ts) BETWEEN 11 AND 20
   AND ts < (SELECT max(ts) FROM events WHERE day(ts) > 20) - INTERVAL 10 MINUTE AS late, count(*) AS n FROM events GROUP BY 1, 2""", base=False)
+
+reg("scorer_prompts", f"""SELECT id, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5 FROM (
+  SELECT id, {q(R.PROMPT_HEAD)} || '- Timestamp: ' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') <> '000000'
+    THEN strftime("timestamp", '.%f') ELSE '' END || chr(10) || '- Source: ' || source || chr(10) || '- Category: ' || category || chr(10)
+    || '- Message: ' || message || {q(R.PROMPT_TAIL)} AS p FROM scored) x""")

@@ -15,10 +15,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweave import rules as R
 from logweave.functions import severity as sev
 
 # FIXED VALUES: reply repair defaults
@@ -31,6 +32,14 @@ DEFAULT_RECOMMENDATIONS_INVALID = ["Review this event manually", "Monitor for si
 SECOND_RECOMMENDATION = "Monitor for similar events"
 
 
+def prompt_text(ts: Column, source: Column, category: Column, message: Column) -> Column:
+    """F-10: the prompt of an event for an external scorer; the time in ISO
+    form with microseconds where there are any."""
+    iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(ts, "SSSSSS") != "000000", F.date_format(ts, ".SSSSSS")).otherwise(""))
+    details = F.concat(F.lit("- Timestamp: "), iso, F.lit("\n- Source: "), source, F.lit("\n- Category: "), category, F.lit("\n- Message: "), message)
+    return F.concat(F.lit(R.PROMPT_HEAD), details, F.lit(R.PROMPT_TAIL))
+
+
 def repair_reply(reply, category: str):
     """F-11: unwrap one level, default and validate the three fields.
     Returns (severity, explanation, recommendations) or None."""

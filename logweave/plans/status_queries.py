@@ -10,6 +10,7 @@ from logweave.functions import sanitize as T
 from logweave.operators import detect as D
 from logweave.operators import events as E
 from logweave.operators import status as ST
+from logweave.operators.scoring import prompt_text
 from logweave.operators.windows import top_n
 from logweave.plans import store
 from logweave.plans.catalog import query
@@ -323,3 +324,10 @@ def q_stream_late_rows(spark, sf):
     """Late and timely rows of a stream whose files come out of order, per day."""
     out = side.split_late(_arriving(spark, sf), side.stream_root(spark, "late"))
     return out.groupBy(F.to_date("ts").alias("day"), "late").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_scorer_prompts(spark, sf):
+    """F-10: the prompt of every event: its length and digest."""
+    p = prompt_text(*[F.col(c) for c in ("timestamp", "source", "category", "message")])
+    return store.events(spark, sf).select("id", F.length(p).alias("prompt_chars"), F.md5(p.cast("binary")).alias("prompt_md5"))

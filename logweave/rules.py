@@ -177,3 +177,23 @@ LIMITS = {
     "line_chars": 32768,
     "message_chars": 10_000,
 }
+
+# FIXED VALUES: prompt of the external scorer, around the event's details
+PROMPT_HEAD = """Analyze this security log event and provide a JSON response with severity assessment:
+
+Event Details:
+"""
+PROMPT_TAIL = """
+
+Please analyze this event and respond with a JSON object containing:
+1. "severity_score": Integer from 1-10 (1=informational, 10=critical)
+2. "explanation": Brief explanation of why this event has this severity level
+3. "recommendations": Array of 2-4 specific actionable recommendations
+
+Consider:
+- Authentication failures, system errors, network anomalies
+- Potential security implications
+- Context from source and message content
+- Urgency of response needed
+
+Respond only with valid JSON."""
