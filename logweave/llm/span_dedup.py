@@ -1,10 +1,10 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (up to and with its end marks and the white space
-after them, or a line end; together they are the whole text). Every run of
-``SPAN`` consecutive sentences that holds at least ``MIN_WORDS`` words is
-hashed (128 bits over the lowered, trimmed sentences); runs are joined over all
-documents; every sentence that a run covers which isn't the first of its kind
+after them, or a line end; together they are the whole text). From every
+sentence a run goes on until it holds ``SPAN`` sentences and ``MIN_WORDS``
+words at least, so short sentences make longer runs; it is hashed (128 bits
+over the lowered, trimmed sentences); runs are joined over all documents; every sentence that a run covers which isn't the first of its kind
 (smallest document id, then earliest place) is removed.
 
 Runs are pre-aggregated to (hash, first place, count) and only repeated hashes
@@ -35,22 +35,30 @@ def sentences(text: Column) -> Column:
 
 
 def _runs(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """(document, row hash, place, hash) of every run with enough words."""
+    """(document, row hash, first and last place, hash) of every run."""
     # lowered as a whole text: A-Z aside, that changes no sentence end
     keys = F.transform(sentences(ascii_lower(F.col("_t"))), lambda s: F.btrim(s, F.lit(SPACE)))
     staged = (docs.select("_doc", "_rid", F.transform(keys, lambda s: F.struct(
                   F.xxhash64(s).alias("a"), F.xxhash64(F.lit(11), s).alias("b"),
                   F.when(s == "", 0).otherwise(F.size(F.split(s, r"[\x20\x09-\x0D]+"))).alias("n"))).alias("_k")))
+    # only the first sentence of a text can be without words
+    most = max(span, min_words + 1)
+
+    def run(i):
+        nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("h1"),
+                           F.lit(0).cast("long").alias("h2"))
+        return F.aggregate(F.slice("_k", i, most), nothing, lambda r, s: F.when(
+            (r["len"] >= span) & (r["n"] >= min_words), r).otherwise(F.struct(
+                (r["n"] + s["n"]).alias("n"), (r["len"] + 1).alias("len"),
+                F.xxhash64(r["h1"], s["a"]).alias("h1"), F.xxhash64(r["h2"], s["b"]).alias("h2"))),
+            lambda r: F.struct((i - 1).alias("at"), (i + r["len"] - 2).alias("to"), r["h1"].alias("h1"), r["h2"].alias("h2"),
+                               r["n"].alias("n"), r["len"].alias("len")))
     # no filter here: it would be pushed down and compute the keys twice
-    runs = F.when(F.size("_k") >= span, F.transform(
-        F.sequence(F.lit(1), F.size("_k") - (span - 1)),
-        lambda i: F.struct(
-            F.xxhash64(*[F.element_at("_k", i + j)["a"] for j in range(span)]).alias("h1"),
-            F.xxhash64(*[F.element_at("_k", i + j)["b"] for j in range(span)]).alias("h2"),
-            (i - 1).alias("at"),
-            sum((F.element_at("_k", i + j)["n"] for j in range(1, span)), F.element_at("_k", i)["n"]).alias("n"))))
-    return (staged.select("_doc", "_rid", F.inline(F.filter(runs, lambda r: r["n"] >= min_words)))
-            .select("_doc", "_rid", F.col("at").alias("_at"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")))
+    runs = F.when(F.size("_k") >= span, F.transform(F.sequence(F.lit(1), F.size("_k") - (span - 1)), run))
+    whole = F.filter(runs, lambda r: (r["len"] >= span) & (r["n"] >= min_words))
+    return (staged.select("_doc", "_rid", F.inline(whole))
+            .select("_doc", "_rid", F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("h1").alias("_h1"),
+                    F.col("h2").alias("_h2")))
 
 
 def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
@@ -64,8 +72,8 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     repeated = stored(runs.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
                       .filter(F.col("_first") != F.col("_last")).select("_h1", "_h2", "_first"), "repeated")
     later = runs.join(repeated, ["_h1", "_h2"]).filter(place != F.col("_first"))
-    gone = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("_at"), F.col("_at") + (span - 1)))))
-    places = (later.select("_doc", "_rid", "_at").distinct()
+    gone = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("_at"), F.col("_to")))))
+    places = (later.select("_doc", "_rid", "_at", "_to").distinct()
               .groupBy(F.col("_doc").alias("_doc2"), F.col("_rid").alias("_rid2")).agg(gone.alias("_gone")))
     joined = rows.join(places.hint("shuffle_hash"),
                        (F.col("_doc") == F.col("_doc2")) & (F.col("_rid") == F.col("_rid2")), "left")

@@ -176,6 +176,38 @@ def test_span_dedup(docs):
         assert (r.n_sentences, r.n_removed, r.kept_sha256) == (len(parts[r.doc_id]), len(gone[r.doc_id]), sha(left))
 
 
+def brute_spans(rows, cut, keys_of):
+    """{id: places gone} of runs that go on until they hold SPAN units and MIN_WORDS words."""
+    seen, gone = set(), {i: set() for i, _ in rows}
+    for i, t in rows:
+        keys, words = keys_of(cut(t))
+        for k in range(len(keys)):
+            e = k
+            while e < len(keys) and (e - k < span_dedup.SPAN or sum(words[k:e]) < span_dedup.MIN_WORDS):
+                e += 1
+            if e - k >= span_dedup.SPAN and sum(words[k:e]) >= span_dedup.MIN_WORDS:
+                if tuple(keys[k:e]) in seen:
+                    gone[i].update(range(k, e))
+                seen.add(tuple(keys[k:e]))
+    return gone
+
+
+def test_spans_of_short_sentences(spark):
+    rng = random.Random(5)
+    short = " ".join(rng.choice(["yes", "no", "THIS", "only he", "ok then"]) + rng.choice([".", "!!", "?", ".\n"]) for _ in range(60))
+    lines = "\n".join(f"item {i}" for i in range(40)) + "\n"
+    rows = [(1, "Before it. " + short + " After it."), (2, "Other words here. " + short + " Another end."), (3, short),
+            (4, lines), (5, "Head.\n" + lines), (6, "One. Two. Three."), (7, "One. Two. Three.")]
+    cut = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+$")
+    parts = {i: [m.group() for m in cut.finditer(t)] for i, t in rows}
+    gone = brute_spans(rows, lambda t: [m.group() for m in cut.finditer(t)],
+                       lambda p: ([strip_key(x) for x in p], [len(WORD.findall(x)) for x in p]))
+    assert min(len(gone[i]) for i in (2, 3, 5)) >= 40 and not gone[6] and not gone[7]
+    for r in span_dedup.q_span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        left = "".join(x for k, x in enumerate(parts[r.doc_id]) if k not in gone[r.doc_id])
+        assert (r.n_sentences, r.n_removed, r.kept_sha256) == (len(parts[r.doc_id]), len(gone[r.doc_id]), sha(left))
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
