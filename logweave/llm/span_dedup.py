@@ -1,12 +1,24 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (up to and with its end marks and the white space
-after them, or a line end; together they are the whole text). From every
-sentence a run goes on until it holds ``SPAN`` sentences and ``MIN_WORDS``
-words at least, so short sentences make longer runs; it is hashed (128 bits
-over the lowered, trimmed sentences); runs are joined over all documents; every sentence that a run covers which isn't the first of its kind
+after them, or a line end; together they are the whole text). A sentence of
+more than ``MAX_WORDS`` words is cut into pieces after the word of least hash
+(the last of equal ones) of every ``MAX_WORDS`` words in a row, so pieces have
+that many words at most and depend on the words around them only. From every
+such unit a run goes on until it holds ``SPAN`` units and ``MIN_WORDS`` words
+at least; a text of fewer units is one run, if it has the words. Where no such
+run ends at a unit, one goes back from it in the same way, so the end of a
+passage is covered too. A run is
+hashed (128 bits over the lowered, trimmed units); runs are joined over all
+documents; every unit that a run covers which isn't the first of its kind
 (smallest document id, then earliest place) is removed.
 
+Any 50 whole words that two texts share in a row hold a whole run: at each end
+at most ``MAX_WORDS`` words can be cut in another way, and a run has 30 words at
+most. Words end at ASCII white space; a character of a script without blanks
+(Han, Kana, Hangul, Thai, Lao, Burmese, Khmer) is a word of its own. Other text
+without blanks is one word, whatever its length.
+
 Runs are pre-aggregated to (hash, first place, count) and only repeated hashes
 are joined back, so a passage that a third of all documents share is one row
 before the join; Spark splits the join's hot key.
@@ -27,35 +39,84 @@ from logweave.llm.common import SPACE, ascii_lower, id_of, packed, stored, text_
 
 SPAN = 3
 MIN_WORDS = 12
+MAX_WORDS = 10
 SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+$"
 
+# characters of scripts without blanks between words: each one is a word
+ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7A3\uF900-\uFAFF\uFF00-\uFFEF"
+TOKEN = rf"[\x20\x09-\x0D]*(?:[{ALONE}]|[^\x20\x09-\x0D{ALONE}]+)[\x20\x09-\x0D]*"
+LOW31, LOW32 = 2**31 - 1, 2**32 - 1
+
 
 def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
+def _with(value: Column, body) -> Column:
+    """``body(value)``, an array, with ``value`` computed once."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def units(text: Column, *, lowered: bool = False) -> Column:
+    """(text, words, sentence) of every unit: a sentence, or the pieces of one
+    with more than ``MAX_WORDS`` words."""
+    def word(w):
+        w = F.btrim(w, F.lit(SPACE))
+        return w if lowered else ascii_lower(w)
+
+    def unit(t, n, at):
+        return F.struct(t.alias("t"), n.alias("n"), at.alias("s"))
+
+    def pieces(ws, at):
+        # the word's hash, then its place from the right, in one long
+        order = F.transform(ws, lambda w, i: F.shiftleft(F.crc32(word(w)).bitwiseAND(F.lit(LOW31)), 32)
+                            + (F.lit(LOW31).cast("long") - i))
+        least = _with(order, lambda o: F.transform(F.sequence(F.lit(1), F.size(ws) - (MAX_WORDS - 1)),
+                                                   lambda j: F.array_min(F.slice(o, j, MAX_WORDS))))
+        ends = F.transform(F.array_distinct(least), lambda v: (F.lit(LOW31 + 1) - v.bitwiseAND(F.lit(LOW32))).cast("int"))
+
+        def cut(e):
+            start = lambda k: F.when(k == 0, 0).otherwise(F.get(e, k - 1))
+            return F.transform(e, lambda end, k: unit(F.array_join(F.slice(ws, start(k) + 1, end - start(k)), ""),
+                                                      end - start(k), at))
+        return _with(F.array_union(ends, F.array(F.size(ws))), cut)
+
+    return F.flatten(F.transform(sentences(text), lambda s, at: _with(
+        F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)),
+        lambda ws: F.when(F.size(ws) <= MAX_WORDS, F.array(unit(s, F.size(ws), at))).otherwise(pieces(ws, at)))))
+
+
 def _runs(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     """(document, row hash, first and last place, hash) of every run."""
     # lowered as a whole text: A-Z aside, that changes no sentence end
-    keys = F.transform(sentences(ascii_lower(F.col("_t"))), lambda s: F.btrim(s, F.lit(SPACE)))
-    staged = (docs.select("_doc", "_rid", F.transform(keys, lambda s: F.struct(
-                  F.xxhash64(s).alias("a"), F.xxhash64(F.lit(11), s).alias("b"),
-                  F.when(s == "", 0).otherwise(F.size(F.split(s, r"[\x20\x09-\x0D]+"))).alias("n"))).alias("_k")))
-    # only the first sentence of a text can be without words
+    def hashed(u):
+        key = F.btrim(u["t"], F.lit(SPACE))
+        return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(11), key).alias("b"), u["n"].alias("n"))
+    staged = docs.select("_doc", "_rid", F.transform(units(ascii_lower(F.col("_t")), lowered=True), hashed).alias("_k"))
+    # only the first unit of a text can be without words
     most = max(span, min_words + 1)
 
-    def run(i):
-        nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("h1"),
-                           F.lit(0).cast("long").alias("h2"))
-        return F.aggregate(F.slice("_k", i, most), nothing, lambda r, s: F.when(
+    def run(units, seed, place):
+        nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(seed).cast("long").alias("h1"),
+                           F.lit(seed).cast("long").alias("h2"))
+        return lambda i: F.aggregate(F.slice(units, i, most), nothing, lambda r, s: F.when(
             (r["len"] >= span) & (r["n"] >= min_words), r).otherwise(F.struct(
                 (r["n"] + s["n"]).alias("n"), (r["len"] + 1).alias("len"),
                 F.xxhash64(r["h1"], s["a"]).alias("h1"), F.xxhash64(r["h2"], s["b"]).alias("h2"))),
-            lambda r: F.struct((i - 1).alias("at"), (i + r["len"] - 2).alias("to"), r["h1"].alias("h1"), r["h2"].alias("h2"),
+            lambda r: F.struct(*place(i, r["len"]), r["h1"].alias("h1"), r["h2"].alias("h2"),
                                r["n"].alias("n"), r["len"].alias("len")))
-    # no filter here: it would be pushed down and compute the keys twice
-    runs = F.when(F.size("_k") >= span, F.transform(F.sequence(F.lit(1), F.size("_k") - (span - 1)), run))
-    whole = F.filter(runs, lambda r: (r["len"] >= span) & (r["n"] >= min_words))
+    size = F.size("_k")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - (span - 1)))
+    on = F.transform(starts, run(F.col("_k"), 0, lambda i, n: ((i - 1).alias("at"), (i + n - 2).alias("to"))))
+    # a text of fewer units is one run
+    on = F.filter(on, lambda r: (r["len"] >= F.least(F.lit(span), size)) & (r["n"] >= min_words))
+    # runs back from a unit at which no run ends that goes on: those that hold enough without it
+    back = _with(F.reverse("_k"), lambda reverse: F.transform(starts, run(
+        reverse, 1, lambda i, n: ((size - i - n + 1).alias("at"), (size - i).alias("to")))))
+    back = F.filter(back, lambda r: (r["len"] > span) & (r["n"] >= min_words)
+                    & (r["n"] - F.get("_k", r["to"])["n"] >= min_words))
+    # no filter of rows here: it would be pushed down and compute the keys twice
+    whole = F.when(size > 0, F.concat(on, back))
     return (staged.select("_doc", "_rid", F.inline(whole))
             .select("_doc", "_rid", F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("h1").alias("_h1"),
                     F.col("h2").alias("_h2")))
@@ -64,27 +125,31 @@ def _runs(docs: DataFrame, span: int, min_words: int) -> DataFrame:
 def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
                 min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the cleaned text in ``text_col``, ``n_sentences`` (before)
-    and ``n_removed`` (sentences)."""
+    and ``n_removed`` (sentences that lost text)."""
     rows = docs.select(packed(docs), id_of(id_col).alias("_doc"), text_of(text_col).alias("_t"))
     rows = rows.withColumn("_rid", F.xxhash64("_t"))
     runs = _runs(rows.select("_doc", "_rid", "_t"), span, min_words)
     place = F.struct("_doc", "_rid", "_at")
-    repeated = stored(runs.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-                      .filter(F.col("_first") != F.col("_last")).select("_h1", "_h2", "_first"), "repeated")
+    repeated = stored(runs.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+                      .filter("_n > 1").select("_h1", "_h2", "_first"), "repeated")
     later = runs.join(repeated, ["_h1", "_h2"]).filter(place != F.col("_first"))
     gone = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("_at"), F.col("_to")))))
     places = (later.select("_doc", "_rid", "_at", "_to").distinct()
               .groupBy(F.col("_doc").alias("_doc2"), F.col("_rid").alias("_rid2")).agg(gone.alias("_gone")))
-    joined = rows.join(places.hint("shuffle_hash"),
-                       (F.col("_doc") == F.col("_doc2")) & (F.col("_rid") == F.col("_rid2")), "left")
-    staged = joined.select("_row", "_t", "_gone", sentences(F.col("_t")).alias("_s"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_s") - 1), F.col("_gone")),
-                       lambda i: F.element_at("_s", i + 1))
+    # the text is in the packed row: it isn't shuffled twice
+    joined = rows.drop("_t").join(places.hint("shuffle_hash"),
+                                  (F.col("_doc") == F.col("_doc2")) & (F.col("_rid") == F.col("_rid2")), "left")
+    text = F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit(""))
+    staged = joined.select("_row", "_gone", text.alias("_t"), F.size(sentences(text)).alias("_size"),
+                           F.when(F.col("_gone").isNotNull(), units(text)).alias("_u"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_u") - 1), F.col("_gone")),
+                       lambda i: F.get("_u", i)["t"])
+    touched = F.size(F.array_distinct(F.transform("_gone", lambda i: F.get("_u", i)["s"])))
     kept = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(F.array_join(left, ""))
     cols = [kept.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns
             if c not in ("n_sentences", "n_removed")]
-    return staged.select(*cols, F.size("_s").cast("long").alias("n_sentences"),
-                         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return staged.select(*cols, F.col("_size").cast("long").alias("n_sentences"),
+                         F.when(F.col("_gone").isNull(), 0).otherwise(touched).cast("long").alias("n_removed"))
 
 
 def q_span_dedup(docs: DataFrame) -> DataFrame:

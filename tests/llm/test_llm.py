@@ -208,6 +208,87 @@ def test_spans_of_short_sentences(spark):
         assert (r.n_sentences, r.n_removed, r.kept_sha256) == (len(parts[r.doc_id]), len(gone[r.doc_id]), sha(left))
 
 
+def brute_units(t):
+    """(text, word count, sentence) of sentences and pieces of long ones."""
+    cut = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+$")
+    out, m = [], span_dedup.MAX_WORDS
+    for at, sentence in enumerate(x.group() for x in cut.finditer(t)):
+        ws = re.findall(span_dedup.TOKEN, sentence)
+        if len(ws) <= m:
+            out.append((sentence, len(ws), at))
+            continue
+        h = [(zlib.crc32(strip_key(w).encode()) % 2**31, -k) for k, w in enumerate(ws)]
+        ends = sorted({1 - min(h[j:j + m])[1] for j in range(len(ws) - m + 1)} | {len(ws)})
+        out += [("".join(ws[a:b]), b - a, at) for a, b in zip([0, *ends], ends)]
+    return out
+
+
+def test_spans_in_long_sentences_and_short_texts(spark):
+    rng = random.Random(6)
+    def plain(n):
+        return " ".join("".join(rng.choice("abdefgiklmnorstuvwz") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    texts = [plain(200)]
+    texts += [texts[0]]  # an exact copy without end marks
+    mid = plain(51)
+    texts += [plain(9) + " " + mid + " " + plain(30), plain(33).title() + " " + mid.upper() + " " + plain(4)]
+    two = plain(26) + ". " + plain(25) + ". "
+    texts += [plain(40) + ". " + two + plain(5), plain(3) + "! " + two + plain(60)]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    texts += ["前" * 3 + han + "。末", "先に" + han + "後"]
+    texts += [plain(7) + ". " + (last := plain(8)), "x", "der " * 90, "Der " * 40, plain(14) + ".", plain(5) + ". " + plain(5)]
+    texts += [texts[-6], texts[-2], texts[-1], ""]  # texts of fewer than SPAN units, the last ones of too few words
+    rows = list(enumerate(texts))
+    seen, gone, parts = set(), {i: set() for i, _ in rows}, {i: brute_units(t) for i, t in rows}
+    assert all("".join(u[0] for u in parts[i]) == t for i, t in rows)
+    for i, u in parts.items():
+        for k in range(len(u)):
+            e = k
+            while e < len(u) and (e - k < span_dedup.SPAN or sum(x[1] for x in u[k:e]) < span_dedup.MIN_WORDS):
+                e += 1
+            enough = e - k >= span_dedup.SPAN or (k == 0 and len(u) < span_dedup.SPAN)
+            if enough and sum(x[1] for x in u[k:e]) >= span_dedup.MIN_WORDS:
+                run = tuple(strip_key(x[0]) for x in u[k:e])
+                if run in seen:
+                    gone[i].update(range(k, e))
+                seen.add(run)
+    got = {r.doc_id: r for r in span_dedup.q_span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows:
+        left = "".join(x[0] for k, x in enumerate(parts[i]) if k not in gone[i])
+        want = (len({x[2] for x in parts[i]}), len({parts[i][k][2] for k in gone[i]}), sha(left))
+        assert (got[i].n_sentences, got[i].n_removed, got[i].kept_sha256) == want, i
+    assert all(gone[i] for i in (1, 3, 5, 7, 11, 14)) and got[1].kept_sha256 == sha("")
+    assert not gone[16] and not gone[2]
+
+
+def test_spans_cover_the_end_of_a_passage(spark):
+    passage = "one two three four five six seven eight nine ten. yes. no. end. "
+    rows = [(1, passage + "a tail of its own."), (2, "a head. " + passage + "something else."), (3, passage)]
+    got = {r.doc_id: r.n_removed for r in span_dedup.q_span_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 4, 3: 4}
+
+
+def test_fifty_shared_words_hold_a_run():
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    def prose(n, mark):
+        return " ".join(rng.choice(vocabulary) + (". " if rng.random() < mark else "") for _ in range(n))
+    def runs(t):
+        u, out = brute_units(t), set()
+        for k in range(len(u)):
+            e = k
+            while e < len(u) and (e - k < span_dedup.SPAN or sum(x[1] for x in u[k:e]) < span_dedup.MIN_WORDS):
+                e += 1
+            if e - k >= span_dedup.SPAN and sum(x[1] for x in u[k:e]) >= span_dedup.MIN_WORDS:
+                out.add(tuple(strip_key(x[0]) for x in u[k:e]))
+        return out
+    for n in range(600):
+        mark = [0, 0.03, 0.09, 0.2][n % 4]
+        passage = prose(50, mark)
+        a, b = (prose(rng.randint(0, 30), mark) + " " + passage + " " + prose(rng.randint(0, 30), mark) for _ in range(2))
+        assert runs(a) & runs(b), (n, passage)
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
