@@ -61,13 +61,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/logweave-llm/{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, *, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
     lost executor costs only the tasks it ran. The write's shuffle files go
     when it ends, as nothing can read them again."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

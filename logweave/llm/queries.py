@@ -2,12 +2,13 @@
 
 Each query applies its operator with production parameters to the whole table
 and returns the contract's columns. Without SQL (tested by brute force in
-tests/llm): op2, op4, op5, op9, op10 and the pipeline.
+tests/llm): op2, op4, op5, op9 to op13 and the pipeline.
 """
 
 from __future__ import annotations
 
-from logweave.llm import line_dedup, minhash, mixing, piece_codec, quality, secret_scan, sharding, span_dedup, suffix_dedup, vector_dedup
+from logweave.llm import (line_dedup, minhash, mixing, piece_codec, quality, secret_scan, sharding, span_dedup,
+                          suffix_dedup, token_align, toxicity, vector_dedup, whitening)
 from logweave.sources.tables import read_table
 
 
@@ -26,6 +27,10 @@ QUERIES = {
     "op8_mixing": _over("documents", mixing.q_mixing),
     "op9_vectors": _over("embeddings", vector_dedup.q_vectors),
     "op10_secrets": _over("documents", secret_scan.q_secrets),
+    "op11_alignment": _over("documents", token_align.q_alignment),
+    "op12_whitening": _over("embeddings", whitening.q_whitening),
+    "op13_toxicity": lambda spark, sf_dir: toxicity.q_toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
 }
 
 ORACLE = {
