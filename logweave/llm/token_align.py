@@ -19,8 +19,8 @@ is a shuffle join whose hot pairs AQE splits; a document's links are summed
 within their task before they move.
 
 A's ids come from tiktoken with the ranks read from the tokenizer's own file,
-where a text has only characters up to U+024F and no ``LONG_WORD`` characters
-without a blank; other texts go to the tokenizers library. Both give the same
+where a text has only characters up to U+00FF; other texts go to the tokenizers
+library. Both give the same
 ids (letter and digit classes of those characters are the same in both), the
 second is some five times slower.
 
@@ -38,7 +38,6 @@ import functools
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,9 +51,8 @@ from logweave.llm.piece_codec import load_model
 
 BYTE_MODEL = "byte_bpe_50k.json"
 ROWS = 256
-LONG_WORD = 1000
+NEAR = 4
 PAIRS_BROADCAST = 2_000_000
-ODD = re.compile(rf"[^\x00-ɏ]|\S{{{LONG_WORD}}}")
 
 # what ``align`` can give for a text, with its type
 OUTPUTS = {
@@ -74,6 +72,15 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def is_latin(text: str) -> bool:
+    """Only characters up to U+00FF."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ByteTokens:
     """Ids of the byte-level BPE and the bytes of each id."""
 
@@ -104,10 +111,10 @@ class ByteTokens:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                                  mergeable_ranks={self.table[i]: i for i in own.values()})
 
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None and not ODD.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.whole.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None and is_latin(text):
+            return np.array(self.fast.encode_ordinary(text), np.int64)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 class PieceTokens:
@@ -125,34 +132,31 @@ class PieceTokens:
 def walk(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(A ends, B ends) of the groups as token counts and (A places, B places)
     of the links, from two rising lists of byte ends with the same last end."""
-    at_a, at_b, long, odd_a, odd_b = [], [], [], [], []
+    runs, odd = [], []
     i = j = 0
-    n = len(a)
+    n, m = len(a), len(b)
     while i < n:
         if a[i] == b[j]:
-            # gallop along the diagonal, then halve back to the place where it parts
-            k, step = 1, 1
-            while step:
-                part = a[i + k:i + k + step]
-                if len(part) == step and part == b[j + k:j + k + step]:
-                    k += step
-                    step *= 2
-                else:
-                    break
-            while step > 1:
-                step >>= 1
-                part = a[i + k:i + k + step]
-                if len(part) == step and part == b[j + k:j + k + step]:
+            # along the diagonal: singly at first, then with slices that double
+            k, most = 1, min(n - i, m - j)
+            near = most if most < NEAR else NEAR
+            while k < near and a[i + k] == b[j + k]:
+                k += 1
+            if k == NEAR:
+                step = NEAR
+                while k + step <= most and a[i + k:i + k + step] == b[j + k:j + k + step]:
                     k += step
-            at_a.append(i)
-            at_b.append(j)
-            long.append(k)
+                    step += step
+                while step > 1:  # back to the place where it parts
+                    step >>= 1
+                    if k + step <= most and a[i + k:i + k + step] == b[j + k:j + k + step]:
+                        k += step
+            runs += (i, j, k)
             i += k
             j += k
         else:
             while True:
-                odd_a.append(i)
-                odd_b.append(j)
+                odd += (i, j)
                 x, y = a[i], b[j]
                 if x < y:
                     i += 1
@@ -161,17 +165,15 @@ def walk(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray
                 else:
                     break
             # a group ends here: one entry whose "run" is its last link
-            at_a.append(i)
-            at_b.append(j)
-            long.append(-1)
+            runs += (i, j, -1)
             i += 1
             j += 1
-    at_a, at_b, long = (np.array(x, np.int64) for x in (at_a, at_b, long))
+    at_a, at_b, long = np.array(runs, np.int64).reshape(-1, 3).T
+    odd_a, odd_b = np.array(odd, np.int64).reshape(-1, 2).T
     sizes = np.abs(long)
     within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     all_a, all_b, even = np.repeat(at_a, sizes) + within, np.repeat(at_b, sizes) + within, np.repeat(long > 0, sizes)
-    links_a = np.concatenate([all_a[even], np.array(odd_a, np.int64)])
-    links_b = np.concatenate([all_b[even], np.array(odd_b, np.int64)])
+    links_a, links_b = np.concatenate([all_a[even], odd_a]), np.concatenate([all_b[even], odd_b])
     return all_a + 1, all_b + 1, links_a, links_b
 
 
@@ -179,26 +181,25 @@ class Digits:
     """Group texts as bytes: ids in decimal, each with the sign after it."""
 
     def __init__(self, size_a: int, size_b: int):
-        def table(n, sign):
-            return np.array([f"{i}{sign}".encode() for i in range(n)])
-        self.a, self.a_last = table(size_a, ","), table(size_a, "|")
-        self.b, self.b_last = table(size_b, ","), table(size_b, ";")
+        def table(n: int, last: str) -> np.ndarray:
+            return np.array([f"{i}{sign}".encode() for sign in (",", last) for i in range(n)])
+        self.size_a, self.size_b = size_a, size_b
+        self.a, self.b = table(size_a, "|"), table(size_b, ";")
 
     def sha256(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
         """Of ``a1,a2|b1;a3|b2,b3``: tokens are put to their places among both lists."""
         if not len(ids_a):
             return ""
-        out = np.zeros(len(ids_a) + len(ids_b), max(t.dtype for t in (self.a, self.a_last, self.b, self.b_last)))
-        n = np.arange(len(ends_a))
-        last = np.zeros(len(ids_a), bool)
-        last[ends_a - 1] = True
-        before = np.concatenate([[0], ends_b[:-1]])
-        out[np.arange(len(ids_a)) + before[np.repeat(n, np.diff(ends_a, prepend=0))]] = np.where(
-            last, self.a_last[ids_a], self.a[ids_a])
-        last = np.zeros(len(ids_b), bool)
-        last[ends_b - 1] = True
-        out[np.arange(len(ids_b)) + ends_a[np.repeat(n, np.diff(ends_b, prepend=0))]] = np.where(
-            last, self.b_last[ids_b], self.b[ids_b])
+        out = np.empty(len(ids_a) + len(ids_b), max(self.a.dtype, self.b.dtype))
+        place_a, place_b = np.arange(len(ids_a)), np.arange(len(ids_b))
+        sizes_a, sizes_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        # after all B tokens of the groups before, and all A tokens up to the own group's end
+        place_a += np.repeat(ends_b - sizes_b, sizes_a)
+        place_b += np.repeat(ends_a, sizes_b)
+        last_a, last_b = ids_a.copy(), ids_b.copy()
+        last_a[ends_a - 1] += self.size_a
+        last_b[ends_b - 1] += self.size_b
+        out[place_a], out[place_b] = self.a[last_a], self.b[last_b]
         return hashlib.sha256(out.tobytes().replace(b"\0", b"")[:-1]).hexdigest()
 
 
@@ -221,11 +222,12 @@ def _aligned(byte_path: str | None, piece_path: str | None, want: tuple[str, ...
 
         def one(text: str, ids_b: list[int]) -> dict:
             whole = (" " + text).encode() if text else b""
-            ids_a = a.encode(" " + text) if text else []
-            if b"".join([a.table[i] for i in ids_a]) != whole or b"".join([b.table[i] for i in ids_b]) != whole:
-                ids_a, ids_b = [], []
-            ia, ib = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            ends_a, ends_b, at_a, at_b = walk(np.cumsum(len_a[ia]).tolist(), np.cumsum(len_b[ib]).tolist()) if ids_a \
+            ia = a.encode(" " + text) if text else no
+            ib = np.array(ids_b, np.int64) if text else no
+            # A's pieces are cut from the text itself, so none is missing where the lengths agree
+            if len_a[ia].sum() != len(whole) or b"".join(map(b.table.__getitem__, ids_b)) != whole:
+                ia = ib = no
+            ends_a, ends_b, at_a, at_b = walk(np.cumsum(len_a[ia]).tolist(), np.cumsum(len_b[ib]).tolist()) if len(ia) \
                 else (no, no, no, no)
             out = {"ids_a": ia, "ids_b": ib, "ends_a": ends_a, "ends_b": ends_b, "n_a": len(ia), "n_b": len(ib),
                    "n_groups": len(ends_a), "n_links": len(at_a)}
