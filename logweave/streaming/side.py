@@ -17,6 +17,7 @@ from logweave.operators.detect import classify_errors
 from logweave.session import ensure_checkpoint_dir
 from logweave.sources.relabel import error_shape
 from logweave.sources.tables import read_table
+from logweave.streaming.merge import MergeTable
 from logweave.streaming.stream import EVENTS_SCHEMA
 
 
@@ -58,14 +59,21 @@ def route_errors(errors: DataFrame, root: str) -> DataFrame:
     return errors.sparkSession.read.parquet(f"{root}/side")
 
 
-def unique_entries(entries: DataFrame, root: str, *, key: str, ts: str, watermark: str) -> DataFrame:
-    """T-14: one row per entry id among those that come within ``watermark``
-    of each other (state older than that is dropped)."""
-    once = entries.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
-    q = (once.writeStream.format("parquet").option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start(f"{root}/entries"))
-    q.awaitTermination()
-    return entries.sparkSession.read.parquet(f"{root}/entries")
+def unique_entries(entries: DataFrame, root: str, *, key: str, order: list[str], ts: str | None = None,
+                   ttl: str | None = None, compact_every: int = 50) -> DataFrame:
+    """T-14: one row per entry id; the last one by ``order`` overwrites those
+    before it, whichever batch it comes in. The rows stand in a merged table
+    (no state in memory); with ``ttl`` entries older than the newest ``ts``
+    less ``ttl`` leave it."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    table = MergeTable(entries.sparkSession, f"{root}/entries", schema, [key], order=order, ts=ts, ttl=ttl)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        table.put(batch, batch_id)
+        table.compact(compact_every)
+
+    _run(entries, root, on_batch)
+    return table.read()
 
 
 def split_late(events: DataFrame, root: str, *, ts: str = "ts", delay: str = "INTERVAL 10 MINUTES") -> DataFrame:

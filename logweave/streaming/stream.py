@@ -1,12 +1,10 @@
 """Structured Streaming versions of the ingest and detections (T-01..T-16).
 
 The same column functions as the batch path run on a streaming DataFrame:
-lines are rendered, parsed, categorised and scored per micro-batch (all
-stateless projections), and written to a parquet sink whose checkpoint sits
+lines are rendered per micro-batch and written to a sink whose checkpoint sits
 in the shared ``spark.checkpoint.dir`` folder, so a restarted query resumes
-where it stopped. The error-spike alarm is a sliding event-time window with a
-watermark (bounded state); a window is emitted once the watermark passes
-its end.
+where it stopped. ``pipeline`` parses them once for all sinks; ``throttled``
+keeps keyed state; ``merge`` holds tables that batches merge into.
 """
 
 from __future__ import annotations
@@ -16,8 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave import rules as R
-from logweave.plans.ingest import parse_raw_lines, score_events
 from logweave.session import ensure_checkpoint_dir
 from logweave.sources.loglines import N_RAW_LOGS, render_line
 
@@ -58,37 +54,6 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> str:
     return f"{root}/out"
 
 
-def stream_scored(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> DataFrame:
-    """T-04: parse + score per micro-batch; returns the sink read back."""
-    parsed = score_events(parse_raw_lines(stream_lines(event_stream(spark, sf_dir)), ref_ts), ref_ts)
-    events = parsed.where("valid").select("id", "timestamp", "source", "category", "severity_score", "pattern")
-    return spark.read.parquet(run_available(events, "scored"))
-
-
-def stream_error_spikes(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes", ref_ts=R.REF_TS) -> DataFrame:
-    """T-10: kernel/security events per 5-minute window sliding by 1 minute,
-    emitted when final (watermark passed); ``spike`` when > 20."""
-    parsed = parse_raw_lines(stream_lines(event_stream(spark, sf_dir)), ref_ts).where("valid")
-    err = parsed.where(F.col("category").isin("kernel", "security")).select(F.col("timestamp").cast("timestamp").alias("t"))
-    win = (err.withWatermark("t", watermark).groupBy(F.window("t", "5 minutes", "1 minute").alias("w"))
-           .agg(F.count(F.lit(1)).alias("errors")))
-    out = win.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "errors",
-                     (F.col("errors") > R.ERROR_SPIKE_MAX).alias("spike"))
-    return spark.read.parquet(run_available(out, "spikes"))
-
-
-def stream_rule_matches(spark: SparkSession, sf_dir: str, rules: DataFrame, ref_ts=R.REF_TS) -> DataFrame:
-    """T-15: stream-static join of the scored events with the alert rules
-    (rules broadcast behind the size check); returns the sink read back."""
-    from logweave.operators.alerts import match_rules
-
-    parsed = score_events(parse_raw_lines(stream_lines(event_stream(spark, sf_dir)), ref_ts), ref_ts)
-    events = parsed.where("valid").select("id", "timestamp", "source", "category", "severity_score")
-    matched = match_rules(events, rules).select("id", "rule_name", "timestamp")
-    return spark.read.parquet(run_available(matched, "rule-matches"))
-
-
 def stream_tail(spark: SparkSession, glob_path: str, starting: str = "earliest") -> DataFrame:
     """T-01: lines appended to the matching files, through the ``logtail``
     source, until nothing new is available; returns the sink read back."""
@@ -97,28 +62,3 @@ def stream_tail(spark: SparkSession, glob_path: str, starting: str = "earliest")
     tail.register(spark)
     src = (spark.readStream.format("logtail").option("path", glob_path).option("startingPosition", starting).load())
     return spark.read.parquet(run_available(src, "tail"))
-
-
-def stream_component_rate(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
-    """T-11: per component and 1-minute tumbling window, events and mean
-    latency of the streamed samples; a window is emitted once final."""
-    ev = event_stream(spark, sf_dir)
-    s = ev.select(F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string")).alias("component"),
-                  F.col("value").alias("latency"), F.col("ts").cast("timestamp").alias("t"))
-    win = (s.withWatermark("t", watermark).groupBy("component", F.window("t", "1 minute").alias("w"))
-           .agg(F.count(F.lit(1)).alias("events"), F.sum("latency").alias("_lat")))
-    out = win.select("component", F.col("w.start").cast("timestamp_ntz").alias("minute"), "events",
-                     F.round(F.col("_lat") / F.col("events"), 6).alias("avg_latency"))
-    return spark.read.parquet(run_available(out, "component-rate"))
-
-
-def stream_failed_logins(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes", ref_ts=R.REF_TS) -> DataFrame:
-    """T-09: failed logins per account in 5-minute windows sliding by one
-    minute (event time, watermark); emitted once final."""
-    parsed = parse_raw_lines(stream_lines(event_stream(spark, sf_dir)), ref_ts).where("valid")
-    failed = parsed.where(F.col("message").startswith("Failed password")).select(
-        F.regexp_extract("message", r"for (\S+) from", 1).alias("account"), F.col("timestamp").cast("timestamp").alias("t"))
-    win = (failed.withWatermark("t", watermark).groupBy("account", F.window("t", "5 minutes", "1 minute").alias("w"))
-           .agg(F.count(F.lit(1)).alias("attempts")))
-    out = win.select("account", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "attempts")
-    return spark.read.parquet(run_available(out, "failed-logins"))
