@@ -128,10 +128,13 @@ RECOVERY_ACTIONS = {
 RECOVERY_DEFAULT = "retry"
 
 
-def classify_errors(errors: DataFrame, error_type: str = "error_type", message: str = "message") -> DataFrame:
+def classify_errors(errors: DataFrame, error_type: str = "error_type", message: str = "message",
+                    overrides: DataFrame | None = None) -> DataFrame:
     """F-24/F-25: error class from the exception type, then from words of the
     lower-cased message; severity from class and words; recovery action of
-    the class (default retry)."""
+    the class (default retry). X-03: ``overrides`` (error_class,
+    recovery_action) go before the action of their class; the last row of a
+    class in the order of the action's name counts."""
     low = F.lower(F.col(message))
     cls = None
     for t, name in ERROR_TYPE_CLASSES:
@@ -155,7 +158,12 @@ def classify_errors(errors: DataFrame, error_type: str = "error_type", message:
     sev = sev.otherwise(F.lit(ERROR_SEVERITY_DEFAULT))
     act = F.coalesce(F.create_map(*[x for k, v in RECOVERY_ACTIONS.items() for x in (F.lit(k), F.lit(v))])[F.col("error_class")],
                      F.lit(RECOVERY_DEFAULT))
-    return out.withColumn("error_severity", sev).withColumn("recovery_action", act)
+    out = out.withColumn("error_severity", sev).withColumn("recovery_action", act)
+    if overrides is None:
+        return out
+    own = overrides.groupBy("error_class").agg(F.max("recovery_action").alias("_own"))  # a class or fewer each
+    return out.join(F.broadcast(own), "error_class", "left").withColumn(
+        "recovery_action", F.coalesce("_own", "recovery_action")).drop("_own").select(*out.columns)
 
 
 # FIXED VALUES: recovery recommendations over the recent errors

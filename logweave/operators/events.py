@@ -101,6 +101,54 @@ def page(df: DataFrame, page_no: int, per_page: int, sort_by: str = "timestamp",
     return rows.crossJoin(F.broadcast(total))
 
 
+def page_after(df: DataFrame, per_page: int, after: tuple | None = None, *, sort_by: str = "timestamp",
+               order: str = "desc", days: dict | None = None) -> DataFrame:
+    """O-02 by position: the ``per_page`` rows after the position ``after``
+    (sort value and id of the last row before, as ``last_position`` gives it)
+    in the order of ``sort_events``. No row before the page is read again: the
+    position is a predicate.
+
+    By time, with ``days`` (events per day of an unfiltered table partitioned by
+    day), the days that can hold the page are a predicate on the partition too:
+    the position's day and as many after it as it takes to fill the page, so
+    any page reads what the first one reads.
+    """
+    check_event_filters(sort_by=sort_by, per_page=per_page)
+    c, desc = F.col(SORT_FIELDS[sort_by]), order == "desc"
+    if after is not None:
+        value, last_id = after
+        same_later = F.col("id") > F.lit(last_id)
+        if value is None:  # nulls come last in falling order, first in rising order
+            later = c.isNull() & same_later
+            df = df.where(later if desc else later | c.isNotNull())
+        else:
+            v = lit_ts(value) if sort_by == "timestamp" else F.lit(value)
+            beyond = ((c < v) | c.isNull()) if desc else c > v
+            df = df.where(beyond | ((c == v) & same_later))
+    if days is not None and sort_by == "timestamp":
+        start = after[0].date() if after is not None and after[0] is not None else None
+        ordered = sorted((d for d in days if d is not None), reverse=desc)
+        need, reach = per_page, []
+        for d in ordered:
+            if start is not None and (d > start if desc else d < start):
+                continue
+            if need <= 0:
+                break
+            reach.append(d)
+            if d != start:  # the position's own day may hold none
+                need -= days[d]
+        if reach:
+            df = df.where((F.col("event_date") >= F.lit(min(reach))) & (F.col("event_date") <= F.lit(max(reach))))
+    return sort_events(df, sort_by, order).limit(per_page)
+
+
+def last_position(page_rows: DataFrame, sort_by: str = "timestamp") -> tuple | None:
+    """(sort value, id) of a page's last row; None for an empty page. A page
+    has 100 rows at most."""
+    rows = page_rows.select(SORT_FIELDS[sort_by], "id").collect()
+    return tuple(rows[-1]) if rows else None
+
+
 def search_events(df: DataFrame, text: str | None = None, min_severity: int | None = None,
                   end_date: _dt.date | None = None) -> DataFrame:
     """P-14: case-insensitive text search over message/source/category,
@@ -215,11 +263,10 @@ def notification_history(nh: DataFrame, limit: int = 100, rule: str | None = Non
 
 def metrics_for_source(pm: DataFrame, source: str | None, hours: int, ref_ts=R.REF_TS) -> DataFrame:
     """P-17: metrics of the last ``hours`` whose JSON metadata names the
-    source (``$.source_name``), falling back to the row's source column."""
+    source (``$.source_name``); rows without it belong to no source."""
     m = last_hours(pm, hours, ref_ts)
     if source:
-        src = F.coalesce(F.get_json_object("metric_metadata", "$.source_name"), F.col("source_name"))
-        m = m.where(src == source)
+        m = m.where(F.get_json_object("metric_metadata", "$.source_name") == source)
     return m
 
 

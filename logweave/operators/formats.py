@@ -9,7 +9,7 @@ the most frequent non-blank one is the primary delimiter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.windows import top_n
@@ -34,40 +34,59 @@ def sample_lines(lines: DataFrame, source: str, order: str, n: int | None = None
     return lines if n is None else top_n(lines, n, [F.col(order).asc()], [source], salt_by=[order])
 
 
-def detect_timestamp(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no",
-                     n: int | None = None) -> DataFrame:
-    """D-01: per source the best timestamp kind, its match count, the sample
-    size and a confidence (high > 80 %, medium > 50 % of the sample lines)."""
-    s = sample_lines(lines, source, order, n)
-    counts = s.groupBy(source).agg(
-        F.count(F.lit(1)).alias("sample_lines"),
-        *[F.sum(F.regexp_count(F.col(line), F.lit("(?U)" + rx))).alias(k) for k, rx in TIMESTAMP_KINDS])
+def timestamp_counts(line: str) -> list[Column]:
+    """Aggregates: matches of each timestamp kind."""
+    return [F.sum(F.regexp_count(F.col(line), F.lit("(?U)" + rx))).alias(k) for k, rx in TIMESTAMP_KINDS]
+
+
+def chosen_timestamp() -> list[Column]:
+    """best_pattern, matches and confidence from ``timestamp_counts`` and
+    ``sample_lines``."""
     best_n = F.greatest(*[F.col(k) for k, _ in TIMESTAMP_KINDS])
     best = None
     for k, _ in TIMESTAMP_KINDS:
         best = F.when(F.col(k) == best_n, F.lit(k)) if best is None else best.when(F.col(k) == best_n, F.lit(k))
-    best = F.when(best_n > 0, best)
     conf = (F.when(best_n > F.col("sample_lines") * HIGH_SHARE, "high")
             .when(best_n > F.col("sample_lines") * MEDIUM_SHARE, "medium").otherwise("low"))
-    return counts.select(source, "sample_lines", best.alias("best_pattern"), best_n.alias("matches"), conf.alias("confidence"))
+    return [F.when(best_n > 0, best).alias("best_pattern"), best_n.alias("matches"), conf.alias("confidence")]
 
 
-def detect_delimiter(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no",
-                     n: int | None = None) -> DataFrame:
-    """D-03: per source the delimiter counts over the sample, the primary
-    (most frequent non-blank) delimiter and whether it is structured
-    (more than two per sample line)."""
-    s = sample_lines(lines, source, order, n)
+def delimiter_count(line: str, d: str) -> Column:
+    return F.length(F.col(line)) - F.length(F.replace(F.col(line), F.lit(d), F.lit("")))
+
+
+def delimiter_counts(line: str) -> list[Column]:
+    """Aggregates: occurrences of each delimiter."""
+    return [F.sum(delimiter_count(line, d)).alias(f"d{i}") for i, d in enumerate(DELIMITERS)]
 
-    def cnt(d):
-        return F.length(F.col(line)) - F.length(F.replace(F.col(line), F.lit(d), F.lit("")))
 
+def chosen_delimiter() -> list[Column]:
+    """primary_delimiter, primary_count, structured and blank_count from
+    ``delimiter_counts`` and ``sample_lines``."""
     names = {d: f"d{i}" for i, d in enumerate(DELIMITERS)}
-    g = s.groupBy(source).agg(F.count(F.lit(1)).alias("sample_lines"), *[F.sum(cnt(d)).alias(names[d]) for d in DELIMITERS])
     non_blank = [d for d in DELIMITERS if d != " "]
     top = F.greatest(*[F.col(names[d]) for d in non_blank])
     prim = None
     for d in non_blank:
         prim = F.when(F.col(names[d]) == top, F.lit(d)) if prim is None else prim.when(F.col(names[d]) == top, F.lit(d))
-    return g.select(source, "sample_lines", prim.alias("primary_delimiter"), top.alias("primary_count"),
-                    (top > F.col("sample_lines") * 2).alias("structured"), F.col(names[" "]).alias("blank_count"))
+    return [prim.alias("primary_delimiter"), top.alias("primary_count"),
+            (top > F.col("sample_lines") * 2).alias("structured"), F.col(names[" "]).alias("blank_count")]
+
+
+def detect_timestamp(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no",
+                     n: int | None = None) -> DataFrame:
+    """D-01: per source the best timestamp kind, its match count, the sample
+    size and a confidence (high > 80 %, medium > 50 % of the sample lines)."""
+    counts = sample_lines(lines, source, order, n).groupBy(source).agg(
+        F.count(F.lit(1)).alias("sample_lines"), *timestamp_counts(line))
+    return counts.select(source, "sample_lines", *chosen_timestamp())
+
+
+def detect_delimiter(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no",
+                     n: int | None = None) -> DataFrame:
+    """D-03: per source the delimiter counts over the sample, the primary
+    (most frequent non-blank) delimiter and whether it is structured
+    (more than two per sample line)."""
+    counts = sample_lines(lines, source, order, n).groupBy(source).agg(
+        F.count(F.lit(1)).alias("sample_lines"), *delimiter_counts(line))
+    return counts.select(source, "sample_lines", *chosen_delimiter())

@@ -4,9 +4,12 @@ F-04, F-30, O-07).
 ``compose_formats`` turns the detection results of each source into registry
 rows (regex and the group number of every field); ``best_formats`` keeps the
 best row of a source; ``parse_with_formats`` parses lines with the row of their
-source and hands the rest to the format cascade. Detection reads all lines of
-a source in two-phase aggregates; the registry has a handful of rows a source
-and is broadcast only behind a size check.
+source and hands the rest to the format cascade. One aggregate over all lines
+(``source_profile``: match counts, delimiters, field positions; numbers alone,
+so it is a hash aggregate) gives everything a registry is composed of. The
+regexes of a registry are put together from a closed set of parts, so a parse
+has a branch with a constant regex for each of the few that occur; the registry
+itself has a handful of rows a source and is broadcast behind a size check.
 
 Group numbers count the groups that are really in the regex (one group for the
 timestamp), confidence is compared by rank, and the Apache time keeps its
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 from logweave import rules as R
 from logweave.functions.categorize import category_from_scores, category_inputs, category_score_columns
 from logweave.functions.parse import FLAGS, iso_time, lit_ts, parse_lines, strip, us_time
-from logweave.operators.formats import TIMESTAMP_KINDS, detect_delimiter, detect_timestamp
-from logweave.session import broadcast_if_small
+from logweave.operators.formats import (DELIMITERS, TIMESTAMP_KINDS, chosen_delimiter, chosen_timestamp, delimiter_count,
+                                         delimiter_counts, timestamp_counts)
+from logweave.session import broadcast_if_small, cut_lineage
 
 # FIXED VALUES: field patterns, in order
 FIELD_PATTERNS = [
@@ -40,34 +44,67 @@ PRESENT_SHARE, SPREAD_MAX = 0.3, 50
 HOST_PART, PROCESS_PART, PID_PART, MESSAGE_PART = r"\s+(\S+)", r"\s+([^:\[\s]+)", r"(?:\[(\d+)\])?", r"\s*:\s*(.+)"
 GENERIC_PATTERN = "(.+)"
 MAX_FIELDS = 6
+GROUP_MARK = "\u0001"
 KEEP_FORMATS = 5
 MIN_LINES = 10
 UNPARSED_CUT = 1000
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
 
 
-def detect_fields(lines: DataFrame, source: str = "source_name", line: str = "line") -> DataFrame:
-    """D-02: per source and field the number of matches, the spread of their
-    start positions, whether it is present (matches >= 30 % of the lines) and
-    consistent (spread < 50). Fields without a match have no row.
+def _field_places(line: str) -> list[Column]:
+    """(n, first, last) of every field's matches in a line: their number, the
+    first start and the last one.
 
     The texts between the matches of a line give the first start and, from the
     end, the last one, so all matches of a line count and none is listed."""
     L = F.col(line)
-    per_line = []
+    out = []
     for name, rx in FIELD_PATTERNS:
         between = F.split(L, FLAGS + rx, -1)
         hits = F.regexp_extract_all(L, F.lit(FLAGS + rx), F.lit(0))
         last = F.length(L) - F.length(F.element_at(between, -1)) - F.length(F.try_element_at(hits, F.lit(-1)))
-        per_line.append(F.struct(F.lit(name).alias("field"), F.size(hits).alias("n"),
-                                 F.length(between[0]).alias("first"), last.alias("last")))
-    total = lines.groupBy(source).agg(F.count(F.lit(1)).alias("lines"))
-    found = (lines.select(source, F.inline(F.array(*per_line))).where(F.col("n") > 0).groupBy(source, "field")
-             .agg(F.sum("n").alias("matches"), (F.max("last") - F.min("first")).cast("int").alias("spread")))
-    present = F.col("matches") >= F.col("lines") * PRESENT_SHARE
-    return found.join(total, source).select(
-        source, "field", "matches", "spread", present.alias("present"),
-        (present & (F.col("spread") < SPREAD_MAX)).alias("consistent"))
+        out.append(F.struct(F.size(hits).alias("n"), F.length(between[0]).alias("first"), last.alias("last")).alias("_" + name))
+    return out
+
+
+def _field_counts() -> list[Column]:
+    """Aggregates over ``_field_places``: matches and extreme starts of each field."""
+    out = []
+    for name, _ in FIELD_PATTERNS:
+        c = F.col("_" + name)
+        seen = c["n"] > 0
+        out += [F.sum(c["n"]).alias("n_" + name), F.min(F.when(seen, c["first"])).alias("first_" + name),
+                F.max(F.when(seen, c["last"])).alias("last_" + name)]
+    return out
+
+
+def source_profile(lines: DataFrame, source: str = "source_name", line: str = "line", order: str = "line_no") -> DataFrame:
+    """All counts of a source in one pass over its lines: lines, matches of the
+    timestamp kinds, delimiters (over all lines and in the first one), and the
+    matches and extreme starts of the fields."""
+    in_first = [F.min_by(delimiter_count(line, d).cast("long"), F.col(order)).alias(f"f{i}") for i, d in enumerate(DELIMITERS)]
+    return (lines.select(source, line, order, *_field_places(line)).groupBy(source)
+            .agg(F.count(F.lit(1)).alias("sample_lines"), *timestamp_counts(line), *delimiter_counts(line), *in_first,
+                 *_field_counts()))
+
+
+def _present(name: str) -> Column:
+    return (F.col("n_" + name) > 0) & (F.col("n_" + name) >= F.col("sample_lines") * PRESENT_SHARE)
+
+
+def _spread(name: str) -> Column:
+    return (F.col("last_" + name) - F.col("first_" + name)).cast("int")
+
+
+def detect_fields(lines: DataFrame, source: str = "source_name", line: str = "line") -> DataFrame:
+    """D-02: per source and field the number of matches, the spread of their
+    start positions, whether it is present (matches >= 30 % of the lines) and
+    consistent (spread < 50). Fields without a match have no row."""
+    g = lines.select(source, *_field_places(line)).groupBy(source).agg(F.count(F.lit(1)).alias("sample_lines"), *_field_counts())
+    rows = [F.struct(F.lit(n).alias("field"), F.col("n_" + n).alias("matches"), _spread(n).alias("spread"),
+                     _present(n).alias("present"), (_present(n) & (_spread(n) < SPREAD_MAX)).alias("consistent"))
+            for n, _ in FIELD_PATTERNS]
+    return g.select(source, F.inline(F.array(*rows))).where(F.col("matches") > 0)
 
 
 def _timestamp_part(kind: str, rx: str) -> str:
@@ -88,18 +125,12 @@ def compose_formats(lines: DataFrame, source: str = "source_name", line: str = "
     frequency, place)``. A source gets a timestamp format where a timestamp
     kind was found, a delimited format (at most 6 fields, counted in its first
     line) where its delimiter is structured, and ``(.+)`` where neither holds."""
-    ts = detect_timestamp(lines, source, line, order).select(source, "sample_lines", "best_pattern", F.col("confidence").alias("ts_conf"))
-    dl = detect_delimiter(lines, source, line, order).select(source, "primary_delimiter", "structured")
-    fd = detect_fields(lines, source, line).groupBy(source).agg(
-        F.bool_or((F.col("field") == "hostname") & F.col("consistent")).alias("host"),
-        F.bool_or((F.col("field") == "process_name") & F.col("present")).alias("process"),
-        F.bool_or((F.col("field") == "pid") & F.col("present")).alias("pid"),
-        F.count_if("present").alias("n_present"))
-    first = lines.groupBy(source).agg(F.min_by(line, order).alias("first_line"))
-    s = ts.join(dl, source).join(fd, source, "left").join(first, source).select(
-        source, "sample_lines", "best_pattern", "ts_conf", "primary_delimiter", "structured", "first_line",
-        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("host", "process", "pid")],
-        F.coalesce("n_present", F.lit(0)).alias("n_present"))
+    d_first = F.create_map(*[x for i, d in enumerate(DELIMITERS) for x in (F.lit(d), F.col(f"f{i}"))])
+    s = source_profile(lines, source, line, order).select(
+        source, "sample_lines", *chosen_timestamp(), *chosen_delimiter(), d_first.alias("_first"),
+        F.coalesce(_present("hostname") & (_spread("hostname") < SPREAD_MAX), F.lit(False)).alias("host"),
+        _present("process_name").alias("process"), _present("pid").alias("pid"),
+        sum(_present(n).cast("int") for n, _ in FIELD_PATTERNS).alias("n_present")).withColumnRenamed("confidence", "ts_conf")
 
     none = F.lit(None).cast("int")
     ts_part = F.lit(None).cast("string")
@@ -119,7 +150,7 @@ def compose_formats(lines: DataFrame, source: str = "source_name", line: str = "
         F.when(F.col("ts_conf") == "medium", "medium").when(F.col("n_present") < 2, "low").otherwise("high").alias("confidence"),
         F.lit(1).alias("place"))
     d = F.col("primary_delimiter")
-    n_fields = F.least(F.lit(MAX_FIELDS), F.length("first_line") - F.length(F.replace(F.col("first_line"), d, F.lit(""))) + 1)
+    n_fields = F.least(F.lit(MAX_FIELDS), F.col("_first")[d].cast("int") + 1)
     quoted = F.concat(F.lit("\\"), d)
     cell = F.concat(F.lit("([^"), quoted, F.lit("]*)"))
     delimited = F.struct(
@@ -212,15 +243,24 @@ def parse_with_formats(lines: DataFrame, learned: DataFrame, detected: DataFrame
     fields = ["format_name", "regex_pattern", "ts_kind", "g_timestamp", "g_host", "g_process", "g_pid", "g_message"]
     known = learned.select(source, *fields, F.lit("learned_pattern").alias("method"))
     new = detected.join(known.select(source), source, "left_anti").select(source, *fields, F.lit("auto_detection").alias("method"))
-    formats = known.unionByName(new)
+    formats = cut_lineage(known.unionByName(new))
     rows = lines.withColumn(line, strip(F.col(line))).where(F.col(line) != "").join(broadcast_if_small(formats), source, "left")
-    rx = f"concat('{FLAGS}^(?:', regex_pattern, ')')"
-    hit = rows.withColumn("_hit", F.coalesce(F.expr(f"`{line}` rlike {rx}"), F.lit(False)))
+    # at most a few dozen, put together from the parts above: a branch with a constant regex for each
+    patterns = formats.select(*fields[1:]).distinct().collect()
+    caught = F.lit(None).cast("string")
+    for p in patterns:
+        rx = f"{FLAGS}^(?:{p['regex_pattern']})"
+        groups = GROUP_MARK.join(f"${p[g]}" if p[g] else "" for g in fields[3:])
+        caught = F.when((F.col("regex_pattern") == p["regex_pattern"]) & F.col(line).rlike(rx),
+                        F.regexp_replace(line, rx + r"[\s\S]*", groups)).otherwise(caught)
+    # generated, so that the filters below don't catch again
+    hit = rows.select("*", F.explode(F.array(caught)).alias("_caught"))
 
     def group(name: str) -> Column:
-        return F.expr(f"regexp_extract(`{line}`, {rx}, {name})").alias("_" + name)
+        part = F.get(F.split("_caught", GROUP_MARK), fields[3:].index(name))
+        return F.when(F.col(name).isNotNull(), part).alias("_" + name)
 
-    matched = hit.where("_hit").select(*keep, "format_name", "method", "ts_kind", *[group(f) for f in fields[3:]])
+    matched = hit.where(F.col("_caught").isNotNull()).select(*keep, "format_name", "method", "ts_kind", *[group(f) for f in fields[3:]])
     named = F.when(F.col("_g_host").isNotNull() & F.col("_g_process").isNotNull(),
                    F.concat("_g_host", F.lit(":"), "_g_process", F.when(F.col("_g_pid") != "", F.concat(
                        F.lit("["), F.col("_g_pid"), F.lit("]"))).otherwise(F.lit("")))).otherwise(F.coalesce("_g_host", "_g_process", F.lit("unknown")))
@@ -231,7 +271,7 @@ def parse_with_formats(lines: DataFrame, learned: DataFrame, detected: DataFrame
     scored = scored.select(*parsed.columns, "_cat_src", *category_score_columns()).select(
         *keep, "format_name", "method", "event_ts", "source", strip(F.col("_raw")).alias("message"), category_from_scores().alias("category"))
 
-    rest = parse_lines(hit.where(~F.col("_hit")).select(*keep), line, ref_ts)
+    rest = parse_lines(hit.where(F.col("_caught").isNull()).select(*keep), line, ref_ts)
     ok, whole = F.col("valid"), F.col(line)
     cut = F.when(F.length(whole) > UNPARSED_CUT, F.concat(F.left(whole, F.lit(UNPARSED_CUT)), F.lit("..."))).otherwise(whole)
     fallback = rest.select(

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from logweave import rules as R
 from logweave.functions import severity as sev
-from logweave.functions.parse import lit_ts, parse_lines
-from logweave.sources.loglines import event_log_lines
+from logweave.functions.parse import lit_ts, parse_lines, split_lines
 
 EVENT_COLUMNS = [
     "id", "raw_log_id", "line_no", "timestamp", "source", "message", "category",
@@ -33,16 +32,20 @@ def parse_raw_lines(lines: DataFrame, ref_ts=R.REF_TS) -> DataFrame:
     )
 
 
+def ingest_texts(texts: DataFrame, content: str = "content", source: str = "source", ref_ts=R.REF_TS) -> DataFrame:
+    """S-02: pasted texts with a source label -> their lines parsed, with
+    ``raw_log_id`` (a hash of label and text: a text pasted again is the same
+    raw log) and ``source_label``. Blank texts have no lines."""
+    raw = texts.select(F.sha2(F.concat_ws("|", source, content), 256).alias("raw_id"), F.col(content).alias("_content"),
+                       F.col(source).alias("source_label")).dropDuplicates(["raw_id"])
+    return parse_raw_lines(split_lines(raw, content="_content", id_col="raw_id", keep=["source_label"]), ref_ts)
+
+
 def events_from_lines(lines: DataFrame, ref_ts=R.REF_TS) -> DataFrame:
     """P-05: keep valid events only."""
     return parse_raw_lines(lines, ref_ts).where("valid").drop("valid")
 
 
-def rejected_lines(lines: DataFrame, ref_ts=R.REF_TS) -> DataFrame:
-    """P-05 complement: lines no format could turn into a valid event."""
-    return parse_raw_lines(lines, ref_ts).where(~F.col("valid")).select("raw_log_id", "line_no", "line")
-
-
 def score_events(events: DataFrame, ref_ts=R.REF_TS) -> DataFrame:
     """F-07..F-09 on parsed events; adds the analysis columns."""
     return sev.score(events).withColumn("analyzed_at", lit_ts(ref_ts))
@@ -54,22 +57,3 @@ def analysis_rows(scored: DataFrame) -> DataFrame:
         F.concat(F.lit("an_"), F.col("id")).alias("analysis_id"), F.col("id").alias("event_id"),
         "severity_score", "explanation", "recommendations", "analyzed_at",
     )
-
-
-# ------------------------------------------------- driver-table stand-ins
-def synthetic_events(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> DataFrame:
-    """Parsed events of the log lines rendered from ``events``; the original
-    ``event_id``/``user_id`` ride along for the relabelled views."""
-    return events_from_lines(event_log_lines(spark, sf_dir), ref_ts)
-
-
-def synthetic_scored(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> DataFrame:
-    return score_events(synthetic_events(spark, sf_dir, ref_ts), ref_ts)
-
-
-def synthetic_analysis(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> DataFrame:
-    """Stored-analysis stand-in: analyses exist for events whose source event
-    id is not a multiple of 4, so a quarter of the events have none and the
-    outer joins and coverage figures have something to show."""
-    scored = synthetic_scored(spark, sf_dir, ref_ts)
-    return analysis_rows(scored.where(F.col("event_id") % 4 != 0))

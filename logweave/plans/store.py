@@ -23,8 +23,10 @@ from logweave import rules as R
 from logweave.session import ensure_checkpoint_dir
 
 _VERSION_MODULES = ("logweave.rules", "logweave.functions.parse", "logweave.functions.categorize",
-                    "logweave.functions.severity", "logweave.sources.loglines", "logweave.plans.ingest",
-                    "logweave.plans.store")
+                    "logweave.functions.severity", "logweave.sources.loglines", "logweave.sources.files",
+                    "logweave.plans.ingest", "logweave.plans.store", "logweave.operators.alerts",
+                    "logweave.streaming.stream", "logweave.streaming.merge", "logweave.streaming.pipeline",
+                    "logweave.streaming.throttled")
 
 
 def _code_version() -> str:
@@ -143,3 +145,53 @@ def analysis(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> DataFrame:
 
     scored = scored_events(spark, sf_dir, ref_ts)
     return analysis_rows(scored.where(F.col("event_id") % 4 != 0))
+
+
+# bytes of the parsed table that one bucket holds
+BUCKET_BYTES = 256 << 20
+MIN_BUCKETS = 8
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def bucketed(spark: SparkSession, rows, schema: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A table bucketed and sorted by ``key`` at ``path``: written from
+    ``rows()`` once, after that only known to the session's catalog again.
+    Tables with as many buckets join on their keys, and a lookup by key reads
+    one bucket."""
+    name = "lw_" + hashlib.sha1(path.encode()).hexdigest()[:20]
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        (rows().repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite")
+         .option("path", path).saveAsTable(name))
+    elif not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def by_id(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> tuple[DataFrame, DataFrame]:
+    """S-07/J-01: (events, analyses) stored as two tables bucketed and sorted
+    by the event's id, so that they are joined and looked up without a shuffle."""
+    scored = materialize(spark, sf_dir, ref_ts)["scored"]
+    buckets = max(MIN_BUCKETS, -(-_bytes(spark, scored) // BUCKET_BYTES))
+    out = []
+    for name, table, key in (("events", events, "id"), ("analysis", analysis, "event_id")):
+        rows = table(spark, sf_dir, ref_ts)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        out.append(bucketed(spark, lambda rows=rows: rows, schema, f"{_root(spark, sf_dir, ref_ts)}/{name}_{buckets}", key, buckets))
+    return out[0], out[1]
+
+
+def day_counts(spark: SparkSession, sf_dir: str, ref_ts=R.REF_TS) -> dict:
+    """Events per day, one entry per partition of the stored table (kept beside
+    it, so that paging need not count again)."""
+    path = f"{_root(spark, sf_dir, ref_ts)}/day_counts"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        events(spark, sf_dir, ref_ts).groupBy("event_date").count().coalesce(1).write.mode("overwrite").parquet(path)
+    return {r["event_date"]: r["count"] for r in spark.read.parquet(path).collect()}

@@ -40,7 +40,10 @@ def processing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("src"), _s(F.col("user_id") % 5)).alias("source_name"),
         F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"),
-        F.col("ts").alias("timestamp"), F.col("props").alias("metric_metadata"),
+        F.col("ts").alias("timestamp"),
+        # two of three metrics name a source in their metadata
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit('{"source_name": "src'), _s(F.col("user_id") % 5), F.lit('"}')))
+        .otherwise(F.col("props")).alias("metric_metadata"),
     )
 
 
@@ -182,3 +185,13 @@ def analysis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.when(t % 5 == 4, " ").otherwise(F.concat_ws("_", _s(c), _s(t))).alias("id"),
         _s(c).alias("event_id"), ((c + t) % 13).alias("severity_score"), F.col("text").alias("explanation"),
         F.split("text", "\\. ").alias("recommendations"))
+
+
+def queue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One queue entry per event: status, and the time it was completed (up to
+    two hours after it came; none where it isn't)."""
+    eid = F.col("event_id")
+    status = F.when(eid % 9 == 0, "failed").when(eid % 4 == 0, "pending").otherwise("completed")
+    done = F.col("ts") + F.make_dt_interval(mins=(eid % 120).cast("int"))
+    return _events(spark, sf_dir).select(eid.alias("entry_id"), status.alias("status"), F.col("ts").alias("created_at"),
+                                         F.when(status != "pending", done).alias("completed_at"))

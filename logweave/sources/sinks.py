@@ -35,14 +35,21 @@ def store_raw_logs(logs: DataFrame, path: str, key: list[str], content: str = "c
     rows.write.mode("append").partitionBy("created_date").parquet(path)
 
 
+def by_day(rows: DataFrame, day: str) -> DataFrame:
+    """``rows`` brought together by day for a write: small days share a task,
+    a large one is split by size (a rebalancing exchange)."""
+    return rows.hint("rebalance", F.col(day))
+
+
 def append_rows(rows: DataFrame, path: str, day_of: str | None = None, day: str = "row_date") -> None:
     """S-11/S-12: append rows, partitioned by the day of ``day_of`` where given.
-    Rows are brought together by day first, so a batch adds few files a day."""
+    Rows are brought together by day first, so a batch adds few files a day; a
+    day that holds most of the rows is split over tasks."""
     if day_of is None:
         rows.write.mode("append").parquet(path)
     else:
         dated = rows.withColumn(day, F.to_date(day_of))
-        dated.repartition(F.col(day)).write.mode("append").partitionBy(day).parquet(path)
+        by_day(dated, day).write.mode("append").partitionBy(day).parquet(path)
 
 
 def export_json(rows: DataFrame, path: str) -> None:
@@ -68,7 +75,7 @@ def delete_where(spark: SparkSession, path: str, gone: Column, day: str) -> dict
     per_day = table.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("d")).collect()
     part = [r[day] for r in per_day if 0 < r["d"] < r["n"]]
     if part:
-        (table.where(F.col(day).isin(part) & ~lost).repartition(F.col(day)).write.mode("overwrite")
+        (by_day(table.where(F.col(day).isin(part) & ~lost), day).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
     for r in per_day:
         if r["d"] == r["n"]:
