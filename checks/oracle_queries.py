@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.oracle import BASE, REF, q
+from checks.oracle import BASE, REF, SCORED, q
 from logweave import rules as R
 
 ORACLE: dict[str, str] = {}
@@ -24,7 +24,8 @@ NOTIF = """(SELECT event_id AS id, event_id, 'rule' || CAST(user_id % 4 AS VARCH
   CASE WHEN event_id % 10 <= 6 THEN 'sent' WHEN event_id % 10 <= 8 THEN 'failed' ELSE 'pending' END AS status,
   ts AS sent_at FROM events)"""
 METRICS = """(SELECT event_id AS id, 'src' || CAST(user_id % 5 AS VARCHAR) AS source_name, event_type AS metric_type,
-  value AS metric_value, ts AS "timestamp", props AS metric_metadata FROM events)"""
+  value AS metric_value, ts AS "timestamp", CASE WHEN event_id % 3 <> 0
+  THEN '{"source_name": "src' || CAST(user_id % 5 AS VARCHAR) || '"}' ELSE props END AS metric_metadata FROM events)"""
 AUDIT = """(SELECT event_id AS id, event_type,
   CASE WHEN user_id % 11 = 0 THEN NULL ELSE 'user' || CAST(user_id AS VARCHAR) END AS username,
   (['low','medium','high','critical'])[event_id % 4 + 1] AS severity, event_type <> 'error' AS success, ts AS "timestamp"
@@ -60,6 +61,10 @@ reg("events_page", f"""SELECT id, "timestamp", source, category, severity_score,
   ORDER BY severity_score DESC NULLS LAST, id ASC LIMIT 50 OFFSET 50) p
 CROSS JOIN (SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages FROM {joined_cols()} j
   WHERE category = 'auth' AND source ILIKE '%sshd%') t""")
+reg("events_keyset", f"""SELECT id, "timestamp", category, severity_score FROM {joined_cols()} j
+ORDER BY "timestamp" DESC, id ASC LIMIT 50 OFFSET 100""")
+reg("events_keyset_severity", f"""SELECT id, "timestamp", category, severity_score FROM {joined_cols()} j WHERE category = 'auth'
+ORDER BY severity_score DESC NULLS LAST, id ASC LIMIT 50 OFFSET 50""")
 reg("events_search", f"""SELECT id, message, severity_score FROM {joined_cols()} j
 WHERE (contains(lower(message), 'failed') OR contains(lower(source), 'failed') OR contains(lower(category), 'failed'))
   AND coalesce(severity_score, 0) >= 5 AND "timestamp" < TIMESTAMP '2024-01-21 00:00:00'""")
@@ -90,7 +95,8 @@ reg("ingestion_stats", "SELECT count(*) AS total_entries, sum(length(line)) AS t
 reg("top_sources", "SELECT source_name, count(*) AS n FROM lines GROUP BY source_name ORDER BY n DESC, source_name LIMIT 10")
 reg("table_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
-    for t in ["events", "documents", "pages", "conversations", "labels", "benchmark", "embeddings"]), base=False)
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+              "pages", "benchmark", "labels", "conversations"]), base=False)
 reg("coverage", """SELECT count(*) AS total_events, count(a.event_id) AS analyzed_events,
   CASE WHEN count(*) > 0 THEN round(CAST(count(a.event_id) AS DOUBLE) * 100.0 / count(*), 6) ELSE 0.0 END AS coverage_pct
 FROM scored s LEFT JOIN analysis a ON s.id = a.event_id""")
@@ -139,7 +145,8 @@ reg("processing_time_stats", f"""SELECT metric_type, count(metric_value) AS n, r
 reg("category_severity", "SELECT category, severity_score, count(*) AS n FROM scored GROUP BY category, severity_score")
 
 # ------------------------------------------------------------ alerts
-from logweave.plans.catalog import ALERT_RULES, CHANNELS  # noqa: E402
+from logweave.plans.catalog import ALERT_RULES, CHANNELS, RESULT_SECONDS, TYPE_SECONDS  # noqa: E402
+from logweave.sources.files import ODD_FILES  # noqa: E402
 
 
 def _rules_sql() -> str:
@@ -275,6 +282,17 @@ reg("retention_counts", " UNION ALL ".join(
                          ("events", "scored", '"timestamp"', 365)]))
 reg("upsert_latest", """SELECT analysis_id, event_id, CASE WHEN event_id IN (SELECT id FROM scored WHERE category = 'kernel')
   THEN analyzed_at + INTERVAL 1 DAY ELSE analyzed_at END AS analyzed_at FROM analysis""")
+_ODD_KERNEL = "category = 'kernel' AND event_id % 3 = 0 AND day(event_date) <= 12"
+_AS_SECURITY = SCORED.replace("FROM cat WHERE valid", f"FROM (SELECT * REPLACE ('security' AS category) FROM cat WHERE valid AND category = 'kernel' "
+                              "AND event_id % 3 = 0 AND day(CAST(event_ts AS DATE)) <= 12) c")
+for _a, _b in (("ev AS", "ev2 AS"), ("FROM ev)", "FROM ev2)"), ("h AS (", "h2 AS ("), ("FROM h)", "FROM h2)"), ("s1 AS", "r1 AS"),
+               ("FROM s1)", "FROM r1)"), ("s2 AS", "r2 AS"), ("FROM s2", "FROM r2"), ("scored AS", "scored2 AS"),
+               ("analysis AS", "analysis2 AS"), ("FROM scored WHERE", "FROM scored2 WHERE")):
+    _AS_SECURITY = _AS_SECURITY.replace(_a, _b)
+ORACLE["reanalysis"] = BASE + "," + _AS_SECURITY + f"""
+SELECT event_id, severity_score, explanation, analyzed_at FROM analysis WHERE event_id NOT IN (SELECT id FROM scored2)
+UNION ALL SELECT id, severity_score, explanation, {REF} + INTERVAL 1 DAY FROM scored2"""
+reg("reanalysis_found", f"SELECT id, TRUE AS found FROM scored WHERE {_ODD_KERNEL} UNION ALL SELECT 'rl_none:1', FALSE")
 reg("report_keep30", """SELECT report_date FROM (SELECT DISTINCT event_date AS report_date FROM scored) r
 WHERE report_date NOT IN (SELECT DISTINCT event_date FROM scored ORDER BY 1 DESC LIMIT 30)""")
 
@@ -283,7 +301,6 @@ reg("stream_parse", "SELECT category, severity_score, count(*) AS n FROM scored
 reg("stream_spike", """SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS errors, count(*) > 20 AS spike
 FROM (SELECT date_trunc('minute', "timestamp") - to_minutes(k) AS window_start, "timestamp" FROM scored, range(0, 5) r(k)
       WHERE category IN ('kernel', 'security')) w
-WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM scored WHERE category IN ('kernel', 'security'))
 GROUP BY window_start""")
 reg("document_lines", """SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line_no, sum(length(line)) AS chars FROM (
   SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') AS line
@@ -301,6 +318,35 @@ troots AS (SELECT match_id FROM (SELECT match_id, row_number() OVER (PARTITION B
 tchain(match_id) AS (SELECT match_id FROM troots UNION ALL SELECT n.nxt FROM tchain c JOIN tnx n ON n.match_id = c.match_id WHERE n.nxt IS NOT NULL)
 SELECT id, rule_name FROM tm WHERE throttle_minutes <= 0 OR match_id IN (SELECT match_id FROM tchain)"""
 
+
+
+def throttled_sql(rows: str, out: str) -> str:
+    """Sequential throttle over ``rows`` (id, tkey, ts, seconds, free, ...)."""
+    return BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+tm AS MATERIALIZED ({rows}), tg AS MATERIALIZED (SELECT * FROM tm WHERE NOT free),
+tnx AS MATERIALIZED (SELECT a.id, (SELECT b.id FROM tg b WHERE b.tkey = a.tkey AND b.ts >= a.ts + to_seconds(a.seconds)
+        ORDER BY b.ts, b.id LIMIT 1) AS nxt FROM tg a),
+troots AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY tkey ORDER BY ts, id) AS r FROM tg) WHERE r = 1),
+tchain(id) AS (SELECT id FROM troots UNION ALL SELECT n.nxt FROM tchain c JOIN tnx n ON n.id = c.id WHERE n.nxt IS NOT NULL)
+SELECT {out} FROM tm WHERE free OR id IN (SELECT id FROM tchain)"""
+
+
+_SECONDS = "CASE rtype " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in RESULT_SECONDS.items()) + " ELSE 0 END"
+_RESULTS = f"""SELECT id, source_name || '_' || rtype AS tkey, "timestamp" AS ts, {_SECONDS} AS seconds, rtype,
+  rtype IN ('failure', 'partial_success') AS free FROM (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'failure'
+  WHEN event_id % 7 = 0 THEN 'partial_success' WHEN event_id % 5 = 0 THEN 'warning' ELSE 'success' END AS rtype FROM scored) x"""
+ORACLE["result_throttle"] = throttled_sql(_RESULTS, "id, rtype AS result_type")
+ORACLE["stream_result_throttle"] = throttled_sql(_RESULTS, "id")
+_TYPE_S = "CASE category " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in TYPE_SECONDS.items()) + " ELSE 0 END"
+ORACLE["type_throttle"] = throttled_sql(
+    f'SELECT id, category AS tkey, category, "timestamp" AS ts, {_TYPE_S} AS seconds, {_TYPE_S} = 0 AS free FROM scored', "id, category")
+ORACLE["stream_alert_throttle"] = ORACLE["alert_throttle"]
+reg("stream_sinks", f"""SELECT 'events' AS table_name, count(*) AS n, count(DISTINCT id) AS ids FROM scored
+UNION ALL SELECT 'analysis', count(*), count(DISTINCT id) FROM scored
+UNION ALL SELECT 'rule_matches', count(*), count(DISTINCT s.id) FROM scored s JOIN {_rules_sql()} r
+  ON r.enabled AND r.min_severity <= s.severity_score AND s.severity_score <= r.max_severity
+  AND (len(r.categories) = 0 OR list_contains(r.categories, s.category)) AND (len(r.sources) = 0 OR list_contains(r.sources, s.source))""")
+
 # ------------------------------------------------------------ format detection
 from logweave.operators.formats import DELIMITERS, TIMESTAMP_KINDS  # noqa: E402
 
@@ -334,7 +380,27 @@ from checks.oracle import CATEGORIZED, PARSED  # noqa: E402
 DOC_LINES = """(SELECT doc_id, doc_id % 8 AS bucket, idx, line FROM (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS idx FROM (
     SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) a) b)"""
-reg("file_admission", "SELECT DISTINCT CAST(doc_id % 8 AS INTEGER) AS bucket, TRUE AS is_valid, CAST(NULL AS VARCHAR) AS reason FROM documents", base=False)
+_ODD = ", ".join(f"({100 + i}, {q(n)})" for i, n in enumerate(ODD_FILES))
+# the text a stand-in file holds for a document
+_ODD_TEXT = "CASE WHEN name = 'latin.txt' THEN regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') ELSE text END"
+_ODD_DOCS = f"""(SELECT bucket, name, doc_id, {_ODD_TEXT} AS text FROM documents JOIN (VALUES {_ODD}) o(bucket, name) ON doc_id % 8 = bucket - 100
+  WHERE name <> 'empty.log')"""
+reg("file_admission", f"""WITH f AS (SELECT doc_id % 8 AS bucket, 'part.txt' AS name, sum(strlen(text) + 1) AS size_bytes, '' AS head FROM documents GROUP BY 1
+  UNION ALL SELECT o.bucket, o.name, coalesce(max(s.size_bytes), 0) + CASE WHEN o.name = 'packed.log' THEN 5 ELSE 0 END,
+    CASE WHEN o.name = 'packed.log' THEN '504b0304' ELSE '' END FROM (VALUES {_ODD}) o(bucket, name)
+    LEFT JOIN (SELECT bucket, sum(CASE WHEN name = 'latin.txt' THEN length(text) ELSE strlen(text) END + 1) AS size_bytes FROM {_ODD_DOCS} d GROUP BY 1) s
+    ON s.bucket = o.bucket GROUP BY o.bucket, o.name),
+x AS (SELECT *, CASE WHEN contains(name, '.') THEN '.' || lower(split_part(name, '.', -1)) ELSE '' END AS ext FROM f),
+r AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'File is empty' WHEN ext IN ('.exe') THEN 'File type not allowed: ' || ext
+  WHEN ext NOT IN ('.log', '.txt', '.out', '.csv', '.json') THEN 'File type not supported'
+  WHEN head = '504b0304' THEN 'Binary or compressed files are not allowed' END AS reason FROM x)
+SELECT CAST(bucket AS INTEGER) AS bucket, CAST(size_bytes AS BIGINT) AS size_bytes, reason IS NULL AS is_valid, reason FROM r""", base=False)
+reg("file_lines", f"""WITH t AS (SELECT bucket, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM {_ODD_DOCS} d
+  WHERE name IN ('plain.log', 'latin.txt', 'UPPER.TXT') GROUP BY 1),
+p AS (SELECT bucket, string_split(regexp_replace(text, '^[\\s\\x{{85}}\\x{{A0}}]+', ''), chr(10)) AS parts FROM t),
+l AS (SELECT bucket, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') AS line FROM p)
+SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS n_lines, max(line_no) AS last_line_no, CAST(sum(length(line)) AS BIGINT) AS chars,
+  CAST(sum(CAST('0x' || md5(line)[1:8] AS BIGINT)) AS BIGINT) AS digest FROM l WHERE line <> '' GROUP BY bucket""", base=False)
 reg("file_inventory", f"""SELECT CAST(s.bucket AS INTEGER) AS bucket, s.size_bytes, c.line_count, p.preview FROM
   (SELECT doc_id % 8 AS bucket, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1) s
   JOIN (SELECT bucket, count(*) AS line_count FROM {DOC_LINES} d WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1) c ON s.bucket = c.bucket
@@ -407,7 +473,7 @@ reg("host_averages", f"""SELECT component, count(*) AS samples, round(avg(cpu_us
 reg("notification_history", f"""SELECT id, notification_type, channel, status, sent_at FROM {NOTIF} x
 WHERE notification_type LIKE '%rule1%' AND channel = 'email' AND status = 'failed' ORDER BY sent_at DESC, id DESC LIMIT 100""", base=False)
 reg("metrics_for_source", f"""SELECT id, metric_type, metric_value FROM {METRICS} x WHERE {last_hours('"timestamp"', 72)}
-  AND coalesce(json_extract_string(metric_metadata, '$.source_name'), source_name) = 'src3'""", base=False)
+  AND json_extract_string(metric_metadata, '$.source_name') = 'src3'""", base=False)
 reg("audit_query", f"""SELECT id, event_type, username, "timestamp" FROM {AUDIT} x WHERE event_type IN ('error', 'click')
   AND "timestamp" >= TIMESTAMP '2024-01-08 00:00:00' AND "timestamp" <= TIMESTAMP '2024-01-15 00:00:00' AND severity = 'high'
 ORDER BY "timestamp" DESC, id DESC LIMIT 20 OFFSET 20""", base=False)
@@ -506,7 +572,7 @@ res2 AS (SELECT *, CASE WHEN result_type = 'failure' THEN 'high' WHEN result_typ
                         WHEN verdict = 'suspicious' THEN 'medium' ELSE 'low' END AS priority FROM res)
 """ + gsets("res2", ["result_type", "priority"]).replace("FROM res2 x", "FROM res2"), base=False)
 reg("stream_component_rate", f"""SELECT component, date_trunc('minute', ts) AS minute, count(*) AS events, round(sum(latency) / count(*), 6) AS avg_latency
-FROM {COMP} c GROUP BY 1, 2 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""", base=False)
+FROM {COMP} c GROUP BY 1, 2""", base=False)
 reg("data_health", f"""SELECT success_rate, size_bytes, inactive, events_per_hour, array_to_string(recs, ' | ') AS recommendations,
   CASE WHEN len(recs) = 0 THEN 'excellent' WHEN len(recs) <= 2 THEN 'good' ELSE 'fair' END AS overall_health FROM (
   SELECT *, list_filter([
@@ -520,7 +586,6 @@ reg("data_health", f"""SELECT success_rate, size_bytes, inactive, events_per_hou
        (SELECT round(count_if({last_hours('"timestamp"', 24)}) / 24.0, 6) AS events_per_hour FROM scored) d) x""")
 reg("stream_failed_logins", f"""SELECT account, window_start, count(*) AS attempts FROM (
   SELECT account, date_trunc('minute', "timestamp") - to_minutes(k) AS window_start FROM {FAILED} f, range(0, 5) r(k)) w
-WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM {FAILED} f2)
 GROUP BY account, window_start""")
 
 

@@ -153,7 +153,8 @@ reg("session_cleanup", f"""SELECT role, count(*) AS sessions, min(created_at) AS
 WHERE expires_at >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1""", base=False)
 
 reg("stream_side_outputs", f"SELECT id, error_class, error_severity, recovery_action FROM {CLASSIFIED} x", base=False)
-reg("stream_unique_entries", "SELECT DISTINCT CAST(user_id AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d %H') AS entry_id FROM events", base=False)
+reg("stream_unique_entries", """SELECT CAST(user_id AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d %H') AS entry_id,
+  max_by(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1""", base=False)
 reg("stream_late_rows", """SELECT CAST(ts AS DATE) AS day, day(ts) BETWEEN 11 AND 20
   AND ts < (SELECT max(ts) FROM events WHERE day(ts) > 20) - INTERVAL 10 MINUTE AS late, count(*) AS n FROM events GROUP BY 1, 2""", base=False)
 
@@ -161,3 +162,44 @@ reg("scorer_prompts", f"""SELECT id, CAST(length(p) AS INTEGER) AS prompt_chars,
   SELECT id, {q(R.PROMPT_HEAD)} || '- Timestamp: ' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') <> '000000'
     THEN strftime("timestamp", '.%f') ELSE '' END || chr(10) || '- Source: ' || source || chr(10) || '- Category: ' || category || chr(10)
     || '- Message: ' || message || {q(R.PROMPT_TAIL)} AS p FROM scored) x""")
+
+_N = "CAST(split_part(id, ':', -1) AS BIGINT)"
+reg("scored_outside", f"""SELECT id, CASE WHEN n % 5 IN (0, 1) THEN 'scorer' ELSE 'rules' END AS analysis_method,
+  CAST(CASE WHEN n % 5 > 1 THEN severity_score WHEN n % 13 BETWEEN 1 AND 10 THEN n % 13 ELSE 5 END AS INTEGER) AS severity_score,
+  CASE n % 5 WHEN 0 THEN 'scored outside by number' WHEN 1 THEN 'AI analysis completed for ' || category || ' event' ELSE explanation END AS explanation,
+  CAST(CASE WHEN n % 5 IN (0, 1) THEN 2 ELSE len(recommendations) END AS INTEGER) AS n_recommendations
+FROM (SELECT *, {_N} AS n FROM scored) x""")
+
+# ------------------------------------------------------------ upkeep
+from checks.oracle_queries import _ODD_DOCS  # noqa: E402
+from logweave.plans.upkeep_queries import OWN_STRATEGIES, SAMPLE_LABELS  # noqa: E402
+
+_WS = "'^\\s+|\\s+$', '', 'g'"
+reg("pasted_texts", f"""WITH t AS (SELECT DISTINCT role, text FROM conversations),
+l AS (SELECT role, text, regexp_replace(unnest(string_split(regexp_replace(text, {_WS}), chr(10))), {_WS}) AS line FROM t)
+SELECT role AS source_label, count(DISTINCT text) AS raw_logs, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars
+FROM l WHERE line <> '' GROUP BY role""", base=False)
+_LABELS = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in SAMPLE_LABELS)
+reg("sample_logs", f"""SELECT l.*, CAST(s.size_bytes AS BIGINT) AS size_bytes, s.name IS NOT NULL AS found FROM (VALUES {_LABELS}) l(file_name, source, description)
+LEFT JOIN (SELECT name, sum(CASE WHEN name = 'latin.txt' THEN length(text) ELSE strlen(text) END + 1) AS size_bytes FROM {_ODD_DOCS} d
+  GROUP BY 1) s ON s.name = l.file_name""", base=False)
+reg("error_recovery_custom", "SELECT id, error_class, CASE error_class " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in OWN_STRATEGIES)
+    + f" ELSE recovery_action END AS recovery_action FROM {CLASSIFIED} c", base=False)
+reg("run_times", f"""SELECT 'entry_' || CAST(user_id AS VARCHAR) AS entry_id, count(*) AS runs, round(avg(value), 6) AS avg_seconds,
+  min(value) AS min_seconds, max(value) AS max_seconds, round(count_if(NOT {_BAD}) / count(*), 6) AS success_rate,
+  CASE WHEN count_if(NOT {_BAD}) > 0 THEN round(count_if(NOT {_BAD} AND event_id % 6 <> 0) / count_if(NOT {_BAD}), 6) END AS push_rate
+FROM events GROUP BY 1""", base=False)
+reg("cascade_all", """SELECT 'events' AS table_name, count(*) AS kept FROM scored WHERE raw_log_id <> 'rl_5'
+UNION ALL SELECT 'ai_analysis', count(*) FROM analysis WHERE split_part(event_id, ':', 1) <> 'rl_5'
+UNION ALL SELECT 'raw_logs', count(DISTINCT event_id % 97) FROM events WHERE event_id % 97 <> 5""")
+reg("entry_cleanup", f"""SELECT status, count(*) AS n, min(ts) AS oldest FROM (
+  SELECT ts, CASE WHEN event_id % 9 = 0 THEN 'failed' WHEN event_id % 4 = 0 THEN 'pending' ELSE 'completed' END AS status,
+    ts + to_minutes(event_id % 120) AS done FROM events) e
+WHERE status = 'pending' OR done >= TIMESTAMP '2024-01-19 00:00:00' GROUP BY 1
+UNION ALL SELECT 'history', count(*), min(ts) FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00'""", base=False)
+reg("line_times", 'SELECT event_id, "timestamp" AS found FROM scored')
+reg("severity_labels", """SELECT CASE WHEN severity_score >= 9 THEN 'Critical' WHEN severity_score >= 7 THEN 'High' WHEN severity_score >= 5 THEN 'Medium'
+  WHEN severity_score >= 3 THEN 'Low' ELSE 'Info' END AS label, count(*) AS n, min(severity_score) AS low, max(severity_score) AS high FROM scored GROUP BY 1""")
+reg("decoded_recommendations", """SELECT id, CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE len(recommendations) END AS INTEGER) AS n,
+  recommendations[1] AS first FROM scored""")
+reg("changed_keys", """SELECT event_id, CASE WHEN event_id % 3 <> event_id % 2 THEN 'level,' ELSE '' END || 'user,zone' AS changed FROM events""", base=False)

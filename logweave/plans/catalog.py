@@ -43,7 +43,7 @@ def _an(spark, sf):
 
 
 def _joined(spark, sf):
-    return E.with_analysis(_ev(spark, sf), _an(spark, sf))
+    return E.with_analysis(*store.by_id(spark, sf))
 
 
 # ------------------------------------------------------------------ parsing
@@ -125,6 +125,26 @@ def q_events_page(spark, sf):
         "id", "timestamp", "source", "category", "severity_score", "total", "total_pages")
 
 
+@query
+def q_events_keyset(spark, sf):
+    """O-02 by position: the third page of 50 of all events by time, found
+    from the last row of the second one and the events per day."""
+    view = E.with_analysis(_ev(spark, sf), _an(spark, sf))
+    days = store.day_counts(spark, sf)
+    last = None
+    for _ in range(2):
+        last = E.last_position(E.page_after(view, 50, last, days=days))
+    return E.page_after(view, 50, last, days=days).select("id", "timestamp", "category", "severity_score")
+
+
+@query
+def q_events_keyset_severity(spark, sf):
+    """O-02 by position: the second page of 50 auth events by severity."""
+    f = E.filter_events(_joined(spark, sf), category="auth")
+    last = E.last_position(E.page_after(f, 50, None, sort_by="severity"), "severity")
+    return E.page_after(f, 50, last, sort_by="severity").select("id", "timestamp", "category", "severity_score")
+
+
 @query
 def q_events_search(spark, sf):
     """P-14: free-text 'failed', severity >= 5 (missing = 0), to 2024-01-20."""
@@ -221,7 +241,8 @@ def q_top_sources(spark, sf):
 @query
 def q_table_counts(spark, sf):
     """A-03/U-01: row counts of the tables."""
-    names = ["events", "documents", "pages", "conversations", "labels", "benchmark", "embeddings"]
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+             "pages", "benchmark", "labels", "conversations"]
     return S.table_counts({n: read_table(spark, sf, n) for n in names})
 
 
@@ -470,6 +491,7 @@ def q_entry_verdict(spark, sf):
 
 # ------------------------------------------------------------ health, retention
 from logweave.operators import health as H  # noqa: E402
+from logweave.operators.reanalysis import reanalyse  # noqa: E402
 from logweave.operators.windows import beyond_n  # noqa: E402
 
 
@@ -516,6 +538,35 @@ def q_upsert_latest(spark, sf):
     return H.upsert_latest(an, redo, "event_id", "analyzed_at").select("analysis_id", "event_id", "analyzed_at")
 
 
+def _reanalyse(spark, sf):
+    """Stand-in for a re-analysis: every third kernel event of twelve days
+    was filed wrongly; scored again as security events a day later."""
+    from logweave.sources import sinks
+
+    events = _ev(spark, sf)
+    table = _an(spark, sf).join(events.select(F.col("id").alias("event_id"), "event_date"), "event_id")
+    path = sinks.fresh_path(spark, "analysis")
+    table.repartition("event_date").write.partitionBy("event_date").parquet(path)
+    odd = (F.col("category") == "kernel") & (F.col("event_id") % 3 == 0) & (F.dayofmonth("event_date") <= 12)
+    ids = events.where(odd).select("id").unionByName(spark.createDataFrame([("rl_none:1",)], "id string"))
+    found = reanalyse(spark, path, events.withColumn("category", F.lit("security")), ids, R.REF_TS + dt.timedelta(days=1))
+    return path, found
+
+
+@query
+def q_reanalysis(spark, sf):
+    """J-12/U-05: events analysed again, their scores replaced in (or added to)
+    the stored table; the table after that."""
+    path, _ = _reanalyse(spark, sf)
+    return spark.read.parquet(path).select("event_id", "severity_score", "explanation", "analyzed_at")
+
+
+@query
+def q_reanalysis_found(spark, sf):
+    """J-12: for each id asked for, whether there is an event of it."""
+    return _reanalyse(spark, sf)[1]
+
+
 @query
 def q_report_keep30(spark, sf):
     """W-12: daily reports beyond the newest 30 (the delete list)."""
@@ -525,20 +576,29 @@ def q_report_keep30(spark, sf):
 
 
 # ------------------------------------------------------------ streaming (T-*)
+from logweave.streaming import pipeline as SP  # noqa: E402
+from logweave.streaming import side  # noqa: E402
 from logweave.streaming import stream as ST  # noqa: E402
+from logweave.streaming import throttled as TS  # noqa: E402
+
+
+def _streamed(spark, sf):
+    """Root of the tables of the one parse stream."""
+    return SP.ingested(spark, sf, A.rules_table(spark, ALERT_RULES))
 
 
 @query
 def q_stream_parse(spark, sf):
-    """T-01..T-04: the ingest as a streaming query (availableNow), counted
-    per (category, severity) from its sink."""
-    return ST.stream_scored(spark, sf).groupBy("category", "severity_score").agg(F.count(F.lit(1)).alias("n"))
+    """T-02..T-04: the ingest as one stream over files that come out of order,
+    counted per (category, severity) from its events."""
+    return (SP.table(spark, _streamed(spark, sf), "events").groupBy("category", "severity_score")
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 @query
 def q_stream_spike(spark, sf):
-    """T-10: sliding-window error counts with a 10-minute watermark."""
-    return ST.stream_error_spikes(spark, sf)
+    """T-10: error counts of sliding windows, late rows and last windows too."""
+    return SP.error_windows(spark, _streamed(spark, sf))
 
 
 @query
@@ -560,11 +620,7 @@ from logweave.operators.throttle import throttle  # noqa: E402
 def q_alert_throttle(spark, sf):
     """T-05: alerts actually sent: per (rule, source, category) at most one
     every ``throttle_minutes`` of the rule (0 never throttles)."""
-    m = _matches(spark, sf).select(
-        "id", "rule_name", "timestamp", "throttle_minutes",
-        F.concat_ws("|", "rule_name", "id").alias("match_id"),
-        F.concat_ws(":", "rule_name", "source", "category").alias("tkey"))
-    return throttle(m, "tkey", "timestamp", "match_id", "throttle_minutes").select("id", "rule_name")
+    return throttle(_match_rows(spark, sf), "tkey", "timestamp", "match_id", "throttle_minutes").select("id", "rule_name")
 
 
 # ------------------------------------------------------------ format detection (D-*)
@@ -618,32 +674,50 @@ def q_queue_batches(spark, sf):
 from logweave.sources import files as FS  # noqa: E402
 
 
-def _files(spark, sf):
-    return FS.read_log_files(spark, FS.stage_document_files(spark, sf))
+def _files(spark, sf, odd=False):
+    return FS.LogFiles(spark, (FS.stage_odd_files if odd else FS.stage_document_files)(spark, sf))
+
+
+def _parsed_file_lines(spark, sf):
+    """Lines of the admitted staged files, parsed."""
+    from logweave.plans.ingest import parse_raw_lines
+
+    files = _files(spark, sf)
+    lines = files.lines(FS.admission(files.facts()).where("is_valid"))
+    return parse_raw_lines(store.spread(lines.withColumnRenamed("path", "raw_log_id")))
 
 
 @query
 def q_file_admission(spark, sf):
-    """S-04: admission verdict of every staged log file."""
-    return FS.admission(_files(spark, sf)).select("bucket", "is_valid", "reason")
+    """S-04: admission verdict of every staged log file, odd ones too."""
+    return (FS.admission(_files(spark, sf).facts()).unionByName(FS.admission(_files(spark, sf, odd=True).facts()))
+            .select("bucket", "size_bytes", "is_valid", "reason"))
 
 
 @query
 def q_file_inventory(spark, sf):
     """S-06: size, non-empty lines and a 3-line preview per log file."""
-    return FS.inventory(_files(spark, sf)).select("bucket", "size_bytes", "line_count", "preview")
+    files = _files(spark, sf)
+    return FS.inventory(files.files, files.lines()).select("bucket", "size_bytes", "line_count", "preview")
+
+
+@query
+def q_file_lines(spark, sf):
+    """S-01: every admitted odd file in its own decoding: lines, number of the
+    last one, characters, and a digest of the lines."""
+    files = _files(spark, sf, odd=True)
+    facts = files.facts()
+    lines = files.lines(FS.admission(facts).where("is_valid"))
+    return lines.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line_no"), F.sum(F.length("line")).alias("chars"),
+        F.sum(F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 8), 16, 10).cast("long")).alias("digest"))
 
 
 @query
 def q_file_ingest(spark, sf):
-    """S-01 + P-01..P-05: whole files read (UTF-8, else Latin-1), split into
+    """S-01 + P-01..P-05: files read by byte ranges (UTF-8, else Latin-1) as
     lines and parsed; lines per (file, format, valid)."""
-    from logweave.functions.parse import split_lines
-    from logweave.plans.ingest import parse_raw_lines
-
-    lines = split_lines(FS.admission(_files(spark, sf)).where("is_valid"), content="content", id_col="path", keep=["bucket"])
-    parsed = parse_raw_lines(store.spread(lines))
-    return parsed.groupBy("bucket", "pattern", "valid").agg(F.count(F.lit(1)).alias("n"))
+    return _parsed_file_lines(spark, sf).groupBy("bucket", "pattern", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -804,10 +878,89 @@ def q_overall_status(spark, sf):
 @query
 def q_stream_rule_match(spark, sf):
     """T-15: alert rule matches of the streamed events, counted per rule."""
-    m = ST.stream_rule_matches(spark, sf, A.rules_table(spark, ALERT_RULES))
+    m = SP.table(spark, _streamed(spark, sf), "rule_matches")
     return m.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def q_stream_sinks(spark, sf):
+    """T-04: rows and distinct ids that the one parse stream left in its sinks."""
+    root, out = _streamed(spark, sf), None
+    for name, key in (("events", "id"), ("analysis", "event_id"), ("rule_matches", "id")):
+        one = SP.table(spark, root, name).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("ids"))
+        one = one.select(F.lit(name).alias("table_name"), "n", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _match_rows(spark, sf):
+    return _matches(spark, sf).select(
+        "id", "rule_name", "timestamp", "throttle_minutes",
+        F.concat_ws("|", "rule_name", "id").alias("match_id"),
+        F.concat_ws(":", "rule_name", "source", "category").alias("tkey"))
+
+
+def _throttled_stream(spark, sf, name, rows, key, id_col, seconds, bypass=None):
+    """Sent ids of a stream over ``rows`` that arrive up to two hours late."""
+    folder = TS.stage_disordered(rows, f"{store._root(spark, sf, name)}/{name}", "timestamp")
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(folder))
+    root = side.stream_root(spark, name)
+    TS.run(TS.throttled(stream, key=key, ts="timestamp", id_col=id_col, seconds=seconds, delay="3 hours", bypass=bypass), root)
+    return TS.decided_so_far(spark, root).where("sent").select("id")
+
+
+@query
+def q_stream_alert_throttle(spark, sf):
+    """T-05 as a stream with keyed state: the alerts sent, equal to the batch
+    throttle's though they arrive out of order."""
+    rows = _match_rows(spark, sf).withColumn("seconds", F.col("throttle_minutes") * 60)
+    sent = _throttled_stream(spark, sf, "alerts", rows, "tkey", "match_id", "seconds")
+    return sent.select(F.substring_index("id", "|", -1).alias("id"), F.substring_index("id", "|", 1).alias("rule_name"))
+
+
+# seconds between two broadcasts of one source and result type; by event type alone
+RESULT_SECONDS = {"success": 900, "warning": 600, "failure": 600, "partial_success": 600}
+TYPE_SECONDS = {"system": 1800, "auth": 900, "network": 600}
+
+
+def _result_rows(spark, sf):
+    """Stand-in for processing results: every stored event with the result type
+    of its outcome, from the event's number."""
+    n = F.col("event_id")
+    rtype = A.result_type(n % 13 != 0, F.when(n % 7 == 0, 1).otherwise(0), F.when(n % 5 == 0, 1).otherwise(0))
+    rows = store.events(spark, sf).select("id", "source_name", "category", "timestamp", rtype.alias("result_type"))
+    seconds = F.create_map(*[F.lit(x) for kv in RESULT_SECONDS.items() for x in kv])
+    return rows.withColumn("rkey", F.concat_ws("_", "source_name", "result_type")).withColumn(
+        "seconds", F.coalesce(seconds[F.col("result_type")], F.lit(0)))
+
+
+def _bypass():
+    return F.col("result_type").isin("failure", "partial_success")
+
+
+@query
+def q_result_throttle(spark, sf):
+    """T-06: results sent under a throttle per (source, result type); failures
+    and partial successes pass and leave the times as they are."""
+    return throttle(_result_rows(spark, sf), "rkey", "timestamp", "id", "seconds", unit_seconds=1,
+                    bypass=_bypass()).select("id", "result_type")
+
+
+@query
+def q_type_throttle(spark, sf):
+    """T-06: events sent under a throttle per category (no rule: always)."""
+    seconds = F.create_map(*[F.lit(x) for kv in TYPE_SECONDS.items() for x in kv])
+    rows = store.events(spark, sf).select("id", "category", "timestamp", seconds[F.col("category")].alias("seconds"))
+    return throttle(rows, "category", "timestamp", "id", "seconds", unit_seconds=1).select("id", "category")
+
+
+@query
+def q_stream_result_throttle(spark, sf):
+    """T-06 as a stream with keyed state and the failures' bypass."""
+    return _throttled_stream(spark, sf, "results", _result_rows(spark, sf), "rkey", "id", "seconds", _bypass())
+
+
 @query
 def q_stream_tail(spark, sf):
     """T-01: tail the staged log files from their start; lines and
@@ -876,11 +1029,7 @@ def q_result_types(spark, sf):
     """F-28/A-26: processing result of every ingested file line (parsed or
     not; a line needing sanitising is a warning), counted by result type and
     by broadcast priority in one pass."""
-    from logweave.functions.parse import split_lines
-    from logweave.plans.ingest import parse_raw_lines
-
-    lines = split_lines(FS.admission(_files(spark, sf)).where("is_valid"), content="content", id_col="path", keep=["bucket"])
-    p = parse_raw_lines(store.spread(lines)).withColumn("verdict", T.entry_verdict(F.col("line")))
+    p = _parsed_file_lines(spark, sf).withColumn("verdict", T.entry_verdict(F.col("line")))
     rt = A.result_type(F.col("valid"), F.lit(0), F.when(F.col("verdict") == "requires_sanitization", 1).otherwise(0))
     res = p.withColumn("result_type", rt).withColumn("priority", A.result_priority(F.col("result_type"), F.col("verdict")))
     return S.grouping_sets_counts(res, ["result_type", "priority"])
@@ -888,8 +1037,8 @@ def q_result_types(spark, sf):
 
 @query
 def q_stream_component_rate(spark, sf):
-    """T-11: streaming per-minute component rates (final windows only)."""
-    return ST.stream_component_rate(spark, sf)
+    """T-11: streamed component rates per minute, late rows included."""
+    return SP.component_minutes(spark, _streamed(spark, sf))
 
 
 @query
@@ -899,7 +1048,7 @@ def q_data_health(spark, sf):
     nh = E.last_hours(relabel.notification_history(spark, sf), 24 * 30, ts="sent_at")
     sr = nh.agg(F.round(F.count_if(F.col("status") == "sent") / F.count(F.lit(1)), 6).alias("success_rate"))
     size = event_log_lines(spark, sf).agg(F.sum(F.octet_length("line")).alias("size_bytes"))
-    inactive = FS.admission(_files(spark, sf)).agg(F.count_if(~F.col("is_valid")).alias("inactive"))
+    inactive = FS.admission(_files(spark, sf).facts()).agg(F.count_if(~F.col("is_valid")).alias("inactive"))
     rate = S.realtime_stats(_ev(spark, sf).withColumn("processing_time", F.lit(0.0))).select(
         F.col("events_per_hour"))
     h = H.data_health(sr, size, inactive, rate)
@@ -909,8 +1058,8 @@ def q_data_health(spark, sf):
 
 @query
 def q_stream_failed_logins(spark, sf):
-    """T-09: streaming failed-login windows per account (final windows)."""
-    return ST.stream_failed_logins(spark, sf)
+    """T-09: streamed failed-login windows per account, late rows included."""
+    return SP.failed_login_windows(spark, _streamed(spark, sf))
 
 
 # ------------------------------------------------------------ format registry (D-02, D-04..D-07, O-07)
@@ -954,4 +1103,4 @@ def q_parse_detected(spark, sf):
         "event_id", "format_name", "method", "event_ts", "source", "message")
 
 
-from logweave.plans import status_queries  # noqa: E402, F401
+from logweave.plans import status_queries, upkeep_queries  # noqa: E402, F401

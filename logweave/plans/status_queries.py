@@ -10,7 +10,7 @@ from logweave.functions import sanitize as T
 from logweave.operators import detect as D
 from logweave.operators import events as E
 from logweave.operators import status as ST
-from logweave.operators.scoring import prompt_text
+from logweave.operators.scoring import prompt_text, score_in_batches
 from logweave.operators.windows import top_n
 from logweave.plans import store
 from logweave.plans.catalog import query
@@ -313,10 +313,12 @@ def q_stream_side_outputs(spark, sf):
 
 @query
 def q_stream_unique_entries(spark, sf):
-    """T-14: streamed entries, one per id (client and hour)."""
+    """T-14: streamed entries, one per id (client and hour): the newest event
+    of each overwrites the others."""
     e = _arriving(spark, sf).select(F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH")).alias("entry_id"),
-                                    F.col("ts").cast("timestamp").alias("at"))
-    return side.unique_entries(e, side.stream_root(spark, "entries"), key="entry_id", ts="at", watermark="40 days").select("entry_id")
+                                    F.col("ts").alias("at"), "event_id")
+    return side.unique_entries(e, side.stream_root(spark, "entries"), key="entry_id", order=["at", "event_id"],
+                               compact_every=2).select("entry_id", F.col("event_id").alias("last_event"))
 
 
 @query
@@ -331,3 +333,22 @@ def q_scorer_prompts(spark, sf):
     """F-10: the prompt of every event: its length and digest."""
     p = prompt_text(*[F.col(c) for c in ("timestamp", "source", "category", "message")])
     return store.events(spark, sf).select("id", F.length(p).alias("prompt_chars"), F.md5(p.cast("binary")).alias("prompt_md5"))
+
+
+def _replies(rows):
+    """Stand-in for an external scorer: wrapped, bare, broken and absent
+    replies by the number at the end of an event's id, over the whole batch."""
+    n = rows["id"].str.rsplit(":", n=1).str[-1].astype("int64")
+    score = (n % 13).astype("string")
+    bare = '{"severity_score": ' + score + ', "explanation": "scored outside by number", "recommendations": ["Look at it"]}'
+    wrapped = '{"security_log_event": {"severity_score": ' + score + ', "explanation": "short"}}'
+    return bare.where(n % 5 == 0, wrapped.where(n % 5 == 1, "no json at all")).where(n % 5 != 3, None).tolist()
+
+
+@query
+def q_scored_outside(spark, sf):
+    """X-01/F-11: every event scored by an external scorer whose replies need
+    repair or are missing, the rules where they are of no use."""
+    ev = store.events(spark, sf).select("id", "timestamp", "source", "message", "category")
+    out = score_in_batches(ev, _replies)
+    return out.select("id", "analysis_method", "severity_score", "explanation", F.size("recommendations").alias("n_recommendations"))
