@@ -57,7 +57,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-# hashing, components and the tokenizer have no SQL; tests/llm runs the stages against brute force
+# hashing, components and the tokenizer have no SQL; tests/llm holds every stage against plain Python
 ORACLE_SQL = None
 
 
