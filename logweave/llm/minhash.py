@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NO_ID, id_of, packed, stored, text_of, unpacked
+from logweave.llm.common import NO_ID, global_row_number, id_of, packed, stored, text_of, unpacked
 from logweave.llm.components import connected_components
 
 SIDE = 8
@@ -232,9 +232,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each component, with their own columns."""
+    """The documents that stay, one of each component, with their own columns.
+
+    Where ids are null or repeat, rows are told apart by their number in the
+    order of id (null first) and text, so one row of a component stays then too
+    and rows without an id are not taken for one document."""
     whole = docs.select(packed(docs, "_whole"), *[F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in (
         ("_i", options.pop("id_col", "doc_id")), ("_x", options.pop("text_col", "text")))])
+    if not whole.groupBy("_i").count().filter((F.col("count") > 1) | F.col("_i").isNull()).isEmpty():
+        hashed = whole.withColumn("_h", F.xxhash64(text_of("_x")))
+        whole = global_row_number(hashed, ["_i", "_h"], "_no")[0].withColumn("_i", F.col("_no")).drop("_no", "_h")
     found = near_duplicates(whole, id_col="_i", text_col="_x", **options).filter("kept")
     return found.select(*unpacked(docs.columns, name="_whole"))
 
