@@ -3,7 +3,10 @@
 Every rule is a row of ``RULES``: a numerator and a denominator out of the
 measured columns, a lower and an upper bound on their ratio. ``measured`` adds
 the measures as plain column expressions, ``verdict`` compiles the table into
-one boolean expression; nothing is shuffled.
+one boolean expression; nothing is shuffled. Rules on word lengths and on the
+stop words of four languages say nothing of a text that is mostly written in
+another script than Latin (``latin_only``); a text in another language of Latin
+script is judged by them.
 
 Defined results: a null text counts as no text (no words, not kept); an id of
 null stays null; repeated rows are judged one by one; an empty table gives an
@@ -42,19 +45,23 @@ class Rule(NamedTuple):
     whole: str
     at_least: float
     at_most: float
+    latin_only: bool = False  # says nothing of a text whose letters are mostly of another script
 
 
 # thresholds on ratios of the measured columns
 RULES = [
-    Rule("mean_word_chars", "word_chars", "n_words", 2.0, 20.0),
+    Rule("mean_word_chars", "word_chars", "n_words", 2.0, 20.0, latin_only=True),
     Rule("symbols_per_word", "n_symbols", "n_words", 0.0, 0.25),
     Rule("shouted_share", "n_upper", "word_chars", 0.0, 0.4),
-    Rule("stop_word_share", "n_stop_words", "n_words", 0.02, 1.0),
+    Rule("stop_word_share", "n_stop_words", "n_words", 0.02, 1.0, latin_only=True),
     Rule("dup_line_share", "n_dup_lines", "n_text_lines", 0.0, 0.5),
 ]
 
+# characters of other scripts than Latin, from Greek on
+OTHER_SCRIPT = r"[\x{370}-\x{1CFF}\x{1F00}-\x{1FFF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}]"
+
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stop_words",
-            "n_text_lines"]
+            "n_text_lines", "n_other_script"]
 
 
 def _covered() -> Column:
@@ -96,6 +103,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size("_l").cast("long").alias("n_text_lines"),
+        # no such character in a text of one byte each
+        F.when(F.octet_length("_t") == F.char_length("_t"), F.lit(0)).otherwise(
+            F.regexp_count("_t", F.lit(OTHER_SCRIPT))).cast("long").alias("n_other_script"),
     )
 
 
@@ -107,7 +117,8 @@ def rule_passes(rule: Rule) -> Column:
     """One row of the table as a condition; a ratio over nothing is 0."""
     whole = F.col(rule.whole)
     ratio = F.when(whole > 0, F.col(rule.part) / whole).otherwise(F.lit(0.0))
-    return (ratio >= rule.at_least) & (ratio <= rule.at_most)
+    passed = (ratio >= rule.at_least) & (ratio <= rule.at_most)
+    return passed | (2 * F.col("n_other_script") > F.col("word_chars")) if rule.latin_only else passed
 
 
 def verdict(rules: list[Rule] = RULES) -> Column:
@@ -146,7 +157,8 @@ def _sql_list(words: list[str]) -> str:
 
 def _sql_rule(r: Rule) -> str:
     ratio = f"(CASE WHEN {r.whole} > 0 THEN {r.part}::DOUBLE / {r.whole} ELSE 0.0 END)"
-    return f"{ratio} >= {r.at_least}::DOUBLE AND {ratio} <= {r.at_most}::DOUBLE"
+    passed = f"{ratio} >= {r.at_least}::DOUBLE AND {ratio} <= {r.at_most}::DOUBLE"
+    return f"({passed} OR 2 * n_other_script > word_chars)" if r.latin_only else passed
 
 
 def oracle() -> str:
@@ -166,7 +178,8 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words,
        len(regexp_extract_all(t, '\p{{Lu}}'))::BIGINT AS n_upper,
        len(list_filter(w, lambda x: lower(x) IN ({_sql_list(STOP_WORDS)})))::BIGINT AS n_stop_words,
-       len(l)::BIGINT AS n_text_lines
+       len(l)::BIGINT AS n_text_lines,
+       len(regexp_extract_all(t, '{OTHER_SCRIPT}'))::BIGINT AS n_other_script
       FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
 b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
