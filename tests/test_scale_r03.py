@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from logweave import rules as R
 from logweave.functions.categorize import category_of
+from logweave.operators import detect as D
+from logweave.operators import stats as S
 from logweave.operators import status as ST
+from logweave.operators.throttle import throttle
 from logweave.plans import store
 from logweave.sources import files as FS
 from logweave.streaming import pipeline as SP
+from logweave.streaming import side
+from logweave.streaming import throttled as TS
 
 
 def test_events_of_one_row_group_are_spread(spark, tmp_path, monkeypatch):
@@ -73,3 +78,62 @@ def test_replay_has_no_more_batches_for_more_files(spark, tmp_path):
         spark.range(n).select(F.col("id").alias("event_id")).repartitionByRange(n, "event_id").write.parquet(f"{tmp_path}/{n}")
     assert SP.files_a_batch(spark, f"{tmp_path}/3") == 2
     assert -(-40 // SP.files_a_batch(spark, f"{tmp_path}/40")) <= SP.REPLAY_BATCHES
+
+
+def test_points_of_a_sliding_count_carry_no_rows(spark, monkeypatch):
+    seen, cut = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: seen.append(df) or cut(df))
+    rows = [("a", 10, "x"), ("a", 10, "x"), ("a", 300, None), ("b", None, "y"), (None, 5, "z"), (None, 6, "z")]
+    df = spark.createDataFrame(rows, "k string, s int, wide string").withColumn("ts", F.timestamp_seconds("s"))
+    got = D.sliding_count(df, ["k"], "ts", 60, name="n")
+    assert "_row" not in str(seen[1].schema) and "_prow" not in seen[1].columns
+    assert sorted(((r.k, r.s, r.wide, r.n) for r in got.collect()), key=str) == sorted(
+        [("a", 10, "x", 2), ("a", 10, "x", 2), ("a", 300, None, 1), ("b", None, "y", None), (None, 5, "z", 1), (None, 6, "z", 2)], key=str)
+
+
+def test_arrivals_are_staged_by_many_tasks_and_a_batch_is_a_part(spark, monkeypatch):
+    rows = spark.range(3000).select(
+        F.col("id").cast("string").alias("i"), F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.lit(600).alias("g"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 40).cast("timestamp_ntz").alias("at"))
+    monkeypatch.setattr(TS, "ROWS_PER_FILE", 100)
+    root = side.stream_root(spark, "arrivals")
+    folder, files = TS.stage_disordered(rows, f"{root}/in", "at")
+    assert files >= 7 and TS.stage_disordered(rows, f"{root}/in", "at") == (folder, files)
+    assert all(TS._data_files(spark, f"{folder}/part{k}") == files for k in range(4))
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder))
+    TS.run(TS.throttled(stream, key="k", ts="at", id_col="i", seconds="g", delay="3 hours"), root)
+    got = TS.decided_so_far(spark, root)
+    assert got.count() == 3000
+    sent = {r["i"] for r in throttle(rows, "k", "at", "i", "g", unit_seconds=1).collect()}
+    assert {r["id"] for r in got.where("sent").collect()} == sent
+
+
+def test_a_part_with_few_rows_has_as_many_files(spark, monkeypatch):
+    rows = spark.createDataFrame([(str(i), 1_704_067_200 + (0 if i < 40 else 900_000)) for i in range(41)], "i string, s long").select(
+        "i", F.timestamp_seconds("s").cast("timestamp_ntz").alias("at"))
+    monkeypatch.setattr(TS, "ROWS_PER_FILE", 8)
+    folder, files = TS.stage_disordered(rows, f"{side.stream_root(spark, 'few')}/in", "at")
+    assert files == 5 and all(TS._data_files(spark, f"{folder}/part{k}") == 5 for k in range(4))
+    assert spark.read.option("recursiveFileLookup", "true").parquet(folder).count() == 41
+
+
+def test_waiting_alerts_are_decided_in_one_pass(spark, monkeypatch):
+    n = 5000
+    alerts = [(1_000_000 * i, f"a{i:05d}", 3_000_000) for i in range(n)]
+    state = spark.createDataFrame([(None, *map(list, zip(*reversed(alerts), strict=True))), (n * 1_000_000, [5], ["late"], [1]), (7, [], [], [])], TS.STATE)
+    root = side.stream_root(spark, "waiting")
+    spark.createDataFrame([("done", 1, True)], TS.OUT).write.parquet(f"{root}/decisions")
+    monkeypatch.setattr(TS, "waiting", lambda *_: state)
+    out = TS.decided_so_far(spark, root)
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["sent"] for r in out.collect()}
+    assert len(got) == n + 2 and got["done"] and not got["late"]
+    assert all(got[i] == (int(i[1:]) % 3 == 0) for _, i, _ in alerts)
+
+
+def test_coverage_broadcasts_neither_side(spark):
+    ev = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("c",)], "id string")
+    an = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("z",)], "event_id string")
+    got = S.coverage(ev, an)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(got.first()) == (6, 4, 66.666667)
