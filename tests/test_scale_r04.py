@@ -70,6 +70,17 @@ def test_tasks_follow_the_rows_and_not_the_keys(spark, monkeypatch):
     assert TS._decided(alerts, None, 500).rdd.getNumPartitions() == 25
 
 
+def test_alerts_that_wait_are_rows_of_a_table(spark, small):
+    folder, root = side.stream_root(spark, "in"), side.stream_root(spark, "wait")
+    rows = [("hot", f"i{j:03d}", float(j * 30), 600) for j in range(300)]  # 2.5 hours, none passed by the watermark
+    for j in range(0, 300, 75):
+        write(spark, folder, f"p{j}", rows[j:j + 75])
+    assert run(spark, folder, root, delay="3 hours") == plain(rows)
+    assert not store._exists(spark, f"{root}/_checkpoint/state")  # no key's alerts are one value of a state store
+    kept = spark.read.parquet(f"{root}/batches").groupBy("batch", "kind").count().collect()
+    assert {(r.batch, r["count"]) for r in kept if r.kind == "waiting"} == {(2, 225), (3, 300)}  # older state is dropped
+
+
 def test_a_batch_that_runs_again_replaces_what_it_wrote(spark):
     folder, root = side.stream_root(spark, "in"), side.stream_root(spark, "again")
     rows = some(300, ["a", "b", "c"], seed=8)
